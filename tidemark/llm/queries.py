@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_text, language, packing, quality
+from tidemark.llm import chat_format, decontaminate, html_text, language, packing, quality, suffix_dedup
 from tidemark.llm.tables import read
 
 
@@ -18,6 +18,10 @@ def op2_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op3_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -34,10 +38,17 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_quality_crf, op2_html_line_blocks, op5_best_fit_packing, op8_language_id, op9_benchmark_leaks, op10_chat_snapshots)
-}
+_ALL = (
+    op1_quality_crf,
+    op2_html_line_blocks,
+    op3_suffix_buckets,
+    op5_best_fit_packing,
+    op8_language_id,
+    op9_benchmark_leaks,
+    op10_chat_snapshots,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
 SQL: dict[str, str] = {"op10_chat_snapshots": chat_format.SQL}
