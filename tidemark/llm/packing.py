@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,8 +73,7 @@ class WordTokenizer:
     def _reset(self) -> None:
         self.at: dict[str, int] = {"": 0}
         self.parts: dict[str, list[int]] = {}
-        self.flat: list[int] = []
-        self.starts, self.lengths = [0], [0]
+        self.flat, self.starts, self.lengths = array("I"), array("q", [0]), array("q", [0])
 
     def _ids(self, word: str) -> list[int]:
         if not self._simple.fullmatch(word):
@@ -108,17 +108,18 @@ class WordTokenizer:
             where.append(np.fromiter(map(at.__getitem__, split), np.int64, len(split)))
             counts.append(len(split))
         words = np.concatenate(where) if where else np.zeros(0, np.int64)
-        lengths = np.array(self.lengths)[words]
-        begin = np.array(self.starts)[words]
+        lengths = np.frombuffer(self.lengths, np.int64)[words]
+        begin = np.frombuffer(self.starts, np.int64)[words]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = np.array(self.flat, np.uint32)[np.repeat(begin - ends + lengths, lengths) + np.arange(total)]
+        flat = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32)
+        ids = flat[np.repeat(begin - ends + lengths, lengths) + np.arange(total)]
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
     def _add(self, ids: list[int]) -> None:
         self.starts.append(len(self.flat))
         self.lengths.append(len(ids))
-        self.flat += ids
+        self.flat.extend(ids)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
