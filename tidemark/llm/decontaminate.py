@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import set_aside
 from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, mix64, words
 
 #: 1: the word counts, 0: it is ignored.
@@ -176,5 +177,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     The ids found are few but not bounded, so the join is left to Spark.
     """
+    hidden, back = set_aside(docs, "_leak")
     bad = find_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    return back(hidden.join(bad, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import crc_mod
+from tidemark.llm.tables import crc_mod, set_aside
 from tidemark.llm.textbytes import Rolling, each_chunk, rows_of, sum_rows, word_bounds
 
 THRESHOLD = 0.7
@@ -208,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MA
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi]), pa.array(rows, pa.binary())], ["y", "x"])
 
     # at most max_docs rows of (id, label): a proven bound for the broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_y", "text")
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    picked = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_y", "text")
     got = picked.mapInArrow(features, "y int, x binary").toPandas()
     got = got.sort_values("x", ignore_index=True)  # one order whatever the partitions
     if not len(got) or got["y"].nunique() < 1:
@@ -244,8 +245,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs (all columns) whose score reaches the threshold."""
-    name = "quality_score"
-    if name in docs.columns:
-        docs = docs.withColumnRenamed(name, f"_{name}_in")
-    kept = with_scores(docs, fit(docs, labels, crc_mod("doc_id", 4) != 2)).where(F.col(name) >= threshold).drop(name)
-    return kept.withColumnRenamed(f"_{name}_in", name) if f"_{name}_in" in kept.columns else kept
+    hidden, back = set_aside(docs, "quality_score")
+    scored = with_scores(hidden, fit(docs, labels, crc_mod("doc_id", 4) != 2))
+    return back(scored.where(F.col("quality_score") >= threshold).drop("quality_score"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_text, language, packing, quality, suffix_dedup
+from tidemark.llm import chat_format, decontaminate, html_text, language, near_dedup, packing, quality, suffix_dedup, suffix_tree_lm
 from tidemark.llm.tables import read
 
 
@@ -22,10 +22,18 @@ def op3_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(read(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ _ALL = (
     op1_quality_crf,
     op2_html_line_blocks,
     op3_suffix_buckets,
+    op4_suffix_tree_scores,
     op5_best_fit_packing,
+    op6_lsh_forest,
     op8_language_id,
     op9_benchmark_leaks,
     op10_chat_snapshots,

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import stored, with_row
+from tidemark.llm.tables import set_aside, stored, with_row
 from tidemark.llm.textbytes import U64, Rolling, each_chunk
 
 LENGTH = 400
@@ -363,6 +363,7 @@ def find(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """docs (all columns) with the repeated bytes taken out of text."""
-    rows = with_row(docs)
+    hidden, back = set_aside(docs, "_row", "_r", "windows")
+    rows = with_row(hidden)
     joined = rows.join(repeats(rows, length, **how).withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
-    return joined.select(*docs.columns, "windows").mapInArrow(_apply(length, False, docs.schema), docs.schema)
+    return back(joined.select(*hidden.columns, "windows").mapInArrow(_apply(length, False, hidden.schema), hidden.schema))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,10 @@ def with_row(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     if docs.schema[key].dataType.typeName() in ("long", "integer") and seen[0] == seen[1] == seen[2]:
         return docs.withColumn("_row", F.col(key).cast("long"))
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names (any case) renamed, and the way back, for operators that add such columns."""
+    taken = {c: f"_aside_{i}_{uuid.uuid4().hex[:8]}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    hidden = docs.withColumnsRenamed(taken)
+    return hidden, lambda df: df.withColumnsRenamed({v: k for k, v in taken.items()})
