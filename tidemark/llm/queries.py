@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_text, language, near_dedup, packing, quality, suffix_dedup, suffix_tree_lm
+from tidemark.llm import chat_format, decontaminate, html_text, language, near_dedup, packing, quality, suffix_dedup, suffix_tree_lm, topk_search
 from tidemark.llm.tables import read
 
 
@@ -34,6 +34,10 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(read(spark, sf_dir, "documents"))
 
 
+def op7_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ _ALL = (
     op4_suffix_tree_scores,
     op5_best_fit_packing,
     op6_lsh_forest,
+    op7_bm25_block_max,
     op8_language_id,
     op9_benchmark_leaks,
     op10_chat_snapshots,
@@ -61,4 +66,4 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-SQL: dict[str, str] = {"op10_chat_snapshots": chat_format.SQL}
+SQL: dict[str, str] = {"op7_bm25_block_max": topk_search.SQL, "op10_chat_snapshots": chat_format.SQL}
