@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import crc_mod
+from tidemark.llm.tables import crc_mod, smallest_hashes
 from tidemark.llm.textbytes import each_chunk, utf8
 
 BUCKETS = 1 << 14
@@ -124,12 +124,10 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 7)
 
 
 def fit(docs: DataFrame, train_on: Column, max_docs: int = MAX_DOCS) -> dict | None:
-    """Train on the max_docs documents of the smallest doc_id hash among those with a lang."""
-    chosen = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & train_on)
-        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
-        .orderBy("h", "doc_id", "text").limit(max_docs).toPandas()
-    )
+    """Train on those with letters of the max_docs documents of the smallest doc_id hash that have a lang."""
+    texts = docs.where(F.col("lang").isNotNull() & train_on).select("doc_id", "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
+    chosen = smallest_hashes(texts, "doc_id", max_docs).where(F.col("text").rlike(r"\p{L}")).toPandas()
+    chosen = chosen.sort_values(["doc_id", "text"], ignore_index=True)
     if not len(chosen):
         return None
     return train([t.encode() for t in chosen["text"]], chosen["lang"].tolist())

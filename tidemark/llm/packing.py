@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,12 @@ class WordTokenizer:
         self.flat.extend(ids)
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that its words stay known from task to task."""
+    return WordTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length and the CRC-32 of its ids.
 
@@ -133,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
 
         import public_tokenizers
 
-        encoder = WordTokenizer(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
+        encoder = _tokenizer(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             doc_ids = batch.column("doc_id").to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import crc_mod, set_aside
+from tidemark.llm.tables import crc_mod, set_aside, smallest_hashes
 from tidemark.llm.textbytes import Rolling, each_chunk, rows_of, sum_rows, word_bounds
 
 THRESHOLD = 0.7
@@ -193,11 +193,11 @@ def _document_scores(x, length, at, model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> dict:
     """Train on at most max_docs labelled documents where `train_on` (of doc_id) holds."""
-    chosen = (
+    labelled = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & train_on)
         .groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("_y"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
     )
+    chosen = smallest_hashes(labelled, "_id", max_docs)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

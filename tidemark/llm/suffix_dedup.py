@@ -14,8 +14,11 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
    pointers of the suffixes 8, 16, 32 ... bytes later, which earlier rounds have
    refined already, until suffixes agree on `length` bytes. Windows that still
    share a bucket are repeats.
-4. Buckets of many distinct spans are split by span; windows left in one split
-   then meet by a 128-bit hash of their bytes, one row for each split and string.
+4. Spans of a q-gram with many occurrences are cut into pieces of STEP windows
+   each, and a piece's bucket is named by all the bytes that its windows have in
+   common, so that a passage in many documents leaves only its two edges open.
+   Buckets that still hold many distinct pieces are split by piece; windows left
+   in one split then meet by a 128-bit hash of their bytes.
 
 No step holds more than a chunk of texts or a split of a bucket in one task, and
 no pairs are made.
@@ -37,12 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import set_aside, stored, with_row
-from tidemark.llm.textbytes import U64, Rolling, each_chunk
+from tidemark.llm.textbytes import U64, Rolling, each_chunk, mix64
 
 LENGTH = 400
 Q = 32
 #: Spans of one split of a bucket, about.
 SPLIT_SPANS = 1024
+#: Windows of one piece of a span in a large bucket.
+STEP = 16
+#: Bytes of one batch of cut text, and spans that a task remembers to send their text once.
+OUT_BYTES = 1 << 22
+MAX_SEEN = 300_000
 #: Bytes that are sorted together.
 SORT_BYTES = 1 << 21
 
@@ -60,9 +68,9 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 def _doc_spans(data: np.ndarray, off: np.ndarray, length: int, q: int):
-    """Spans (document, q-gram, first window, windows) and settled windows (document, first, windows)."""
+    """Spans (document, q-gram, its place, first window, windows) and settled windows (document, first, windows)."""
     empty = np.zeros(0, np.int64)
-    none = (empty, empty.astype(U64), empty, empty), (empty, empty, empty)
+    none = (empty, empty.astype(U64), empty, empty, empty), (empty, empty, empty)
     if len(data) < length:
         return none
     rolling = Rolling(data)
@@ -115,7 +123,8 @@ def _doc_spans(data: np.ndarray, off: np.ndarray, length: int, q: int):
     head = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
     n = np.diff(np.append(head, len(at)))
     doc = doc_of[at[head]].astype(np.int64)
-    spans = (doc, gram[anchors[owner[head]]], at[head] - off[doc], n)
+    anchor = anchors[owner[head]]
+    spans = (doc, gram[anchor], anchor - off[doc], at[head] - off[doc], n)
     return spans, (settled[0], settled[1] - off[settled[0]] if len(settled[0]) else settled[1], settled[2])
 
 
@@ -124,48 +133,76 @@ def _spans(length: int, q: int):
         for batch in batches:
             rows = batch.column("_row").to_numpy()
             for lo, _, data, off in each_chunk(batch):
-                (doc, gram, start, n), (s_doc, s_start, s_n) = _doc_spans(data, off, length, q)
+                (doc, gram, anchor, start, n), (s_doc, s_start, s_n) = _doc_spans(data, off, length, q)
                 keys = pa.array(np.concatenate([gram.view(np.int64), np.zeros(len(s_doc), np.int64)]), mask=np.arange(len(doc) + len(s_doc)) >= len(doc))
-                cols = [pa.array(rows[lo + np.concatenate([doc, s_doc])]), keys, pa.array(np.concatenate([start, s_start])), pa.array(np.concatenate([n, s_n]))]
-                yield pa.RecordBatch.from_arrays(cols, ["_row", "gram", "start", "n"])
+                numbers = (np.concatenate(x) for x in ((anchor, s_start), (start, s_start), (n, s_n)))
+                cols = [pa.array(rows[lo + np.concatenate([doc, s_doc])]), keys, *(pa.array(x.astype(np.int32)) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "gram", "anchor", "start", "n"])
 
     return run
 
 
-def _cut(length: int, split_spans: int):
+def _pieces(gram, anchor, start, n, off, doc, rolling: Rolling, length: int, step: int):
+    """Spans cut into pieces: windows whose distance to the gram falls into the same STEP. Which span, bucket, first window, windows."""
+    nearest, farthest = (anchor - start - n + 1) // step, (anchor - start) // step
+    many = farthest - nearest + 1
+    of = np.repeat(np.arange(len(gram)), many)
+    band = np.repeat(nearest, many) + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    # the bytes common to all windows of the band, whether or not the span has all of them
+    core = anchor[of] - band * step
+    until = anchor[of] - (band + 1) * step + 1 + length
+    core_hash = rolling.of(off[doc[of]] + core, off[doc[of]] + until)
+    first = np.maximum(start[of], anchor[of] - (band + 1) * step + 1)
+    last = np.minimum(start[of] + n[of] - 1, core)
+    key = mix64(gram.view(U64)[of] ^ core_hash ^ (band.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    return of, key.view(np.int64), first, last - first + 1
+
+
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `limit` bytes."""
+    run = np.cumsum(sizes) // limit
+    edges = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+    return zip(edges, np.append(edges[1:], len(run)), strict=True)
+
+
+def _cut(length: int, split_spans: int, step: int):
     """Cut the spans' text out. Of equal spans in a task the first bears the text, the second a mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int, int], int] = {}
+        seen: dict[int, int] = {}
         for batch in batches:
             rows = batch.column("_row").to_numpy()
             spans = batch.column("spans")
             span_at = spans.offsets.to_numpy() - spans.offsets[0].as_py()
             flat = spans.flatten()
-            gram, start, n, many = (flat.field(k).to_numpy() for k in ("gram", "start", "n", "many"))
-            for lo, hi, data, off in each_chunk(batch):
-                a, b = span_at[lo], span_at[hi]
+            fields = [flat.field(k).to_numpy().astype(np.int64) for k in ("gram", "anchor", "start", "n", "many")]
+            for lo, hi, data, off in each_chunk(batch, limit=1 << 20):
+                gram, anchor, start, n, many = (x[span_at[lo] : span_at[hi]] for x in fields)
                 doc = np.repeat(np.arange(hi - lo), np.diff(span_at[lo : hi + 1]))
-                s = off[doc] + start[a:b]
-                e = s + n[a:b] - 1 + length
-                k1 = Rolling(data).of(s, e).view(np.int64)
+                rolling = Rolling(data)
+                large = many > split_spans
+                of, key, first, count = _pieces(gram[large], anchor[large], start[large], n[large], off, doc[large], rolling, length, step)
+                doc = np.concatenate([doc[~large], doc[large][of]])
+                gram, start, n = np.concatenate([gram[~large], key]), np.concatenate([start[~large], first]), np.concatenate([n[~large], count])
+                large = np.arange(len(doc)) >= len(doc) - len(of)
+                s = off[doc] + start
+                e = s + n - 1 + length
+                k1 = rolling.of(s, e).view(np.int64)
                 k2 = Rolling(data, salt=11).of(s, e).view(np.int64)
-                splits = -(-many[a:b] // split_spans)
-                split = np.where(splits > 1, k1 % splits, -1)  # -1: the bucket is whole
-                raw = data.tobytes()
-                texts, marks = [], np.zeros(b - a, np.int32)
-                for i, key in enumerate(zip(gram[a:b].tolist(), k1.tolist(), k2.tolist(), strict=True)):
-                    times = seen.get(key, 0)
-                    marks[i] = times
-                    texts.append(raw[s[i] : e[i]] if times == 0 else None)
-                    if times < 2:
-                        seen[key] = times + 1
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[lo + doc]), pa.array(gram[a:b]), pa.array(split), pa.array(k1), pa.array(k2), pa.array(start[a:b]), pa.array(n[a:b]), pa.array(marks), pa.array(texts, pa.binary())],
-                    ["_row", "gram", "split", "k1", "k2", "start", "n", "mark", "bytes"],
-                )
+                names = ["_row", "gram", "large", "k1", "k2", "start", "n", "mark", "bytes"]
+                cols = (rows[lo + doc], gram, large, k1, k2, start, n)
+                # out in batches of bounded bytes: many spans can overlap
+                for a, b in _runs(e - s, OUT_BYTES):
+                    marks, texts = np.zeros(b - a, np.int32), []
+                    for i, at in enumerate((k1[a:b] ^ gram[a:b]).tolist(), a):
+                        times = seen.get(at, 0)
+                        marks[i - a] = times
+                        texts.append(data[s[i] : e[i]].tobytes() if times == 0 else None)
+                        if times < 2:
+                            seen[at] = times + 1
+                    if len(seen) > MAX_SEEN:
+                        seen.clear()
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b]) for x in cols), pa.array(marks), pa.array(texts, pa.binary())], names)
 
     return run
 
@@ -285,21 +322,28 @@ def _settle(length: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int = SPLIT_SPANS) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int = SPLIT_SPANS, step: int = STEP) -> DataFrame:
     """docs (_row, text) -> (_row, windows): the repeated windows as (first, number), where there are any."""
     texts = docs.select("_row", "text")
-    spans = stored(texts.mapInArrow(_spans(length, q), "_row long, gram long, start long, n long"), "spans")
+    spans = stored(texts.mapInArrow(_spans(length, q), "_row long, gram long, anchor int, start int, n int"), "spans")
     named = spans.where(F.col("gram").isNotNull())
     shared = named.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    by_doc = named.join(shared, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "start", "n", "many")).alias("spans"))
+    by_doc = named.join(shared, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "anchor", "start", "n", "many")).alias("spans"))
     cut = stored(
         texts.join(by_doc, "_row").mapInArrow(
-            _cut(length, split_spans), "_row long, gram long, split long, k1 long, k2 long, start long, n long, mark int, bytes binary"
+            _cut(length, split_spans, step), "_row long, gram long, large boolean, k1 long, k2 long, start long, n long, mark int, bytes binary"
         ),
         "cut",
     )
-    payload = cut.where("mark < 2").select("gram", "split", "k1", "k2", "mark", "bytes")
-    met = payload.repartition("gram", "split").sortWithinPartitions("gram", "split")
+    payload = cut.where("mark < 2")
+    whole = payload.where("NOT large").withColumn("split", F.lit(-1).cast("long"))
+    # of the pieces only those that others share a bucket with, and how many do
+    sizes = payload.where("large").groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    split = F.when(F.col("size") > split_spans, F.pmod("k1", F.ceil(F.col("size") / split_spans))).otherwise(-1)
+    parts = payload.where("large").join(sizes, "gram").withColumn("split", split.cast("long"))
+    names = ["gram", "split", "k1", "k2", "mark", "bytes"]
+    met = whole.select(names).unionAll(parts.select(names))
+    met = met.repartition("gram", "split").sortWithinPartitions("gram", "split")
     solved = stored(met.mapInArrow(_settle(length), "kind int, k1 long, k2 long, lo long, n long, w1 long, w2 long"), "solved")
     across = (
         solved.where("kind = 1").groupBy("w1", "w2").agg(F.collect_list(F.struct("k1", "k2", "lo", "n")).alias("at"))
@@ -310,7 +354,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
         cut.select("_row", "k1", "k2", "start").join(by_span, ["k1", "k2"])
         .select("_row", F.transform("in_span", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), x["n"].alias("n"))).alias("w"))
     )
-    within = spans.where(F.col("gram").isNull()).select("_row", F.array(F.struct(F.col("start").alias("lo"), "n")).alias("w"))
+    within = spans.where(F.col("gram").isNull()).select("_row", F.array(F.struct(F.col("start").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))).alias("w"))
     return found.unionAll(within).groupBy("_row").agg(F.flatten(F.collect_list("w")).alias("windows"))
 
 
