@@ -9,11 +9,11 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
    each goes on.
 2. Spans whose q-gram occurs once in the corpus are done. Of the others the text
    is cut out; equal spans meet as one.
-3. Each q-gram's bucket of spans is refined: suffixes are sorted by their first
-   eight bytes, then buckets with more than one suffix are sorted by the bucket
-   pointers of the suffixes 8, 16, 32 ... bytes later, which earlier rounds have
-   refined already, until suffixes agree on `length` bytes. Windows that still
-   share a bucket are repeats.
+3. Each q-gram's bucket of spans is refined: suffixes are sorted by the hash of
+   their first 50 bytes, then buckets with more than one suffix are sorted by the
+   bucket pointers of the suffixes 50, 100 and 200 bytes later, which earlier
+   rounds have refined already, until suffixes agree on `length` bytes. Windows
+   that still share a bucket are repeats.
 4. Spans of a q-gram with many occurrences are cut into pieces of STEP windows
    each, and a piece's bucket is named by all the bytes that its windows have in
    common, so that a passage in many documents leaves only its two edges open.
@@ -53,6 +53,8 @@ OUT_BYTES = 1 << 22
 MAX_SEEN = 300_000
 #: Bytes that are sorted together.
 SORT_BYTES = 1 << 21
+#: The first buckets are those of the grams of length / FIRST bytes; each round doubles the bytes.
+FIRST = 8
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -213,11 +215,10 @@ def refine_buckets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
     Windows are in the same bucket exactly when their bytes are equal.
     """
     left = np.repeat(end, end - begin) - np.arange(len(data))  # bytes from each place to its span's end
-    depth = min(8, length)
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    depth = -(-length // FIRST)
     key = np.zeros(len(data), U64)
-    for k in range(depth):
-        key = (key << U64(8)) | wide[k : k + len(data)]
+    grams = Rolling(data).fixed(depth)
+    key[: len(grams)] = grams
     at = np.flatnonzero(left >= depth)
     pointer = np.full(len(data), -1, np.int64)
     order = np.argsort(key[at])
