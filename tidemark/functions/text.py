@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c evaluated once, however often `use` names it: expressions built on it do not multiply."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def trim_all(c: Column) -> Column:
     """Trim every Unicode space, not only ASCII ones."""
     return F.regexp_replace(c, _TRIM, "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.functions.text import blank, clean_text, has_any, normalize_date, parse_amount, url_host
+from tidemark.functions.text import blank, clean_text, has_any, let, normalize_date, parse_amount, url_host
 from tidemark.operators.validate import bad_title
 
 
@@ -20,7 +20,10 @@ def category(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:
 
 def benefit(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:
     """struct(kind, amount, unit, text) of the first pattern that gives an amount over 0; null if none does."""
-    t = clean_text(text)
+    return let(clean_text(text), lambda t: _first_benefit(t, profile))
+
+
+def _first_benefit(t: Column, profile: rules.Profile) -> Column:
     found = []
     for pattern, kind, unit, scaled in profile.benefits:
         amount = parse_amount(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2) if scaled else F.lit(""))
@@ -34,8 +37,10 @@ _DAY = r"(\d{4}[-/年])?\s*(\d{1,2})[-/月]\s*(\d{1,2})日?"
 
 def dates(text: Column, year: Column) -> Column:
     """struct(start, end) as YYYY-MM-DD: a range, else a deadline, else the latest day named; years missing are `year`."""
-    t = clean_text(text)
-    ref = year.cast("string")
+    return let(clean_text(text), lambda t: _dates_of(t, year.cast("string")))
+
+
+def _dates_of(t: Column, ref: Column) -> Column:
 
     def day(pattern: str, first: int, default: Column, plus: int = 0) -> Column:
         y = F.regexp_replace(F.regexp_extract(t, pattern, first), r"[-/年]", "")
@@ -105,13 +110,7 @@ def confidence(text: Column, title: Column, offer: Column, start: Column, end: C
 
 def clean_title(title: Column) -> Column:
     """Bullets, final stops, trailing 'learn more' and commas go; what stands technically before a gift goes too."""
-    t = clean_text(title)
-    gift = F.regexp_instr(t, F.lit(r"赠送|送出|免费领取|注册即送|即送|领取|白送|赠")) - 1
-    head = F.substring(t, F.lit(1), gift)
-    cut = F.length(F.regexp_extract(head, r"^(.*)(?:支持|接口|[：:，、/])", 1))
-    rest = clean_text(F.regexp_replace(F.substring(t, cut + 1, F.length(t)), r"(?U)^(?:支持|接口|[：:，、/\s])+", ""))
-    technical = (gift > 8) & head.rlike(r"(?i)接口|RPM|QPS|API|v\d|异步|同步|频率|限制|参数|协议|HTTP|SDK") & head.rlike(r"支持|接口|[：:，、/]")
-    t = F.when(technical & (F.length(rest) >= 6) & (F.length(rest) < F.length(t)) & bad_title(rest).isNull(), rest).otherwise(t)
+    t = let(clean_text(title), _from_gift)
     for pattern in (
         r"(?U)^[\s\-–—•·]+|[\s\-–—•·]+$", r"[。．.]+$",
         r"(?iU)(?:More\s+information|Learn\s+more|Read\s+more|了解更多|查看详情|更多信息|详情)\s*$", r"(?U)^\s+|\s+$", r"^[，、,;；]+|[，、,;；]+$",
@@ -120,6 +119,17 @@ def clean_title(title: Column) -> Column:
     return t
 
 
+def _from_gift(t: Column) -> Column:
+    """What begins with the gift, where a technical description stands before it and the rest is a good title."""
+    gift = F.regexp_instr(t, F.lit(r"赠送|送出|免费领取|注册即送|即送|领取|白送|赠")) - 1
+    head = F.substring(t, F.lit(1), gift)
+    cut = F.length(F.regexp_extract(head, r"^(.*)(?:支持|接口|[：:，、/])", 1))
+    rest = clean_text(F.regexp_replace(F.substring(t, cut + 1, F.length(t)), r"(?U)^(?:支持|接口|[：:，、/\s])+", ""))
+    technical = (gift > 8) & head.rlike(r"(?i)接口|RPM|QPS|API|v\d|异步|同步|频率|限制|参数|协议|HTTP|SDK") & head.rlike(r"支持|接口|[：:，、/]")
+    better = let(rest, lambda r: F.when((F.length(r) >= 6) & (F.length(r) < F.length(t)) & bad_title(r).isNull(), r))
+    return F.coalesce(F.when(technical, better), t)
+
+
 def promote_title(title: Column, context: Column) -> Column:
     """The title if it is a good one, else the sentence of the passage that names gift and amount best."""
     sentences = F.filter(F.transform(F.split(blank(context), r"\n+|(?<=[。！？；])"), clean_text), lambda s: F.length(s).between(6, 80))
@@ -138,17 +148,27 @@ def promote_title(title: Column, context: Column) -> Column:
         ideal = s.rlike(rules.PROMOTE_GIFT) & s.rlike(rules.PROMOTE_AMOUNT) & ~s.rlike(term)
         return F.struct(F.round(points(s, k), 6).alias("points"), (-k).alias("at"), s.alias("s"), ideal.alias("ideal"))
 
-    scored = F.transform(sentences, entry)
-    ideal, best = F.array_max(F.filter(scored, lambda x: x["ideal"])), F.array_max(scored)
-    before = F.get(sentences, -ideal["at"] - 1)
-    fits = (F.length(before) >= 8) & ~before.rlike(term + "|共享消耗") & before.rlike(rules.PROMOTE_GIFT + "|" + rules.PROMOTE_WHO) & (F.length(before) + F.length(ideal["s"]) <= 90)
-    chosen = F.when(fits, F.concat(before, ideal["s"])).otherwise(ideal["s"])
-    return F.when(bad_title(title).isNull(), title).when(ideal.isNotNull(), F.substring(chosen, 1, 150)).when(best["points"] > 0, best["s"]).otherwise(blank(title))
+    def choose(sentences: Column) -> Column:
+        return let(F.transform(sentences, entry), lambda scored: pick(sentences, scored))
+
+    def pick(sentences: Column, scored: Column) -> Column:
+        def joined(ideal: Column) -> Column:
+            before = F.get(sentences, -ideal["at"] - 1)
+            fits = (F.length(before) >= 8) & ~before.rlike(term + "|共享消耗") & before.rlike(rules.PROMOTE_GIFT + "|" + rules.PROMOTE_WHO) & (F.length(before) + F.length(ideal["s"]) <= 90)
+            return F.substring(F.when(fits, F.concat(before, ideal["s"])).otherwise(ideal["s"]), 1, 150)
+
+        best = let(F.array_max(scored), lambda x: F.when(x["points"] > 0, x["s"]))
+        return F.coalesce(let(F.array_max(F.filter(scored, lambda x: x["ideal"])), joined), best)
+
+    return F.when(bad_title(title).isNull(), title).otherwise(F.coalesce(let(sentences, choose), blank(title)))
 
 
 def summary(context: Column, title: Column) -> Column:
     """The first two lines that say more than the title does; 200 characters at most."""
-    lines = F.filter(F.transform(F.split(blank(context), "\n"), clean_text), lambda x: F.length(x) > 8)
+    return let(F.filter(F.transform(F.split(blank(context), "\n"), clean_text), lambda x: F.length(x) > 8), lambda lines: _told(lines, context, title))
+
+
+def _told(lines: Column, context: Column, title: Column) -> Column:
     more = F.filter(lines, lambda x: ~title.contains(x) & ~x.contains(title))
     other = F.filter(lines, lambda x: x != title)
     texts = (F.array_join(F.slice(more, 1, 2), " "), F.array_join(F.slice(other, 1, 1), " "), blank(context))

@@ -9,6 +9,7 @@ from tidemark.functions.text import fold_name, version_of
 
 #: The greatest number of dimension rows that are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_ROWS = 200_000
+MAX_ALIASES = 20_000
 
 
 def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -19,21 +20,20 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
 def longest_alias(texts: DataFrame, aliases: DataFrame, group: str | None = None, text: Column | None = None, least: int = 3) -> DataFrame:
     """texts (id, text) and aliases (entity_id, alias, ord) -> id, entity_id, alias: the longest folded alias that a text holds.
 
-    With `group` both sides share that column and only meet within it. A folded
-    text is cut into its alphanumeric stretches of the aliases' lengths, which
-    meet aliases by equality: no text is compared with every alias. Ties go to
-    the smallest `ord`.
+    With `group` both sides share that column and only meet within it. A group's
+    aliases travel as one array, so that no (text, alias) rows are made; aliases
+    are a dimension, at most MAX_ALIASES of a group. Ties go to the smallest `ord`.
     """
     folded = aliases.withColumn("fold", fold_name(F.col("alias"))).where(F.length("fold") >= least)
-    sizes = [r[0] for r in folded.select(F.length("fold")).distinct().orderBy(F.desc(F.length("fold"))).limit(256).collect()]
     by = [group] if group else []
+    entry = F.struct(F.length("fold").alias("n"), (-F.col("ord")).alias("o"), "entity_id", "alias", "fold")
+    known = folded.groupBy(*by).agg(F.collect_list(entry).alias("known"), F.count(F.lit(1)).alias("n"))
+    if (known.agg(F.max("n")).first()[0] or 0) > MAX_ALIASES:
+        raise ValueError(f"more than {MAX_ALIASES} aliases in a group: use a finer group")
     t = texts.select("id", *by, fold_name(F.col("text") if text is None else text).alias("f"))
-    if not sizes:
-        return t.select("id", F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("string").alias("alias")).limit(0)
-    grams = F.array_distinct(F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("f") - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col("f"), i, F.lit(n))) for n in sizes))))
-    met = t.select("id", *by, F.explode(grams).alias("fold")).join(small(folded), [*by, "fold"])
-    best = F.max(F.struct(F.length("fold").alias("n"), (-F.col("ord")).alias("o"), "entity_id", "alias"))
-    return met.groupBy("id").agg(best.alias("b")).select("id", "b.entity_id", "b.alias")
+    met = t.join(small(known.drop("n")), by) if by else t.crossJoin(F.broadcast(known.drop("n")))  # one row
+    best = F.array_max(F.filter("known", lambda x: F.col("f").contains(x["fold"])))
+    return met.select("id", best.alias("b")).where("b IS NOT NULL").select("id", "b.entity_id", "b.alias")
 
 
 def unique_version(texts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +112,11 @@ def tokens(c: Column) -> Column:
 def all_prefixes(c: Column, query: str) -> Column:
     """Every word of the query begins some token."""
     words = [w.replace('"', "").replace("*", "").lower() for w in query.split()]
-    out = F.lit(True)
-    for w in filter(None, words):
-        out = out & F.exists(tokens(c), lambda t, w=w: t.startswith(w))
-    return out
+
+    def begins(w: str) -> Column:
+        return F.exists(tokens(c), lambda t: t.startswith(w))
+
+    return reduce(Column.__and__, (begins(w) for w in words if w), F.lit(True))
 
 
 def search(df: DataFrame, columns: list[str], query: str, fold_spaces: bool = False) -> DataFrame:
@@ -125,7 +127,7 @@ def search(df: DataFrame, columns: list[str], query: str, fold_spaces: bool = Fa
     text = F.concat_ws(" ", *columns)
     like = F.lit(False)
     for c in columns:
-        like = like | F.coalesce(F.col(c).ilike(F.lit(f"%{like_escape(q)}%"), "\\"), F.lit(False))
+        like = like | F.coalesce(F.ilike(F.col(c), F.lit(f"%{like_escape(q)}%"), F.lit("\\")), F.lit(False))
     if fold_spaces:
         like = like | F.contains(F.lower(F.regexp_replace(text, r"(?U)\s+", "")), F.lit("".join(q.lower().split())))
     return df.where(all_prefixes(text, q) | like)

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.functions.text import blank, has_any, trim_all, url_host
+from tidemark.functions.text import blank, has_any, let, trim_all, url_host
 
 # What may stand before a title, and words of running English text.
 ORDINAL = r"^(?:[0-9]+[.、)）]|[①②③④⑤⑥⑦⑧⑨⑩]|[一二三四五六七八九十][、.])\s*"
-RUNNING = r"(?i)\b(?:and|for|with|the|to|of|in|on|your|our|all)\b"
+RUNNING = r"(?i)(?<![A-Za-z0-9_])(?:and|for|with|the|to|of|in|on|your|our|all)(?![A-Za-z0-9_])"
 
 AUTO_APPROVE, PENDING_FLOOR = 0.62, 0.25
 
@@ -21,6 +21,10 @@ def money_mentions(text: Column) -> Column:
 
 def price_only(text: Column) -> Column:
     """Whether a text quotes prices rather than gives something."""
+    return let(text, _quotes_prices)
+
+
+def _quotes_prices(text: Column) -> Column:
     gift = text.rlike(rules.STRONG_GIFT)
     quotes = F.regexp_count(text, F.lit(rules.PRICE_CN))
     return (
@@ -36,7 +40,10 @@ def paid_tier(title: Column) -> Column:
 
 def bad_title(title: Column) -> Column:
     """Why a title says nothing; null for good ones. The first test that hits names the reason."""
-    t = trim_all(blank(title))
+    return let(trim_all(blank(title)), _title_fault)
+
+
+def _title_fault(t: Column) -> Column:
     n = F.length(t)
     low = trim_all(F.regexp_replace(F.lower(t), r"(?U)[：:·—\-\s]+$", ""))
     bare = trim_all(F.regexp_replace(t, ORDINAL, ""))
@@ -103,5 +110,8 @@ def allowed_hosts(urls: Column) -> Column:
     roots = F.transform(hosts, lambda h: F.array_join(F.slice(F.split(h, r"\."), -F.least(F.lit(2), F.size(F.split(h, r"\."))), 2), "."))
     www = F.transform(hosts, lambda h: F.concat(F.lit("www."), h))
     every = F.array_distinct(F.concat(hosts, roots, www))
-    more = (F.transform(every, lambda h, p=p: F.concat(F.lit(p), h)) for p in ("console.", "account."))
-    return F.array_distinct(F.concat(every, *more))
+
+    def below(prefix: str) -> Column:
+        return F.transform(every, lambda h: F.concat(F.lit(prefix), h))
+
+    return F.array_distinct(F.concat(every, below("console."), below("account.")))
