@@ -42,7 +42,7 @@ K1 = 1.2
 B = 0.75
 SCALE = 1000
 #: Bytes of text of one shard, about; and the words whose lists are bounded by blocks.
-SHARD_BYTES = 48_000_000
+SHARD_BYTES = 32_000_000
 COMMON = 256
 BLOCK = 64
 BATCH = 128
@@ -92,16 +92,13 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Shard:
     """The index of one shard."""
 
-    def __init__(self, rows: list[int], ids: list[int | None], counts: list[tuple], average: float, common: int, block: int):
+    def __init__(self, rows: list[int], ids: list[int | None], postings: list[tuple], lengths: list[np.ndarray], common: int, block: int):
+        """postings: (document within the shard, word, impact) of one chunk of documents after the other; emptied here."""
         self.block = block
         n_docs = len(rows)
-        starts = np.cumsum([0] + [len(c[3]) for c in counts])
-        doc = np.concatenate([c[0].astype(np.int64) + s for c, s in zip(counts, starts, strict=False)])
-        term = np.concatenate([c[1] for c in counts])
-        tf = np.concatenate([c[2] for c in counts]).astype(np.float64)
-        length = np.concatenate([c[3] for c in counts]).astype(np.float64)
-        impact = np.floor(SCALE * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average)) + 0.5)
-        del tf
+        doc, term, impact = (np.concatenate([x[k] for x in postings]) for k in range(3))
+        postings.clear()
+        length = np.concatenate(lengths)
         order = np.argsort(term, kind="stable")
         term, doc, impact = term[order], doc[order], impact[order]
         del order
@@ -111,7 +108,8 @@ class Shard:
         often = np.sort(np.argsort(-df, kind="stable")[:common])
         self.column = np.full(len(df), -1, np.int64)  # of common terms: their column in the dense part
         self.column[often] = np.arange(len(often))
-        dense = np.zeros((n_docs, len(often)))
+        # impacts are small whole numbers: single precision stores them exactly; sums are made in double precision
+        dense = np.zeros((n_docs, len(often)), np.float32)
         for c, t in enumerate(often):
             span = slice(head[t], head[t] + df[t])
             dense[doc[span], c] = impact[span]
@@ -123,11 +121,11 @@ class Shard:
         self.rows[place] = rows
         self.ids = np.full(self.n_places, np.iinfo(np.int64).max)
         self.ids[place] = [np.iinfo(np.int64).max if i is None else i for i in ids]
-        self.dense = np.zeros((self.n_places, len(often)))
+        self.dense = np.zeros((self.n_places, len(often)), np.float32)
         self.dense[place] = dense
-        self.dense_max = self.dense.reshape(self.n_blocks, block, -1).max(1)
+        self.dense_max = self.dense.reshape(self.n_blocks, block, -1).max(1).astype(np.float64)
         self.begin, self.df = head, df
-        self.post_doc, self.post_impact = place[doc].astype(np.int32), impact.astype(np.int16)
+        self.post_doc, self.post_impact = place.astype(np.int32)[doc], impact
 
     @staticmethod
     def _arrange(dense: np.ndarray, length: np.ndarray, groups: int = 8) -> np.ndarray:
@@ -169,7 +167,7 @@ class Shard:
             if not len(alive):
                 continue
             span = slice(b * self.block, (b + 1) * self.block)
-            score = rare[alive, span] + common[alive] @ self.dense[span].T
+            score = rare[alive, span] + common[alive] @ self.dense[span].T.astype(np.float64)
             both = np.concatenate([best_score[alive], score], 1)
             both.partition(both.shape[1] - k, axis=1)
             best_score[alive] = np.sort(both[:, -k:], 1)
@@ -195,7 +193,8 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
         number, index = None, None
         rows: list[int] = []
         ids: list[int | None] = []
-        counts: list[tuple] = []
+        postings: list[tuple] = []
+        lengths: list[np.ndarray] = []
         waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
 
         def answer() -> Iterator[pa.RecordBatch]:
@@ -212,10 +211,9 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
             waiting.clear()
 
         def built() -> Shard | None:
-            got = Shard(rows, ids, counts, average, common, block) if sum(len(c[1]) for c in counts) else None
-            rows.clear()
-            ids.clear()
-            counts.clear()
+            got = Shard(rows, ids, postings, lengths, common, block) if any(len(x[1]) for x in postings) else None
+            for x in (rows, ids, postings, lengths):
+                x.clear()
             return got
 
         for batch in batches:
@@ -229,15 +227,22 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
                     built()
                 part = batch.slice(lo, hi - lo)
                 if not is_query[lo]:
+                    before = len(rows)
                     rows += part.column("_row").to_pylist()
                     ids += part.column("doc_id").to_pylist()
-                    for _, _, data, off in each_chunk(part):
-                        counts.append(_term_counts(data, off))
+                    for at, _, data, off in each_chunk(part):
+                        doc, term, tf, length = _term_counts(data, off)
+                        impact = np.floor(SCALE * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average)) + 0.5)
+                        postings.append(((doc + (before + at)).astype(np.int32), term, impact.astype(np.int16)))
+                        lengths.append(length.astype(np.float32))
                     continue
-                if counts:
+                if postings:
                     index = built()
-                for row, one, terms, weights in zip(*(part.column(c).to_pylist() for c in ("_row", "doc_id", "terms", "weights")), strict=True):
-                    waiting.append((row, one, np.array(terms, np.int64).view(U64), np.array(weights, np.int64)))
+                terms, weights = part.column("terms"), part.column("weights")
+                edge = terms.offsets.to_numpy() - terms.offsets[0].as_py()
+                terms, weights = terms.flatten().to_numpy().view(U64), weights.flatten().to_numpy()
+                for i, (row, one) in enumerate(zip(part.column("_row").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
+                    waiting.append((row, one, terms[edge[i] : edge[i + 1]], weights[edge[i] : edge[i + 1]]))
                     if len(waiting) >= batch_size:
                         yield from answer()
         yield from answer()
