@@ -42,7 +42,7 @@ K1 = 1.2
 B = 0.75
 SCALE = 1000
 #: Bytes of text of one shard, about; and the words whose lists are bounded by blocks.
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 48_000_000
 COMMON = 256
 BLOCK = 64
 BATCH = 128
@@ -276,7 +276,7 @@ def search(docs: DataFrame, is_query: Column, k: int = K, shard_bytes: int = SHA
         F.pmod(F.xxhash64("_row"), F.lit(n_shards)).alias("shard"), F.lit(False).alias("is_query"), "_row", "doc_id", "text",
         none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("weights"),
     )
-    met = dealt.unionAll(to_shards).repartition(n_shards, "shard").sortWithinPartitions("shard", "is_query")
+    met = dealt.unionAll(to_shards).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "is_query")
     found = met.mapInArrow(_shard_search(average, k, common, block, batch), "q_row long, query_id long, _row long, doc_id long, score long")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "_row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
