@@ -48,6 +48,18 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Places(dict):
+    """Words and their places; a word that is not there yet is added by `add`."""
+
+    def __init__(self, add: Callable[[str], int]):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.add(word)
+        return at
+
+
 class WordTokenizer:
     """Exact ids of a lower-casing word-end BPE, each distinct word encoded once.
 
@@ -72,20 +84,29 @@ class WordTokenizer:
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.at = _Places(self._new)
+        self.at[""] = 0
         self.parts: dict[str, list[int]] = {}
         self.flat, self.starts, self.lengths = array("I"), array("q", [0]), array("q", [0])
 
+    def _part_ids(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else part.translate(self.letters)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
     def _ids(self, word: str) -> list[int]:
+        if word.isascii():  # the two most common shapes: letters, and letters with one mark behind
+            if word.isalpha():
+                return self._part_ids(word.lower())
+            if word[:-1].isalpha() and word[-1] in ".,":
+                return self._part_ids(word[:-1].lower()) + self._part_ids(word[-1])
         if not self._simple.fullmatch(word):
             return self.whole.encode(word, add_special_tokens=False).ids
         out: list[int] = []
         for part in self._part.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                text = part if part.isascii() else part.translate(self.letters)
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
-            out += ids
+            out += self._part_ids(part)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,10 +123,6 @@ class WordTokenizer:
                 counts.append(1)
                 continue
             split = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            for word in split:
-                if word not in at:
-                    at[word] = len(self.starts)
-                    self._add(self._ids(word))
             where.append(np.fromiter(map(at.__getitem__, split), np.int64, len(split)))
             counts.append(len(split))
         words = np.concatenate(where) if where else np.zeros(0, np.int64)
@@ -117,6 +134,10 @@ class WordTokenizer:
         ids = flat[np.repeat(begin - ends + lengths, lengths) + np.arange(total)]
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
+    def _new(self, word: str) -> int:
+        self._add(self._ids(word))
+        return len(self.starts) - 1
+
     def _add(self, ids: list[int]) -> None:
         self.starts.append(len(self.flat))
         self.lengths.append(len(ids))
