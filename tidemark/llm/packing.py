@@ -36,7 +36,7 @@ NEARLY_FULL = 0.97
 #: Items of one group of a round, about.
 GROUP_ITEMS = 4096
 #: Words that a task keeps with their ids before it starts anew.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
