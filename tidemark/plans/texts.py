@@ -155,7 +155,7 @@ def block_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", blocks.block_score(F.col("text"), PLAIN).alias("score"))
 
 
-@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, regexp_extract(t, '(\\d+)\\s*(k|m|b)?\\s*(USD|美元|美金)', 1) AS n FROM t)
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, regexp_extract(t, '\\$\\s*(\\d+(?:\\.\\d+)?)', 1) AS dollars FROM t""")
 def amount_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_extract(T.blank(F.col("text")), r"\$\s*(\d+(?:\.\d+)?)", 1).alias("dollars"))
