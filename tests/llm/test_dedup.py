@@ -119,6 +119,33 @@ def test_large_regions_are_cut_and_stay_joined(spark, monkeypatch):
     assert {r.component_id for r in near_dedup.find(df).collect()} == {0}
 
 
+def test_pairs_amid_a_family_under_the_threshold(spark, monkeypatch):
+    """One template with many fillings, pairs just over the threshold: no region is small enough to be compared whole."""
+    monkeypatch.setattr(near_dedup, "MAX_GROUP", 16)
+    monkeypatch.setattr(near_dedup, "STAR_GROUP", 8)
+    rng = random.Random(11)
+    base = ["w%d" % k for k in range(360)]
+    rows = []
+    for k in range(150):
+        filling = ["f%d" % rng.randrange(10**9) for _ in range(40)]
+        other = filling[:15] + ["f%d" % rng.randrange(10**9) for _ in range(25)]
+        rows += [(2 * k, " ".join(base[:200] + filling + base[200:])), (2 * k + 1, " ".join(base[:200] + other + base[200 : len(base) - k % 3]))]
+    expected = expected_components(rows, 85)
+    assert len({r[2] for r in expected}) == 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.find(df).collect()) == expected
+
+
+def test_prefixes_hold_a_shared_shingle():
+    for percent in (80, 85, 100):
+        for n in range(1, 60):
+            for m in range(1, n + 1):
+                shared = -(-percent * (n + m) // (100 + percent))  # the fewest that similar sets of n and m share
+                if shared <= m:
+                    high, low = near_dedup.prefixes_of(n, percent)[0], near_dedup.prefixes_of(m, percent)[1]
+                    assert high >= n - shared + 1 and low >= m - shared + 1
+
+
 def test_drop_near_copies_keeps_one_row_of_each(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(2, text, "a"), (1, text + " more", "b"), (1, text + " more", "c"), (None, text, "d"), (3, None, "e"), (4, "", "f"), (None, None, "g")]

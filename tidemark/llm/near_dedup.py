@@ -6,18 +6,25 @@
    place. Classes that share some leading values in an order are neighbours by
    longest common prefix. Where a region holds more than MAX_GROUP classes, it is
    cut at greater depth until it does not, level by level; there every class is
-   also compared with the region's hub, which takes one row a class.
+   also compared with the region's hub, which takes one row a class. That links
+   most of a region cheaply; what it leaves open is decided by step 5.
 3. The neighbours of one region gather around its hub, the class that most
    documents share (ties by hash), so that the same classes meet once and not
    once a tree. Their full shingle sets are compared exactly: first all with the
    hub, then those not yet linked with all others of the group by counting
    shared shingles. Only links that join two parts of a group are emitted.
 4. Links form components by min-label propagation, in tables.
+5. The classes of all oversized regions meet once more, by a prefix-filter join
+   that misses no pair: each set is ordered by a common order, rare shingles
+   first, and two similar sets share one of their first few. Pairs already in one
+   component are left out; the others are compared on their full sets, and their
+   links join components. The order comes from counts in SKETCH slots, which have
+   a fixed size; they, too, tell which shingles are dealt over several tasks.
 
 Two sets at the threshold of 0.85 share no prefix of 4 values in any of 16 trees
 with a chance of (1 - 0.85**4)**16, under one in 100,000; lower thresholds take
 21 trees and prefixes of 3, for 0.8 with a chance of one in 3 million. That
-chance is all that can be missed outside regions cut deeper.
+chance is all that can be missed: in oversized regions step 5 is exact.
 
 Edge cases: documents without words have no shingles, link with nothing and are
 kept; with fewer than five words the whole sequence is the one shingle; null
@@ -49,6 +56,8 @@ DEEPER = (6, 8, 11, 15, 20, 28, 40, 64)
 MAX_GROUP = 2048
 #: Classes of an oversized region that one task compares with the hub.
 STAR_GROUP = 2048
+#: Slots in which the shingles of oversized regions are counted.
+SKETCH = 1 << 20
 
 _FACTORS = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
@@ -122,10 +131,13 @@ def _prefixes(depth: int, first: int):
     return run
 
 
-def _groups(classes: DataFrame, first: int) -> DataFrame:
-    """Which classes are compared: (hub, id, part). part -1: all of the group; else a share of an oversized region, hub only."""
+def _groups(classes: DataFrame, first: int) -> tuple[DataFrame, DataFrame | None]:
+    """Which classes are compared: (hub, id, part), and the ids of the classes in oversized regions, if there are any.
+
+    part -1: all of the group; else a share of an oversized region, hub only.
+    """
     hub = F.max(F.struct("copies", F.xxhash64("id").alias("x"), "id"))["id"].alias("hub")
-    found, todo, over = [], classes, None
+    found, todo, over, crowd = [], classes, None, None
     for depth in (first, *DEEPER):
         keyed = todo.select("id", "copies", "sig").mapInArrow(_prefixes(depth, first), "id long, copies long, tree int, key long")
         if over is not None:  # only in the trees where the region above was too large
@@ -140,8 +152,9 @@ def _groups(classes: DataFrame, first: int) -> DataFrame:
             break
         over = stored(members.where(F.col("size") > MAX_GROUP).select("id", "tree", "size", "hub"), "oversized")
         found.append(over.select("hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / STAR_GROUP)).alias("part")))
+        crowd = over.select("id").distinct() if crowd is None else crowd
         todo = classes.join(over.select("id").distinct(), "id", "left_semi")
-    return stored(reduce(DataFrame.unionAll, found).distinct(), "groups")
+    return stored(reduce(DataFrame.unionAll, found).distinct(), "groups"), crowd
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +281,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _compared(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) that the full sets confirm within groups (hub, id, part)."""
+    # an oversized region's hub goes to every part of it
+    hubs = groups.where("part >= 0").select("hub", F.col("hub").alias("id"), "part")
+    by_class = groups.unionAll(hubs).distinct().groupBy("id").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
+    # the text is shuffled at every size: by_class grows with the corpus, so that it is not for broadcasting
+    sets = rows.select(F.col("_row").alias("id"), "text").join(by_class.hint("merge"), "id").mapInArrow(_with_sets, "hub long, part long, id long, shingles binary")
+    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_linker(percent), "a long, b long")
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) & U64(SKETCH - 1)).astype(np.int64)
+
+
+def _crowd_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label and full set of each class."""
+    for batch in batches:
+        for lo, hi, data, off in each_chunk(batch):
+            h, at = shingle_sets(data, off)
+            part = batch.slice(lo, hi - lo)
+            sets = [h[at[k] : at[k + 1]].tobytes() for k in range(hi - lo)]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(sets, pa.binary())], ["id", "label", "shingles"])
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        seen += np.bincount(_slots(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), U64)), minlength=SKETCH)
+    slot = np.flatnonzero(seen)
+    for lo in range(0, len(slot), 1 << 17):
+        some = slot[lo : lo + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
+
+
+def prefixes_of(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles of a set of n can meet those of a set at most as large, and of one at least as large."""
+    least = -(-percent * n // 100)
+    return n + 1 + (-percent * (n + least)) // (100 + percent), n + 1 + (-percent * 2 * n) // (100 + percent)
+
+
+def _postings(seen: np.ndarray, percent: int, share: int):
+    """The first shingles of each class: is_low where they also meet larger sets, spread for the tasks that a shingle is dealt over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels = batch.column("id").to_numpy(), batch.column("label").to_numpy()
+            for lo in range(0, len(ids), 1024):
+                cols = []
+                for k in range(lo, min(lo + 1024, len(ids))):
+                    h = np.frombuffer(batch.column("shingles")[k].as_py(), U64)
+                    many = seen[_slots(h)]
+                    high, low = prefixes_of(len(h), percent)
+                    order = np.lexsort((h, many))[:high]
+                    pos = np.arange(len(order))
+                    cols.append((h[order].view(np.int64), np.full(len(pos), ids[k]), np.full(len(pos), labels[k]), np.full(len(pos), len(h)), pos, pos < low, -(-many[order] // share)))
+                merged = [pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]
+                yield pa.RecordBatch.from_arrays(merged, ["shingle", "id", "label", "n", "pos", "is_low", "spread"])
+
+    return run
+
+
+def _crowd_groups(rows: DataFrame, crowd: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Groups (hub, id, part) of all pairs of the crowd that may be similar and are in different components; hub only."""
+    named = crowd.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    texts = rows.select(F.col("_row").alias("id"), "text").join(named.hint("merge"), "id")
+    sets = stored(texts.mapInArrow(_crowd_sets, "id long, label long, shingles binary"), "crowd")
+    counts = sets.select("shingles").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(SKETCH, np.int64)
+    seen[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    firsts = stored(sets.mapInArrow(_postings(seen, percent, MAX_GROUP), "shingle long, id long, label long, n long, pos long, is_low boolean, spread long"), "postings")
+    low = firsts.where("is_low").withColumn("share", F.pmod(F.xxhash64("id"), "spread")).select("shingle", "share", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "pos")))
+    high = firsts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)))
+    both = high.hint("merge").join(low, ["shingle", "share"]).where(
+        "label <> label_b and (n > n_b or (n = n_b and id > id_b))"
+        f" and 100 * n_b >= {percent} * n"
+        # what can still be shared from here on, at the first shingle that both share
+        f" and {100 + percent} * (1 + least(n - 1 - pos, n_b - 1 - pos_b)) >= {percent} * (n + n_b)"
+    )
+    pairs = stored(both.select(F.col("id").alias("hub"), F.col("id_b").alias("id")).distinct(), "pairs")
+    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    return pairs.join(sizes, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / STAR_GROUP)).alias("part"))
+
+
 def _find(rows: DataFrame, similarity: float) -> DataFrame:
     """rows (_row, doc_id, text) -> _row, doc_id, n_shingles, label (a row of the component), component_id."""
     percent = round(similarity * 100)
@@ -280,14 +376,16 @@ def _find(rows: DataFrame, similarity: float) -> DataFrame:
         .select("n", "s1", "s2", F.col("m._row").alias("id"), F.col("m.doc_id").alias("first_doc"), "copies", "sig"),
         "classes",
     )
-    groups = _groups(classes, DEPTH if similarity >= SIMILARITY else DEPTH_LOW)
-    # an oversized region's hub goes to every part of it
-    hubs = groups.where("part >= 0").select("hub", F.col("hub").alias("id"), "part")
-    by_class = groups.unionAll(hubs).distinct().groupBy("id").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
-    # the text is shuffled at every size: by_class grows with the corpus, so that it is not for broadcasting
-    sets = rows.select(F.col("_row").alias("id"), "text").join(by_class.hint("merge"), "id").mapInArrow(_with_sets, "hub long, part long, id long, shingles binary")
-    links = sets.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_linker(percent), "a long, b long")
-    named = classes.join(components(links), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    groups, crowd = _groups(classes, DEPTH if similarity >= SIMILARITY else DEPTH_LOW)
+    labels = components(_compared(rows, groups, percent))
+    named = classes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if crowd is not None:
+        named = stored(named, "named")
+        more = _compared(rows, _crowd_groups(rows, crowd, labels, percent), percent)
+        for end in ("a", "b"):
+            more = more.join(named.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
+        joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+        named = named.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
     # the component's smallest doc_id; labels are row numbers and need not follow doc_ids
     heads = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     by_set = named.join(heads, "label").select("n", "s1", "s2", "label", "component_id")
