@@ -101,6 +101,30 @@ def test_leaks_by_brute_force(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_parts_and_shifted_words(spark):
+    words = [f"w{k}" for k in range(50)]
+    short = [f"s{k}" for k in range(12)]
+    item = " ".join(words)
+    leaks = [
+        item, " ".join(words[:39]), " ".join(words[37:]),  # whole, 78 % of it, its last 13 words at the document's start
+        " ".join(words[:20][:10] + ["new"] + words[10:20]), " ".join(words[20:29] + words[30:40]),  # one word more, one word less
+        " ".join(words[5:10] + ["x"] + words[11:15] + ["y", "z"] + words[15:18]), " ".join(short[:6] + ["new"] + short[6:]),
+    ]
+    clean = [
+        " ".join(words[:10] + ["y"] * 10), " ".join(reversed(words)), " ".join(w for k in range(50) for w in (words[k], "y")),
+        " ".join(words[:5] + ["y"] * 9 + words[5:10] + ["y"] * 9 + words[10:15]), " ".join(short[:6] + ["y"] * 5 + short[6:]), "plain words",
+    ]
+    rows = list(enumerate(leaks + clean))
+    # a passage that the end of one document and the start of the next would make together
+    rows += [(90, " ".join(words[:7])), (91, " ".join(words[7:14]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert sorted(got) == [(k, 2 if k == 6 else 1) for k in range(len(leaks))]
+    assert [got[k, 1].n_matched for k in range(3)] == [50, 39, 13]
+    assert got[2, 1].word_start == -37
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_take_odd_rows(spark, name):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], read(spark, SMALL, "documents").schema)

@@ -5,7 +5,13 @@ capitals are lowered. Fixed masks pick some of several consecutive words and ign
 the picked words of benchmark items and of documents are joined. Each hit fixes
 an alignment of item and document; there all words of the item are compared with
 the words opposite, so substituted words cost no more than themselves. An item
-is found where at least `overlap` of its words agree on one alignment.
+is found where at least `overlap` of its words agree on one alignment, or where
+that share of any STRETCH consecutive words of it (all, if it has fewer) follow
+each other in the document, none more than SHIFT words from the place that the
+alignment gives it. So a long quotation counts however long the item is, and
+inserted or left out words do not split it. n_matched counts the words that
+agree on the alignment itself, that with the most; word_start is where the
+item's first word would be, and is negative where a quotation lacks its start.
 
 The benchmark side is broadcast only while its seeds are within MAX_BROADCAST_SEEDS;
 beyond that they are dealt in slices of that size, one pass over the documents each.
@@ -31,6 +37,9 @@ from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, mix64, words
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1111", "11011", "110101", "101011", "1100011")
 OVERLAP = 0.8
+#: Words of an item that are enough to find it, and how far inserted and left out words may move them.
+STRETCH = 13
+SHIFT = 3
 #: Items with fewer words are compared whole.
 MIN_WORDS = 8
 MAX_BROADCAST_SEEDS = 2_000_000
@@ -89,8 +98,8 @@ class _Index:
         bits[(h & U64((1 << 20) - 1)).astype(np.int64)] = True
         return bits
 
-    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, alignment): alignment is the token opposite the item's first word."""
+    def hits(self, tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (item, alignment, row): alignment is the token opposite the item's first word, row the document of the hit."""
         found = []
         for (mask, keys, owner, place), maybe in zip(self.tables, self.maybe, strict=True):
             h = _masked(tokens, mask)
@@ -100,46 +109,67 @@ class _Index:
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
             ends = np.cumsum(n)
             k = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            found.append(np.stack([owner[k], np.repeat(at, n) - place[k]]))
+            found.append(np.stack([owner[k], np.repeat(at, n) - place[k], row[np.repeat(at, n)]]))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate(found, 1), axis=1)
-        return pairs[0], pairs[1]
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        item, align, row = np.unique(np.concatenate(found, 1), axis=1)
+        return item, align, row
 
-    def verify(self, tokens: np.ndarray, row: np.ndarray, at: np.ndarray, item: np.ndarray, align: np.ndarray, overlap: float, min_words: int):
-        """Words that agree on each alignment, and which alignments are within one document and enough."""
+    def verify(self, tokens: np.ndarray, at: np.ndarray, item: np.ndarray, align: np.ndarray, row: np.ndarray, overlap: float, min_words: int, stretch: int, shift: int):
+        """Words that agree on each alignment within its document, and which alignments are enough."""
         out_n = np.zeros(len(item), np.int64)
-        out_row = np.zeros(len(item), np.int64)
-        for lo in range(0, len(item), 1 << 16):
-            it, al = item[lo : lo + (1 << 16)], align[lo : lo + (1 << 16)]
+        enough = np.zeros(len(item), bool)
+        room = np.cumsum(self.length[item]) >> 20
+        for some in np.split(np.arange(len(item)), np.flatnonzero(np.diff(room)) + 1):
+            it, al = item[some], align[some]
             length = self.length[it]
             ends = np.cumsum(length)
             inner = np.arange(ends[-1]) - np.repeat(ends - length, length)
             pos = np.repeat(al, length) + inner
-            ok = (pos >= 0) & (pos < len(tokens))
-            same = ok & (tokens[np.where(ok, pos, 0)] == self.tokens[np.repeat(self.begin[it], length) + inner])
-            # the document is the one in which most of the alignment's middle lies
-            middle = row[np.clip(al + length // 2, 0, len(tokens) - 1)]
-            same &= (pos >= at[np.repeat(middle, length)]) & (pos < at[np.repeat(middle, length) + 1])
-            out_n[lo : lo + (1 << 16)] = np.add.reduceat(same, ends - length) if len(it) else 0
-            out_row[lo : lo + (1 << 16)] = middle
-        length = self.length[item]
-        enough = np.where(length < min_words, out_n == length, out_n >= overlap * length - 1e-9)
-        return out_n, out_row, enough & (out_n > 0)
-
-
-def _finder(items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], overlap: float, min_words: int):
+            own = self.tokens[np.repeat(self.begin[it], length) + inner]
+            lo, hi = np.repeat(at[row[some]], length), np.repeat(at[row[some] + 1], length)
+            same = [(p >= lo) & (p < hi) & (tokens[np.clip(p, 0, len(tokens) - 1)] == own) for p in (pos + d for d in range(-shift, shift + 1))]
+            n = np.add.reduceat(same[shift], ends - length)
+            good = np.where(length < min_words, n == length, n >= overlap * length - 1e-9) & (n > 0)
+            # stretches whose words are all near enough, in whatever order
+            size = np.repeat(np.minimum(length, stretch), length)
+            near = np.concatenate([[0], np.cumsum(np.logical_or.reduce(same))])
+            first = np.flatnonzero(np.repeat(~good & (length >= min_words), length) & (inner + size <= np.repeat(length, length)))
+            least = np.ceil(overlap * size[first] - 1e-9)
+            first, least = (x[near[first + size[first]] - near[first] >= least] for x in (first, least))
+            found = first[_in_order(same, first, size[first]) >= least]
+            good[np.searchsorted(ends, found, "right")] = True
+            out_n[some], enough[some] = n, good
+        return out_n, enough
+
+
+def _in_order(same: list[np.ndarray], first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each stretch with the document, no word further off than the band `same`.
+
+    same[d][i]: item word i is the document's word d - shift places from the one opposite.
+    """
+    best = [np.zeros(len(first), np.int64) for _ in same]
+    for k in range(int(size.max(initial=0))):
+        at = np.minimum(first + k, len(same[0]) - 1)
+        now: list[np.ndarray] = []
+        for d, agree in enumerate(same):
+            got = np.maximum(best[d] + (agree[at] & (k < size)), best[min(d + 1, len(same) - 1)])
+            now.append(np.maximum(got, now[-1]) if now else got)
+        best = now
+    return best[-1]
+
+
+def _finder(items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], overlap: float, min_words: int, stretch: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(items, masks, min_words)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, data, off in each_chunk(batch):
                 tokens, at = words(_fold(data), off, NOT_ALNUM)
-                item, align = index.hits(tokens)
+                item, align, doc = index.hits(tokens, np.repeat(np.arange(hi - lo), np.diff(at)))
                 if not len(item):
                     continue
-                row = np.repeat(np.arange(hi - lo), np.diff(at))
-                n, doc, good = index.verify(tokens, row, at, item, align, overlap, min_words)
+                n, good = index.verify(tokens, at, item, align, doc, overlap, min_words, stretch, shift)
                 item, n, doc, align = item[good], n[good], doc[good], align[good]
                 # the best alignment of each (document, item); of equal ones the first
                 order = np.lexsort((align, -n, item, doc))
@@ -153,7 +183,9 @@ def _finder(items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], overlap
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = OVERLAP, min_words: int = MIN_WORDS) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = OVERLAP, min_words: int = MIN_WORDS, stretch: int = STRETCH, shift: int = SHIFT
+) -> DataFrame:
     """One row per document and benchmark item found in it, at the best alignment."""
     spark = docs.sparkSession
     slices, now, room = [], [], 0
@@ -169,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = M
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     if not slices:
         return spark.createDataFrame([], _SCHEMA)
-    return reduce(DataFrame.unionAll, (texts.mapInArrow(_finder(part, masks, overlap, min_words), _SCHEMA) for part in slices))
+    return reduce(DataFrame.unionAll, (texts.mapInArrow(_finder(part, masks, overlap, min_words, stretch, shift), _SCHEMA) for part in slices))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
