@@ -27,8 +27,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 bytes that start in more than one place go; n_chars follows the text."""
-    kept = suffix_dedup.dedup(docs)
+    """Passages of 50 words or 400 bytes that come again go, wherever they stand; n_chars follows the text."""
+    kept = suffix_dedup.dedup(docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_WORDS)
     return kept.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*docs.columns)
 
 

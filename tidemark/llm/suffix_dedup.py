@@ -23,6 +23,10 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 No step holds more than a chunk of texts or a split of a bucket in one task, and
 no pairs are made.
 
+`dedup` can look for passages: with `min_words`, repeated strings of fewer bytes
+are sought, and of the runs that they cover those stay that have fewer words than
+that and fewer bytes than LENGTH.
+
 Edge cases: null and empty texts have no bytes and lose none; texts shorter than
 `length` lose none; rows that repeat remove each other wholly if long enough;
 rows with a null or repeated doc_id are documents of their own; other columns
@@ -43,6 +47,8 @@ from tidemark.llm.tables import set_aside, stored, with_row
 from tidemark.llm.textbytes import U64, Rolling, each_chunk, mix64
 
 LENGTH = 400
+#: A passage: this many bytes that come again, and this many words.
+PASSAGE, PASSAGE_WORDS = 200, 50
 Q = 32
 #: Spans of one split of a bucket, about.
 SPLIT_SPANS = 1024
@@ -367,7 +373,23 @@ def _covered(n_bytes: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(length: int, digest: bool, schema):
+_SPACES = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+
+
+def _passages(mask: np.ndarray, raw: bytes, min_words: int, min_bytes: int) -> np.ndarray:
+    """mask without its runs of fewer than min_words words and fewer than min_bytes bytes."""
+    space = _SPACES[np.frombuffer(raw, np.uint8)]
+    starts = ~space
+    starts[1:] &= space[:-1]
+    edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    before = np.concatenate([[0], np.cumsum(starts)])
+    for k in np.flatnonzero((before[end] - before[begin] < min_words) & (end - begin < min_bytes)):
+        mask[begin[k] : end[k]] = False
+    return mask
+
+
+def _apply(length: int, digest: bool, schema, min_words: int = 0):
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,6 +402,7 @@ def _apply(length: int, digest: bool, schema):
                 if win.is_valid:
                     flat = win.values
                     mask = _covered(len(raw), flat.field("lo").to_numpy(), flat.field("n").to_numpy(), length)
+                    mask = _passages(mask, raw, min_words, LENGTH) if min_words else mask
                     removed = int(mask.sum())
                     runs = int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
                     raw = np.frombuffer(raw, np.uint8)[~mask].tobytes()
@@ -406,9 +429,9 @@ def find(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     return rows.join(repeats(rows, length, **how), "_row", "left").select("doc_id", "text", "windows").mapInArrow(_apply(length, True, schema), schema)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """docs (all columns) with the repeated bytes taken out of text."""
+def dedup(docs: DataFrame, length: int = LENGTH, min_words: int = 0, **how) -> DataFrame:
+    """docs (all columns) with the repeated bytes, or with min_words the repeated passages, taken out of text."""
     hidden, back = set_aside(docs, "_row", "_r", "windows")
     rows = with_row(hidden)
     joined = rows.join(repeats(rows, length, **how).withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
-    return back(joined.select(*hidden.columns, "windows").mapInArrow(_apply(length, False, hidden.schema), hidden.schema))
+    return back(joined.select(*hidden.columns, "windows").mapInArrow(_apply(length, False, hidden.schema, min_words), hidden.schema))
