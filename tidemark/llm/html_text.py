@@ -1,14 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block of text. A line counts with its
-length in characters, or with 0 inside menus, headers, footers, sidebars,
-notices, adverts, forms, comments and other furniture, or outside the page's
-article or main element if it has one; the edges of such regions are blank
-lines. Lengths are summed over windows of WINDOW lines. Text begins where the
-sum rises from 0 (surge) and ends where it falls back to 0 (dive); the lines
-between that count are the text. On pages without article or main, lines that
-are mostly links count 0 and a stretch must reach a share of the page's
-highest window to be kept.
+Markup is stripped to lines, one for each block of text; the edges of containers
+are blank lines, several at those of sections. A line counts with its length in
+characters. Lengths are summed over windows of WINDOW lines: a stretch begins
+where the sum rises from 0 and ends where it falls back to 0, and it surges if a
+window in it reaches SURGE characters (on pages of little text, PEAK_SHARE of the
+page's highest window). The text is what stands from the first surge to the dive
+after the last one.
+
+Tags tell two things beside that. Lines inside menus, headers, footers, sidebars,
+notices, adverts, forms, comments and other furniture, and lines outside of
+articles that are mostly links, count 0 and are never text. And where article or
+main elements hold SCOPE_SHARE of the surging text or more, the text is all lines
+of those elements that surge, without those that hold less than SCOPE_SHARE of
+what the largest holds (teasers); else the elements are ignored.
 
 Edge cases: null, empty and textless pages give the empty string; unclosed and
 stray tags are tolerated; equal pages give equal rows; other columns are ignored.
@@ -24,11 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-#: On pages without article or main: least share of the highest window, and most share of linked text.
-PEAK_SHARE = 0.2
+#: Characters of a window that make a surge, and the share of a page's highest window that is enough.
+SURGE = 86
+PEAK_SHARE = 0.5
+#: Most share of linked text of a line that counts outside of articles.
 LINK_SHARE = 0.5
+#: Least share of the surging text that makes article elements the text, and of the largest such element's.
+SCOPE_SHARE = 0.2
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# possessive: a tag that does not end is given up at once, and a "<" outside of quotes ends it
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "svg", "template")}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -46,6 +56,7 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"))
 _SCOPE = ("article", "main")
+_SECTIONS = _FURNITURE | frozenset(("article", "main", "section"))
 
 
 def _is_furniture(tag: str, attrs: str) -> bool:
@@ -66,25 +77,30 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """Lines as (raw text, linked characters, furniture, in scope), and whether the page has a scope."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines(page: str, by_tags: bool = True) -> list[tuple[str, int, bool, int]]:
+    """Lines as (raw text, linked characters, furniture, number of the outermost article or main element, -1: none).
+
+    Without `by_tags` no line is furniture or in an element.
+    """
+    out: list[tuple[str, int, bool, int]] = []
     buf: list[str] = []
     linked = 0
     off: list[str] = []  # open furniture and what is open within it
-    scope, links, has_scope = 0, 0, False
-    blank = ("", 0, True, False)
+    scope, links, n_scopes = 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if buf:
-            out.append(("".join(buf), linked, bool(off), scope > 0))
+            out.append(("".join(buf), linked, bool(off), n_scopes if scope else -1))
             buf.clear()
             linked = 0
 
-    pos, n = 0, len(page)
+    def blank(n: int) -> None:
+        out.extend([("", 0, True, n_scopes if scope else -1)] * n)
+
+    pos, n, last = 0, len(page), page.rfind(">")
     while pos < n:
-        m = _TOKEN.search(page, pos)
+        m = _TOKEN.search(page, pos) if pos <= last or page.find("<!--", pos) >= 0 else None
         text = page[pos : m.start() if m else n]
         if text:
             buf.append(text)
@@ -109,22 +125,29 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             flush()
         if tag in _VOID or attrs.endswith("/"):
             continue
+        if tag in _SECTIONS:
+            blank(WINDOW)
+        elif tag == "div":
+            blank(1)
+        if not by_tags:
+            continue
         if close:
             if tag in off:
                 flush()
                 while off.pop() != tag:
                     pass
                 if not off:
-                    out.extend([blank] * WINDOW)
+                    blank(WINDOW)
             if tag in _SCOPE and scope and not off:
                 scope -= 1
-                out.extend([blank] * WINDOW)
+                blank(WINDOW)
         elif tag in _SCOPE:
             if off and off[-1] in ("nav", "header", "menu", "ul", "li", "div", "head"):
                 off.clear()  # what was left open before the article
-            has_scope = has_scope or not off
-            scope += not off
-            out.extend([blank] * WINDOW)
+            if not off:
+                n_scopes += not scope
+                scope += 1
+            blank(WINDOW)
         elif off:
             if tag in _BLOCK or tag == off[0]:
                 if tag in ("p", "li", "dt", "dd", "option", "tr") and off[-1] == tag:
@@ -132,28 +155,25 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
                 off.append(tag)
         elif _is_furniture(tag, attrs):
             flush()
-            out.extend([blank] * WINDOW)
+            blank(WINDOW)
             off.append(tag)
     flush()
-    return out, has_scope
+    return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, by_tags: bool = True) -> str:
+    """The page's text; without `by_tags` by the distribution of lengths and links alone."""
     if not page:
         return ""
-    found, has_scope = lines(page)
-    texts, lengths = [], []
-    for raw, linked, furniture, inside in found:
-        text = " ".join(html.unescape(raw).split()) if raw and not furniture and (inside or not has_scope) else ""
-        if text and not has_scope and linked > LINK_SHARE * len(raw):
-            text = ""
-        texts.append(text)
-        lengths.append(len(text))
-    if not any(lengths):
-        return ""
-    sums = _window_sums(lengths)
-    least = 0.0 if has_scope else PEAK_SHARE * max(sums)
-    kept: list[str] = []
+    texts, scopes = [], []
+    for raw, linked, furniture, scope in lines(page, by_tags):
+        counts = raw and not furniture and (scope >= 0 or linked <= LINK_SHARE * len(raw))
+        texts.append(" ".join(html.unescape(raw).split()) if counts else "")
+        scopes.append(scope)
+    sums = _window_sums([len(t) for t in texts])
+    least = min(SURGE, PEAK_SHARE * max(sums, default=0))
+    surging: list[tuple[int, int]] = []  # from the line of the surge to that before the dive
+    held: dict[int, int] = {}
     i, n = 0, len(sums)
     while i < n:
         if sums[i] == 0:
@@ -163,8 +183,16 @@ def main_text(page: str | None) -> str:
         while i < n and sums[i]:
             i += 1
         if max(sums[surge:i]) >= least:  # sums[k] covers lines k - WINDOW + 1 .. k
-            kept += [t for t in texts[max(0, surge - WINDOW + 1) : min(i, len(texts))] if t]
-    return "\n".join(kept)
+            surging.append((surge, i - WINDOW + 1))
+            for k in range(surge, i - WINDOW + 1):
+                held[scopes[k]] = held.get(scopes[k], 0) + len(texts[k])
+    if not surging:
+        return ""
+    outside = held.pop(-1, 0)
+    if held and sum(held.values()) >= SCOPE_SHARE * (outside + sum(held.values())):
+        enough = SCOPE_SHARE * max(held.values())
+        return "\n".join(t for t, s in zip(texts, scopes, strict=True) if t and held.get(s, 0) >= enough)
+    return "\n".join(t for t in texts[surging[0][0] : surging[-1][1]] if t)
 
 
 def _window_sums(lengths: list[int]) -> list[int]:
