@@ -13,25 +13,27 @@ inserted or left out words do not split it. n_matched counts the words that
 agree on the alignment itself, that with the most; word_start is where the
 item's first word would be, and is negative where a quotation lacks its start.
 
-The benchmark side is broadcast only while its seeds are within MAX_BROADCAST_SEEDS;
-beyond that they are dealt in slices of that size, one pass over the documents each.
-
-Edge cases: null or empty texts on either side match nothing; items shorter than
-the longest mask are compared as a whole, exactly; repeated items or documents
-each give their own rows; other columns are ignored.
+Items, their seeds and the documents' hits are tables throughout, and the joins
+are left to Spark. A map of SEED_BITS bits, the only thing that goes through the
+driver, tells most places of a document that no seed of the benchmark is theirs;
+it has a fixed size, and the more seeds there are the more places go to the join.
+
+Edge cases: null or empty texts on either side match nothing; items without
+item_id are left out; items shorter than MIN_WORDS are found whole and exact
+only; repeated items or documents each give their own rows, documents without
+doc_id a row with null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import set_aside
+from tidemark.llm.tables import set_aside, stored, with_row
 from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, mix64, words
 
 #: 1: the word counts, 0: it is ignored.
@@ -42,15 +44,17 @@ STRETCH = 13
 SHIFT = 3
 #: Items with fewer words are compared whole.
 MIN_WORDS = 8
-MAX_BROADCAST_SEEDS = 2_000_000
+SEED_BITS = 1 << 24
+#: A document's items are verified in as many parts, each with its text.
+ITEM_PARTS = 64
 
 _SCHEMA = "doc_id long, item_id long, n_item_words long, n_matched long, word_start long"
 
 
-def _masked(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """The seed hash at each place where the whole mask fits."""
+def _masked(tokens: np.ndarray, mask: str, whole: bool = False) -> np.ndarray:
+    """The seed hash at each place where the whole mask fits; whole items have hashes of their own."""
     n = len(tokens) - len(mask) + 1
-    out = np.full(max(n, 0), int(mask, 2) * 7919 + len(mask), U64)
+    out = np.full(max(n, 0), int(mask, 2) * 7919 + len(mask) + (whole << 40), U64)
     for k, bit in enumerate(mask):
         if bit == "1" and n > 0:
             out = (out ^ tokens[k : k + n]) * U64(0x9E3779B97F4A7C15)
@@ -66,54 +70,66 @@ def _fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Index:
-    """Sorted seeds of some items: hash -> (item, place), and the items' words."""
+def _words(column: str):
+    """Word hashes of each text of the batch, null where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in each_chunk(batch, column):
+                tokens, at = words(_fold(data), off, NOT_ALNUM)
+                part = batch.slice(lo, hi - lo)
+                cols = [pa.array(np.diff(at)), pa.array([tokens[at[k] : at[k + 1]].tobytes() for k in range(hi - lo)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), *cols], ["item_id", "n", "words"])
+
+    return run
+
+
+def _item_seeds(masks: tuple[str, ...], min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                t = np.frombuffer(raw, U64)
+                h = [_masked(t, m) for m in masks] if len(t) >= min_words else [_masked(t, "1" * len(t), True)]
+                place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in h])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.full(len(place), item)), pa.array(place)], ["seed", "item", "place"])
+
+    return run
+
+
+def seed_bits(seeds: DataFrame) -> np.ndarray:
+    """One bit for each seed's last bits, from at most SEED_BITS / 64 rows."""
+    slot = F.expr(f"pmod(seed, {SEED_BITS}L)")
+    packed = seeds.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, int(slot % 64)))").alias("bits")).toPandas()
+    out = np.zeros(SEED_BITS // 64, np.int64)
+    out[packed["at"].to_numpy(np.int64)] = packed["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], min_words: int):
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.length = np.array([len(t) for _, t in items], np.int64)
+def _document_hits(masks: list[tuple[str, bool]], packed: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            rows = batch.column("_row").to_numpy()
+            for lo, hi, data, off in each_chunk(batch):
+                tokens, at = words(_fold(data), off, NOT_ALNUM)
+                doc = np.repeat(np.arange(hi - lo), np.diff(at))
+                for mask, whole in masks:
+                    h = _masked(tokens, mask, whole)
+                    k = np.flatnonzero(maybe[(h & U64(SEED_BITS - 1)).astype(np.int64)])
+                    k = k[doc[k] == doc[k + len(mask) - 1]]
+                    cols = [pa.array(h[k].view(np.int64)), pa.array(rows[lo + doc[k]]), pa.array((k - at[doc[k]]).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["seed", "_row", "at"])
+
+    return run
+
+
+class _Items:
+    """Items one after the other, and what of them a document has."""
+
+    def __init__(self, words_of: list[bytes]):
+        self.tokens = np.frombuffer(b"".join(words_of), U64)
+        self.length = np.array([len(w) // 8 for w in words_of], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.length)])
-        self.tokens = np.concatenate([t for _, t in items]) if items else np.zeros(0, U64)
-        self.short = sorted({len(t) for _, t in items if 0 < len(t) < min_words})
-        self.tables = []
-        for mask in (*masks, *("1" * n for n in self.short)):
-            whole = mask.strip("1") == "" and len(mask) < min_words and mask not in masks
-            hashes, owner, place = [], [], []
-            for k, (_, t) in enumerate(items):
-                if (len(t) == len(mask)) if whole else len(t) >= min_words:
-                    h = _masked(t, mask)
-                    hashes.append(h)
-                    owner.append(np.full(len(h), k))
-                    place.append(np.arange(len(h)))
-            if hashes:
-                h = np.concatenate(hashes)
-                order = np.argsort(h, kind="stable")
-                self.tables.append((mask, h[order], np.concatenate(owner)[order], np.concatenate(place)[order]))
-        # one bit for each seed's low 20 bits: most places of a document need no search
-        self.maybe = [self._bits(t[1]) for t in self.tables]
-
-    @staticmethod
-    def _bits(h: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 20, bool)
-        bits[(h & U64((1 << 20) - 1)).astype(np.int64)] = True
-        return bits
-
-    def hits(self, tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (item, alignment, row): alignment is the token opposite the item's first word, row the document of the hit."""
-        found = []
-        for (mask, keys, owner, place), maybe in zip(self.tables, self.maybe, strict=True):
-            h = _masked(tokens, mask)
-            at = np.flatnonzero(maybe[(h & U64((1 << 20) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            ends = np.cumsum(n)
-            k = np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            found.append(np.stack([owner[k], np.repeat(at, n) - place[k], row[np.repeat(at, n)]]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        item, align, row = np.unique(np.concatenate(found, 1), axis=1)
-        return item, align, row
 
     def verify(self, tokens: np.ndarray, at: np.ndarray, item: np.ndarray, align: np.ndarray, row: np.ndarray, overlap: float, min_words: int, stretch: int, shift: int):
         """Words that agree on each alignment within its document, and which alignments are enough."""
@@ -159,56 +175,66 @@ def _in_order(same: list[np.ndarray], first: np.ndarray, size: np.ndarray) -> np
     return best[-1]
 
 
-def _finder(items: list[tuple[int, np.ndarray]], masks: tuple[str, ...], overlap: float, min_words: int, stretch: int, shift: int):
+def _verifier(overlap: float, min_words: int, stretch: int, shift: int):
+    """Rows of one document and some of its items: the items that are found, each at its best alignment."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(items, masks, min_words)
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            items = batch.column("items")
+            item_at = items.offsets.to_numpy() - items.offsets[0].as_py()
+            flat = items.flatten()
             for lo, hi, data, off in each_chunk(batch):
                 tokens, at = words(_fold(data), off, NOT_ALNUM)
-                item, align, doc = index.hits(tokens, np.repeat(np.arange(hi - lo), np.diff(at)))
-                if not len(item):
-                    continue
-                n, good = index.verify(tokens, at, item, align, doc, overlap, min_words, stretch, shift)
-                item, n, doc, align = item[good], n[good], doc[good], align[good]
+                part = flat.slice(item_at[lo], item_at[hi] - item_at[lo])
+                aligns = part.field("aligns")
+                n_aligns = np.diff(aligns.offsets.to_numpy())
+                item = np.repeat(np.arange(len(part)), n_aligns)
+                row = np.repeat(np.arange(hi - lo), np.diff(item_at[lo : hi + 1]))[item]
+                align = aligns.flatten().to_numpy() + at[row]
+                index = _Items(part.field("words").to_pylist())
+                n, good = index.verify(tokens, at, item, align, row, overlap, min_words, stretch, shift)
+                item, n, row, align = item[good], n[good], row[good], align[good]
                 # the best alignment of each (document, item); of equal ones the first
-                order = np.lexsort((align, -n, item, doc))
-                item, n, doc, align = item[order], n[order], doc[order], align[order]
-                first = np.ones(len(item), bool)
-                first[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])
-                item, n, doc, align = item[first], n[first], doc[first], align[first]
-                cols = [pa.array(doc_ids[lo + doc]), pa.array(index.ids[item]), pa.array(index.length[item]), pa.array(n), pa.array(align - at[doc])]
-                yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in cols], ["doc_id", "item_id", "n_item_words", "n_matched", "word_start"])
+                order = np.lexsort((align, -n, item))
+                order = order[np.append(True, np.diff(item[order]) != 0)[: len(order)]]
+                item, n, row, align = item[order], n[order], row[order], align[order]
+                own = batch.slice(lo, hi - lo)
+                cols = [own.column(c).take(pa.array(row)) for c in ("_row", "doc_id")]
+                cols += [part.field("item_id").take(pa.array(item)), pa.array(index.length[item]), pa.array(n), pa.array(align - at[row])]
+                yield pa.RecordBatch.from_arrays(cols, ["_row", "doc_id", "item_id", "n_item_words", "n_matched", "word_start"])
 
     return run
 
 
+def _find(rows: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], overlap: float, min_words: int, stretch: int, shift: int) -> DataFrame:
+    """rows (_row, doc_id, text) -> _row and the columns of find_leaks."""
+    spark = rows.sparkSession
+    named = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
+    items = stored(named.mapInArrow(_words("text"), "item_id long, n long, words binary").where("n > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    short = sorted(r.n for r in items.where(F.col("n") < min_words).select("n").distinct().collect())
+    seeds = stored(items.select("item", "words").mapInArrow(_item_seeds(masks, min_words), "seed long, item long, place int"), "seeds")
+    if seeds.isEmpty():
+        return spark.createDataFrame([], f"_row long, {_SCHEMA}")
+    packed = np.packbits(seed_bits(seeds), bitorder="little").tobytes()
+    fits = [(m, False) for m in masks] + [("1" * n, True) for n in short]
+    hits = rows.select("_row", "text").mapInArrow(_document_hits(fits, packed), "seed long, _row long, at int")
+    met = hits.join(seeds, "seed").groupBy("_row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("aligns"))
+    listed = met.join(items, "item").groupBy("_row", F.pmod("item", F.lit(ITEM_PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "words", "aligns")).alias("items"))
+    found = rows.select("_row", "doc_id", "text").join(listed, "_row").select("_row", "doc_id", "text", "items")
+    return found.mapInArrow(_verifier(overlap, min_words, stretch, shift), f"_row long, {_SCHEMA}")
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = OVERLAP, min_words: int = MIN_WORDS, stretch: int = STRETCH, shift: int = SHIFT
 ) -> DataFrame:
     """One row per document and benchmark item found in it, at the best alignment."""
-    spark = docs.sparkSession
-    slices, now, room = [], [], 0
-    for batch in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").toLocalIterator():
-        data = np.frombuffer((batch["text"] or "").encode(), np.uint8)
-        tokens, _ = words(_fold(data), np.array([0, len(data)]), NOT_ALNUM)
-        if len(tokens):
-            now.append((batch["item_id"], tokens))
-            room += len(tokens) * len(masks)
-        if room > MAX_BROADCAST_SEEDS:
-            slices, now, room = [*slices, now], [], 0
-    slices = [*slices, now] if now else slices
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    if not slices:
-        return spark.createDataFrame([], _SCHEMA)
-    return reduce(DataFrame.unionAll, (texts.mapInArrow(_finder(part, masks, overlap, min_words, stretch, shift), _SCHEMA) for part in slices))
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those in which a benchmark item is found (all columns kept).
-
-    The ids found are few but not bounded, so the join is left to Spark.
-    """
-    hidden, back = set_aside(docs, "_leak")
-    bad = find_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct()
-    return back(hidden.join(bad, F.col("doc_id").cast("long") == F.col("_leak"), "left_anti"))
+    rows = with_row(docs.select(F.col("doc_id").cast("long"), "text"))
+    return _find(rows, benchmark, masks, overlap, min_words, stretch, shift).drop("_row")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, overlap: float = OVERLAP, min_words: int = MIN_WORDS, stretch: int = STRETCH, shift: int = SHIFT) -> DataFrame:
+    """docs without those rows in which a benchmark item is found (all columns kept)."""
+    hidden, back = set_aside(docs, "_row", "_leak")
+    rows = with_row(hidden)
+    bad = _find(rows.select("_row", F.col("doc_id").cast("long"), "text"), benchmark, masks, overlap, min_words, stretch, shift)
+    return back(rows.join(bad.select(F.col("_row").alias("_leak")).distinct(), F.col("_row") == F.col("_leak"), "left_anti").drop("_row"))
