@@ -84,3 +84,13 @@ def test_pages(spark):
     assert got[4].text == "plain text only"
     assert got[6].text == ("long text here " * 20).strip() + "\n" + ("second part " * 20).strip()
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_other_vocabularies_have_their_own_ids(spark):
+    assert packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")).by_word
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words, and\n a line", "", "It's 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.token_pieces(docs, "byte_bpe_50k.json").collect():
+        ids = np.array([*whole.encode(texts[r.doc_id], add_special_tokens=False).ids, 1], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))

@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its hashed byte 2-, 3- and 4-grams
 (letters lowered, anything else one space); a softmax layer above gives the
 languages. Embeddings and layer are trained together by stochastic gradient
-descent in numpy on a bounded sample, and on short random cuts of it so that
-short texts are known too. A temperature and a rejection bound are calibrated on
-a tenth of the sample that training does not see.
+descent in numpy on the whole texts of a sample of at most `max_docs` documents of
+each language, and on short random cuts of them so that short texts are known
+too. A temperature and a rejection bound are calibrated on a tenth of the sample
+that training does not see.
 
 Since the layer is linear, scoring looks up each gram's embedding times the
 layer: the same numbers with less work.
@@ -28,9 +29,8 @@ from tidemark.llm.textbytes import each_chunk, utf8
 
 BUCKETS = 1 << 14
 DIM = 16
-MAX_DOCS = 4000
-#: Bytes of each training document that are read; scoring reads whole texts.
-TRAIN_BYTES = 4000
+#: Training documents of one language.
+MAX_DOCS = 1500
 ORDERS = (2, 3, 4)
 #: The share of right answers among calibration texts that the bound may reject.
 REJECT_SHARE = 0.01
@@ -110,7 +110,7 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 7)
             bias -= rate * 0.02 * g.sum(0)
             emb[used] -= rate * len(k) * (x.T @ g_h)
     model = {"names": names, "table": emb @ out, "bias": bias, "heat": 1.0, "bound": 0.0}
-    check = np.flatnonzero(held)[:2000]
+    check = np.flatnonzero(held)
     if len(check):
         logits = np.stack([(model["table"][rows[i][0]] * rows[i][1][:, None]).sum(0) + bias for i in check])
         heats = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
@@ -124,9 +124,9 @@ def train(texts: list[bytes], langs: list[str], epochs: int = 6, seed: int = 7)
 
 
 def fit(docs: DataFrame, train_on: Column, max_docs: int = MAX_DOCS) -> dict | None:
-    """Train on those with letters of the max_docs documents of the smallest doc_id hash that have a lang."""
-    texts = docs.where(F.col("lang").isNotNull() & train_on).select("doc_id", "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
-    chosen = smallest_hashes(texts, "doc_id", max_docs).where(F.col("text").rlike(r"\p{L}")).toPandas()
+    """Train on those with letters of the max_docs documents of each lang that have the smallest doc_id hashes."""
+    texts = docs.where(F.col("lang").isNotNull() & train_on).select("doc_id", "lang", "text")
+    chosen = smallest_hashes(texts, "doc_id", max_docs, "lang").where(F.col("text").rlike(r"\p{L}")).toPandas()
     chosen = chosen.sort_values(["doc_id", "text"], ignore_index=True)
     if not len(chosen):
         return None

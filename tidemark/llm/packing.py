@@ -4,8 +4,9 @@ Documents become token pieces of at most `capacity` tokens. Pieces are dealt to
 groups of bounded size and packed best-fit decreasing within each group. Bins
 that are nearly full are final. Underfull bins become items themselves, whole
 and with their fill as length, and go into the next round in fewer groups, so
-that a tree of rounds merges what single groups could not fill. The rounds end
-when one group was enough or a round merges nothing.
+that a tree of rounds merges what single groups could not fill. A bin is final, too, if
+it has no room for the smallest of the others. The rounds end when one group was
+enough or a round merges nothing.
 
 Only (item, length) pairs are shuffled; token ids never leave the tokenising task.
 
@@ -16,6 +17,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -38,6 +40,23 @@ GROUP_ITEMS = 4096
 #: Words that a task keeps with their ids before it starts anew.
 MAX_CACHED_WORDS = 1_000_000
 
+# The steps of a word tokenizer whose words can be encoded one by one.
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+    {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+    },
+)
+
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,8 +82,9 @@ class _Places(dict):
 class WordTokenizer:
     """Exact ids of a lower-casing word-end BPE, each distinct word encoded once.
 
-    White space never reaches the vocabulary, so the ids of a text are those of
-    its space-separated words in order. Words of ASCII and Latin-1 letters go to
+    White space never reaches such a vocabulary, so the ids of a text are those of
+    its space-separated words in order; a tokenizer with other steps than STEPS
+    encodes each text as a whole. Words of ASCII and Latin-1 letters go to
     the BPE model directly after the tokenizer's own steps (lower case, split
     into letter runs, digits and the rest, byte-level letters); any other word
     takes the library's whole path.
@@ -77,6 +97,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        steps = json.loads(self.whole.to_str())
+        model = {k: v for k, v in steps["model"].items() if k not in ("vocab", "merges")}
+        self.by_word = (steps["normalizer"], steps["pre_tokenizer"], steps["post_processor"], model) == STEPS
         self.model = self.whole.model
         chars = _byte_chars()
         self.letters = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -111,12 +134,12 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and where each text's begin (n + 1)."""
-        if len(self.at) > MAX_CACHED_WORDS:
+        if len(self.at) > MAX_CACHED_WORDS or len(self.flat) > 20 * MAX_CACHED_WORDS:
             self._reset()
         at = self.at
         where, counts = [], []
         for text in texts:
-            if any(s in text for s in self.specials):  # such a string can span no words but is one id
+            if not self.by_word or any(s in text for s in self.specials):  # such a string can span no words but is one id
                 ids = self.whole.encode(text, add_special_tokens=False).ids
                 self._add(ids)
                 where.append(np.array([len(self.starts) - 1]))
@@ -228,11 +251,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
         dealt = todo.withColumn("g", F.pmod(F.xxhash64("item", F.lit(len(rounds))), F.lit(groups)))
         packed = stored(dealt.groupBy("g").applyInPandas(_packer(capacity), "item long, bin long, place long, fill long"), "bins")
         rounds.append(packed)
-        todo = packed.where((F.col("item") == F.col("bin")) & (F.col("fill") < closed_at)).select("item", F.col("fill").alias("length"))
-        left = todo.count()
-        if groups == 1 or left >= 0.98 * n:
+        open_bins = packed.where((F.col("item") == F.col("bin")) & (F.col("fill") < closed_at)).select("item", F.col("fill").alias("length"))
+        smallest, left = open_bins.agg(F.min("length"), F.count(F.lit(1))).first()
+        if groups == 1 or left == n or not left:
             break
-        n = left
+        todo = open_bins.where(F.col("length") + smallest <= capacity)
+        n = todo.count()
     out = items.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for packed in rounds:
         step = packed.select(F.col("item").alias("sequence_id"), "bin", "place")

@@ -6,8 +6,10 @@ a quality label, each line bearing its document's label. The score of a document
 is the mean of its lines' forward-backward marginals of "good", weighted by
 their lengths in bytes.
 
-Training reads at most `max_docs` labelled documents (those of the smallest hash
-of doc_id) and their first `max_lines` lines; scoring reads every whole text.
+Training reads the whole texts of at most `max_docs` labelled documents (those of
+the smallest hash of doc_id). Each document counts the same there, however many
+lines it has; documents of more than CHAIN_LINES lines are several chains, whose
+lines keep their neighbours' features. Scoring reads every whole text.
 
 Edge cases: null and empty texts are one empty line and get a score like any
 other; labels of null or repeated ids: null quality is ignored, repeated ids
@@ -29,7 +31,7 @@ from tidemark.llm.textbytes import Rolling, each_chunk, rows_of, sum_rows, word_
 
 THRESHOLD = 0.7
 MAX_DOCS = 6000
-MAX_LINES = 200
+CHAIN_LINES = 200
 
 # byte classes: 0 lower or non-ASCII, 1 upper, 2 digit, 3 white space, 4 "!", 5 "|", 6 symbol, 7 other
 _CLASS = np.full(256, 7, np.uint8)
@@ -128,8 +130,8 @@ class Chain:
         self.alive = [int(x) for x in np.searchsorted(-count, -np.arange(steps), "left")] if steps else []
         self.last = self.first + count - 1
 
-    def marginals(self, emit: np.ndarray, trans: np.ndarray, pairs: bool = False):
-        """P(good) of each line; log Z; with `pairs` the sum of pair marginals. emit: lines x 2."""
+    def marginals(self, emit: np.ndarray, trans: np.ndarray, share: np.ndarray | None = None):
+        """P(good) of each line; log Z; with `share` the sum of pair marginals, weighted by it. emit: lines x 2."""
         a = np.exp(trans - trans.max())
         top = emit.max(1, keepdims=True)
         e = np.exp(emit - top)
@@ -146,13 +148,13 @@ class Chain:
         p = fwd * bwd
         p /= p.sum(1, keepdims=True)
         logz = np.log(scale).sum() + top.sum() + (self.n - len(self.first)) * trans.max()
-        if not pairs:
+        if share is None:
             return p[:, 1], logz, None
         after = np.ones(self.n, bool)
         after[self.first] = False
         i = np.flatnonzero(after)
         both = fwd[i - 1][:, :, None] * a[None] * (bwd[i] * e[i] / scale[i][:, None])[:, None, :]
-        return p[:, 1], logz, (both / both.sum((1, 2), keepdims=True)).sum(0)
+        return p[:, 1], logz, (both * (share[i] / both.sum((1, 2)))[:, None, None]).sum(0)
 
 
 def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, rounds: int = 250, l2: float = 1e-3) -> dict[str, np.ndarray]:
@@ -161,21 +163,23 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, rounds: int = 250, l2: f
     mean[-3:], std[std < 1e-6] = 0, 1
     std[-3:] = 1
     z = (x - mean) / std
-    chain, doc = Chain(at), np.repeat(np.arange(len(y)), np.diff(at))
+    doc = np.repeat(np.arange(len(y)), np.diff(at))
     label = y[doc]
-    # each document counts the same, however many lines it has
+    share = 1 / (np.diff(at)[doc] * len(y))  # each document counts the same, however many lines it has
+    cut = np.flatnonzero((np.arange(len(doc)) - at[doc]) % CHAIN_LINES == 0)
+    chain = Chain(np.append(cut, len(doc)))
     inner = np.ones(len(label), bool)
-    inner[at[:-1]] = False
+    inner[cut] = False
     i = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (label[i - 1], label[i]), 1)
+    np.add.at(seen, (label[i - 1], label[i]), share[i])
     w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     emit = np.zeros((len(z), 2))
     for k in range(1, rounds + 1):
         emit[:, 1] = z @ w
-        p, _, pair = chain.marginals(emit, trans, pairs=True)
-        g = np.concatenate([z.T @ (label - p) / len(label) - l2 * w, ((seen - pair) / len(label) - l2 * 10 * trans).ravel()])
+        p, _, pair = chain.marginals(emit, trans, share)
+        g = np.concatenate([z.T @ ((label - p) * share) - l2 * w, (seen - pair - l2 * 10 * trans).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w += step[:-4]
@@ -191,7 +195,7 @@ def _document_scores(x, length, at, model) -> np.ndarray:
     return np.clip(sum_rows(p * weight, at) / sum_rows(weight, at), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MAX_DOCS) -> dict:
     """Train on at most max_docs labelled documents where `train_on` (of doc_id) holds."""
     labelled = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & train_on)
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MA
             y = batch.column("_y").to_numpy()
             for lo, hi, data, off in each_chunk(batch):
                 x, _, at = line_features(data, off)
-                rows = [x[at[k] : min(at[k + 1], at[k] + max_lines)].astype("<f4").tobytes() for k in range(hi - lo)]
+                rows = [x[at[k] : at[k + 1]].astype("<f4").tobytes() for k in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi]), pa.array(rows, pa.binary())], ["y", "x"])
 
     # at most max_docs rows of (id, label): a proven bound for the broadcast

@@ -6,23 +6,21 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session; only a local session (tests) may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
     if not named:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-"))
-        named = f"file://{_own[0]}"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
@@ -55,14 +53,20 @@ def with_row(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
-def smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The n rows whose key has the smallest hash: a sample that is the same at every layout.
+def smallest_hashes(df: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
+    """The n rows (of each value of `by`) whose key has the smallest hash: a sample that is the same at every layout.
 
     A first cut by the hash itself leaves about 2 n rows, so that tasks have few to sort and send.
     """
     h = F.pmod(F.xxhash64(key), F.lit(1 << 31))
-    share = min(1.0, 2.0 * n / max(df.count(), 1))
-    return df.where(h < int(share * (1 << 31)) + 1).orderBy(h, key).limit(n)
+    if by is None:
+        share = min(1.0, 2.0 * n / max(df.count(), 1))
+        return df.where(h < int(share * (1 << 31)) + 1).orderBy(h, key).limit(n)
+    bound = F.least(F.lit(1.0), 2.0 * n / F.count(F.lit(1))) * (1 << 31) + 1
+    bounds = df.groupBy(F.col(by).alias("_by")).agg(bound.alias("_bound"))
+    first = Window.partitionBy(by).orderBy(h, key)
+    near = df.join(bounds, (F.col(by) == F.col("_by")) & (h < F.col("_bound"))).drop("_by", "_bound")
+    return near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
 
 
 def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
