@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -186,7 +187,8 @@ def like_escape(text: str) -> str:
 
 def plain_number(c: Column, digits: int = 2) -> Column:
     """At most `digits` decimals, none that are 0, and never an exponent."""
-    return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", c.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", c.cast("double")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(c.isNotNull(), plain)
 
 
 def format_benefit(kind: Column, amount: Column, unit: Column, text: Column) -> Column:
@@ -214,8 +216,7 @@ def local_today(as_of: Column, zone: str = "Asia/Shanghai") -> Column:
 
 def has_any(c: Column, keywords: tuple[str, ...] | list[str]) -> Column:
     """Whether the text holds any keyword, letters of either case."""
-    low = F.lower(c)
-    out = F.lit(False)
-    for k in keywords:
-        out = out | low.contains(k.lower())
-    return F.coalesce(out, F.lit(False))
+    def any_in(low: Column) -> Column:
+        return reduce(Column.__or__, (low.contains(k.lower()) for k in keywords), F.lit(False))
+
+    return F.coalesce(let(F.lower(c), any_in), F.lit(False))

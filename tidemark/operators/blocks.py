@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
-from tidemark.functions.text import blank, clean_text, has_any
+from tidemark.functions.text import blank, clean_text, has_any, let
 
 BLOCK = "struct<pos:int,text:string,href:string,tag:string,heading:string>"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -165,20 +165,24 @@ def candidates(paged: DataFrame, min_score: int = 6, most: int = 25, profile: ru
     A hit takes itself and what follows up to the next heading, five blocks at
     most; hits within what an earlier one took are part of it.
     """
-    scored = paged.withColumn("scores", F.transform("blocks", lambda b: block_score(b["text"], profile)))
     headings = F.filter(F.transform("blocks", lambda b: F.when(b["tag"].isin(*HEADINGS), b["pos"])), lambda p: p.isNotNull())
-    scored = scored.withColumn("headings", headings)
+    marked = paged.withColumn("headings", headings)
 
     def until(pos: Column) -> Column:
         nexts = F.filter("headings", lambda h: h > pos)
         return F.least(pos + 5, F.coalesce(F.array_min(nexts), pos + 5), F.size("blocks"))
 
-    def step(acc: Column, b: Column) -> Column:
-        hit = (b["pos"] >= acc["until"]) & (b["tag"] != "tr") & (F.get("scores", b["pos"]) >= min_score)
-        return F.when(hit, F.struct(until(b["pos"]).alias("until"), F.array_append(acc["hits"], b["pos"]).alias("hits"))).otherwise(acc)
+    def chosen(scores: Column) -> Column:
+        def step(acc: Column, b: Column) -> Column:
+            hit = (b["pos"] >= acc["until"]) & (b["tag"] != "tr") & (F.get(scores, b["pos"]) >= min_score)
+            return F.when(hit, F.struct(until(b["pos"]).alias("until"), F.array_append(acc["hits"], b["pos"]).alias("hits"))).otherwise(acc)
 
-    start = F.struct(F.lit(0).alias("until"), F.array().cast("array<int>").alias("hits"))
-    hits = scored.withColumn("hits", F.aggregate("blocks", start, step)["hits"]).select("page_id", "blocks", "headings", "scores", F.explode("hits").alias("block_index"))
+        start = F.struct(F.lit(0).alias("until"), F.array().cast("array<int>").alias("hits"))
+        return F.transform(F.aggregate("blocks", start, step)["hits"], lambda h: F.struct(h.alias("block_index"), F.get(scores, h).alias("own")))
+
+    # bound by `let`: as a column of its own the optimizer would put it into the loop over blocks
+    hits = let(F.transform("blocks", lambda b: block_score(b["text"], profile)), chosen)
+    hits = marked.select("page_id", "blocks", "headings", F.explode(hits).alias("hit")).select("page_id", "blocks", "headings", "hit.*")
     own = F.get("blocks", F.col("block_index"))
     part = F.slice("blocks", F.col("block_index") + 1, until(F.col("block_index")) - F.col("block_index"))
     before = F.array_max(F.filter("headings", lambda h: (h < F.col("block_index")) & (h >= F.col("block_index") - 3)))
@@ -187,7 +191,7 @@ def candidates(paged: DataFrame, min_score: int = 6, most: int = 25, profile: ru
     context = clean_text(F.array_join(F.transform(part, lambda b: b["text"]), "\n"))
     href = F.coalesce(own["href"], F.get(F.filter(F.transform(part, lambda b: b["href"]), lambda h: h.isNotNull()), F.lit(0)))
     found = hits.select(
-        "page_id", "block_index", F.substring(clean_text(title), 1, 120).alias("title"), context.alias("full"), href.alias("href"), F.get("scores", F.col("block_index")).alias("own")
+        "page_id", "block_index", F.substring(clean_text(title), 1, 120).alias("title"), context.alias("full"), href.alias("href"), "own"
     ).where(F.length("full") >= 12)
     ranked = found.select("page_id", "block_index", "title", F.substring("full", 1, 2000).alias("context"), "href", F.greatest("own", block_score(F.col("full"), profile)).alias("score"))
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "block_index")

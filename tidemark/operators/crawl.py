@@ -29,12 +29,14 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url) with `allowed`: the longest rule that begins the path decides, ties and no rule allow.
 
-    The path's own prefixes meet the rules by equality on host and path.
+    The path's prefixes of the lengths that its host's rules have meet the rules by equality on host and path.
     """
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-zA-Z][^:]*://[^/?#]*", ""), "#.*$", "")
     path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     cut = urls.select("url").distinct().select("url", url_host(F.col("url")).alias("host"), path.alias("p"))
-    cut = cut.select("url", "host", F.explode(F.transform(F.sequence(F.lit(1), F.length("p")), lambda n: F.substring(F.col("p"), F.lit(1), n))).alias("path"))
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("p"))
+    cut = cut.join(lengths, "host").select("url", "host", F.explode(F.transform(fitting, lambda n: F.substring(F.col("p"), F.lit(1), n))).alias("path"))
     best = cut.join(rules, ["host", "path"]).groupBy("url").agg(F.max(F.struct(F.length("path").alias("n"), "allow"))["allow"].alias("_a"))
     return urls.join(best, "url", "left").withColumn("allowed", F.coalesce("_a", F.lit(True))).drop("_a")
 

@@ -7,33 +7,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold_name, version_of
 
-#: The greatest number of dimension rows that are broadcast; larger ones are joined by shuffle.
-MAX_BROADCAST_ROWS = 200_000
+#: Aliases that travel in one array; more of a group go in several.
 MAX_ALIASES = 20_000
 
 
-def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `limit` rows, as it is otherwise."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def longest_alias(texts: DataFrame, aliases: DataFrame, group: str | None = None, text: Column | None = None, least: int = 3) -> DataFrame:
     """texts (id, text) and aliases (entity_id, alias, ord) -> id, entity_id, alias: the longest folded alias that a text holds.
 
     With `group` both sides share that column and only meet within it. A group's
-    aliases travel as one array, so that no (text, alias) rows are made; aliases
-    are a dimension, at most MAX_ALIASES of a group. Ties go to the smallest `ord`.
+    aliases travel as arrays of about MAX_ALIASES, so that no (text, alias) rows
+    are made: a text meets each array once, and the best of all counts. Whether
+    the arrays are broadcast is left to Spark, which knows their bytes. Ties go
+    to the smallest `ord`.
     """
-    folded = aliases.withColumn("fold", fold_name(F.col("alias"))).where(F.length("fold") >= least)
-    by = [group] if group else []
+    folded = aliases.withColumn("fold", fold_name(F.col("alias"))).where(F.length("fold") >= least).withColumn("_g", F.col(group) if group else F.lit(0))
+    sizes = folded.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / MAX_ALIASES).alias("_parts"))
     entry = F.struct(F.length("fold").alias("n"), (-F.col("ord")).alias("o"), "entity_id", "alias", "fold")
-    known = folded.groupBy(*by).agg(F.collect_list(entry).alias("known"), F.count(F.lit(1)).alias("n"))
-    if (known.agg(F.max("n")).first()[0] or 0) > MAX_ALIASES:
-        raise ValueError(f"more than {MAX_ALIASES} aliases in a group: use a finer group")
-    t = texts.select("id", *by, fold_name(F.col("text") if text is None else text).alias("f"))
-    met = t.join(small(known.drop("n")), by) if by else t.crossJoin(F.broadcast(known.drop("n")))  # one row
+    known = folded.join(sizes, "_g").groupBy("_g", F.pmod(F.xxhash64("fold"), "_parts").alias("_part")).agg(F.collect_list(entry).alias("known"))
+    t = texts.select("id", (F.col(group) if group else F.lit(0)).alias("_g"), fold_name(F.col("text") if text is None else text).alias("f"))
     best = F.array_max(F.filter("known", lambda x: F.col("f").contains(x["fold"])))
-    return met.select("id", best.alias("b")).where("b IS NOT NULL").select("id", "b.entity_id", "b.alias")
+    met = t.join(known, "_g").select("id", best.alias("b")).where("b IS NOT NULL")
+    return met.groupBy("id").agg(F.max("b").alias("b")).select("id", "b.entity_id", "b.alias")
 
 
 def unique_version(texts: DataFrame, entities: DataFrame) -> DataFrame:
@@ -55,7 +49,7 @@ def url_prefix(urls: DataFrame, bases: DataFrame, group: Column | None = None) -
 
     parts = F.split(trimmed("url"), "/")
     cuts = F.transform(F.sequence(F.lit(3), F.greatest(F.size(parts), F.lit(3))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    met = urls.select("id", "pos", F.explode(F.array_distinct(cuts)).alias("base")).join(small(bases.select("base_id", trimmed("base").alias("base"))), "base")
+    met = urls.select("id", "pos", F.explode(F.array_distinct(cuts)).alias("base")).join(bases.select("base_id", trimmed("base").alias("base")), "base")
     return met.groupBy("id").agg(F.min(F.struct("pos", "base_id"))["base_id"].alias("base_id"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import like_escape
+from tidemark.functions.text import let, like_escape
 
 PUBLISHED = ("auto_ok", "approved")
 
@@ -48,6 +49,7 @@ def orders(name: str) -> list[Column]:
         "ending": [F.asc_nulls_last("days_left"), by_id],
         "ending_active_first": [status_rank(), F.asc_nulls_last("days_left"), by_id],
         "provider": [F.col("provider"), by_id],
+        "provider_zh": [F.collate(F.col("provider"), "zh"), by_id],
     }[name]
 
 
@@ -66,6 +68,8 @@ class ListQuery:
     ending_soon: bool = False
     overlaps: tuple[str | None, str | None] = (None, None)
     include_pending: bool = False
+    elsewhere: bool = False  # every region but those named
+    words: str = ""  # in title or provider, either case
     sort: str = "default"
     page: int = 1
     page_size: int = 24
@@ -78,7 +82,10 @@ class ListQuery:
         out = df if self.include_pending else published(df)
         for c in ("provider", "category", "status", "region"):
             if wanted := getattr(self, c):
-                out = out.where(F.col(c).isin(*wanted))
+                some = F.col(c).isin(*wanted)
+                out = out.where(~some if c == "region" and self.elsewhere else some)
+        if self.words.strip():
+            out = out.where(F.lower(F.concat_ws(" ", "title", "provider")).contains(self.words.strip().lower()))
         if self.audience:
             out = out.where(F.arrays_overlap("audience", F.array(*map(F.lit, self.audience))))
         if self.capability:
@@ -104,19 +111,29 @@ class ListQuery:
         return self.where(df).agg(F.count(F.lit(1)).alias("total"), F.ceil(F.count(F.lit(1)) / self.page_size).cast("long").alias("pages"))
 
 
+#: Latin letters with marks, and the letters without: the canonical decomposition's first letter.
+_MARKED = [(chr(k), unicodedata.normalize("NFD", chr(k))[0]) for k in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(k))) > 1]
+
+
+def without_marks(c: Column) -> Column:
+    """Latin letters without accents."""
+    return F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+
+
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits in lower case, each once."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    """Runs of letters and digits in lower case and without accents, each once."""
+    return F.array_distinct(F.filter(F.split(without_marks(F.lower(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
 def all_prefixes(c: Column, query: str) -> Column:
     """Every word of the query begins some token."""
-    words = [w.replace('"', "").replace("*", "").lower() for w in query.split()]
+    plain = "".join(dict(_MARKED).get(x, x) for x in query.lower())
+    words = [w for w in (w.replace('"', "").replace("*", "") for w in plain.split()) if w]
 
-    def begins(w: str) -> Column:
-        return F.exists(tokens(c), lambda t: t.startswith(w))
+    def begins(found: Column, w: str) -> Column:
+        return F.exists(found, lambda t: t.startswith(w))
 
-    return reduce(Column.__and__, (begins(w) for w in words if w), F.lit(True))
+    return let(tokens(c), lambda found: reduce(Column.__and__, (begins(found, w) for w in words), F.lit(True)))
 
 
 def search(df: DataFrame, columns: list[str], query: str, fold_spaces: bool = False) -> DataFrame:

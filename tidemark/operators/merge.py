@@ -103,3 +103,42 @@ def unchanged(snapshots: DataFrame, source: str, order: str, digest: Column) ->
     """snapshots with `unchanged`: the content equals that of the same source's previous snapshot."""
     w = Window.partitionBy(source).orderBy(order)
     return snapshots.withColumn("digest", digest).withColumn("unchanged", F.coalesce(F.lag("digest").over(w) == F.col("digest"), F.lit(False)))
+
+
+def revalidated(table: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Items whose review status changes under new verdicts (key, action): key, was, now. What a person decided stays."""
+    v = verdicts.select(F.col(key).alias("_k"), F.when(F.col("action") == "reject", "rejected").when(F.col("action") == "auto_ok", "auto_ok").otherwise("pending").alias("now"))
+    manual = F.col("review_status").isin("approved", "rejected")
+    met = table.where(~F.coalesce(manual, F.lit(False))).join(v, F.col(key) == F.col("_k"))
+    return met.where(~F.col("review_status").eqNullSafe(F.col("now"))).select(key, F.col("review_status").alias("was"), "now")
+
+
+def relinked(items: DataFrame, links: DataFrame) -> DataFrame:
+    """items (id, model_id, endpoint_id) and new links -> those that change; items without a new link keep what they have."""
+    new = links.select(F.col("id").alias("_id"), F.col("model_id").alias("new_model"), F.col("endpoint_id").alias("new_endpoint")).where("new_model IS NOT NULL")
+    met = items.join(new, F.col("id") == F.col("_id"))
+    same = F.col("model_id").eqNullSafe(F.col("new_model")) & F.col("endpoint_id").eqNullSafe(F.col("new_endpoint"))
+    return met.where(~same).select("id", "model_id", "endpoint_id", "new_model", "new_endpoint")
+
+
+def source_key(url: Column, query: Column, kind: Column) -> Column:
+    """What a configured source is known by: its address, or its query and kind."""
+    return F.coalesce(F.nullif(url, F.lit("")), F.concat_ws("|", query, kind))
+
+
+def config_sync(table: DataFrame, configured: DataFrame, key: str, fields: Sequence[str], as_of: Column) -> DataFrame:
+    """The table after the configuration: entries inserted or updated by key, those missing there disabled and kept."""
+    return disable_missing(upsert(table, configured, key, fields, as_of), configured, key)
+
+
+def delivered(subscriptions: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """subscriptions (sub_id, active, fail_count, last_push_at) after results (sub_id, status): a success clears the count, 404 and 410 end it."""
+    r = results.select(F.col("sub_id").alias("_id"), "status")
+    ok = F.col("status").between(200, 299)
+    met = subscriptions.join(r, F.col("sub_id") == F.col("_id"), "left")
+    tried = F.col("_id").isNotNull()
+    return met.withColumns({
+        "fail_count": F.when(~tried, F.col("fail_count")).when(F.coalesce(ok, F.lit(False)), 0).otherwise(F.col("fail_count") + 1),
+        "active": F.col("active") & ~F.coalesce(F.col("status").isin(404, 410), F.lit(False)),
+        "last_push_at": F.when(tried & F.coalesce(ok, F.lit(False)), as_of).otherwise(F.col("last_push_at")),
+    }).select(*subscriptions.columns)

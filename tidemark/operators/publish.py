@@ -57,12 +57,8 @@ def guide_sections(sections: Column) -> Column:
     return F.transform(sections, one)
 
 
-def matches(subscriptions: DataFrame, items: DataFrame) -> DataFrame:
-    """subscriptions (sub_id, filters) x items (id, provider, category, audience) -> sub_id, id.
-
-    An empty filter passes everything. Each filter's values and "any" are
-    spread on both sides, so that they meet by equality and not one with all.
-    """
+def _spread(subscriptions: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides by (provider, category) where each filter's values or "any" stand, so that they meet by equality."""
     def values(c: str) -> Column:
         f = F.coalesce(F.col(f"filters.{c}"), F.array().cast("array<string>"))
         return F.when(F.size(f) > 0, F.array_distinct(f)).otherwise(F.array(F.lit("*")))
@@ -72,9 +68,33 @@ def matches(subscriptions: DataFrame, items: DataFrame) -> DataFrame:
 
     subs = subscriptions.select("sub_id", values("providers").alias("p"), values("categories").alias("c"), values("audience").alias("a"))
     subs = subs.withColumn("provider", F.explode("p")).withColumn("category", F.explode("c")).select("sub_id", "provider", "category", "a")
-    spread = items.select("id", "audience", F.explode(either(F.col("provider"))).alias("provider"), "category").withColumn("category", F.explode(either(F.col("category"))))
-    met = subs.join(spread, ["provider", "category"])
-    return met.where(F.array_contains("a", "*") | F.arrays_overlap("a", "audience")).select("sub_id", "id").distinct()
+    return subs, items.withColumn("provider", F.explode(either(F.col("provider")))).withColumn("category", F.explode(either(F.col("category"))))
+
+
+_HEARD = "array_contains(a, '*') OR arrays_overlap(a, audience)"
+
+
+def matches(subscriptions: DataFrame, items: DataFrame) -> DataFrame:
+    """subscriptions (sub_id, filters) x items (id, provider, category, audience) -> sub_id, id.
+
+    An empty filter passes everything. A subscription meets an item under one
+    pair of values only, so that nothing comes twice. Those that filter neither
+    provider nor category take every item: they are dealt to as many tasks as
+    Spark scans items in, for they are what has to be sent, not a join's key.
+    """
+    subs, spread = _spread(subscriptions, items.select("id", "provider", "category", "audience"))
+    open_to_all = (F.col("provider") == "*") & (F.col("category") == "*")
+    met = subs.where(~open_to_all).join(spread.where(~open_to_all), ["provider", "category"]).where(_HEARD).select("sub_id", "id")
+    listed = subs.where(open_to_all).select("sub_id", "a")
+    every = items.select("id", "audience").join(listed, F.array_contains("a", "*") | F.arrays_overlap("a", "audience"))
+    return met.unionByName(every.select("sub_id", "id"))
+
+
+def match_counts(subscriptions: DataFrame, items: DataFrame) -> DataFrame:
+    """sub_id, n: how many items each subscription gets, none left out. Items are counted before they meet subscriptions."""
+    subs, spread = _spread(subscriptions, items.groupBy("provider", "category", "audience").agg(F.count(F.lit(1)).alias("n")))
+    counted = spread.groupBy("provider", "category", "audience").agg(F.sum("n").alias("n"))
+    return subs.join(counted, ["provider", "category"]).where(_HEARD).groupBy("sub_id").agg(F.sum("n").alias("n"))
 
 
 def messages(matched: DataFrame, items: DataFrame, lines: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import local_today, plain_number
-from tidemark.operators import facets, link, listing, merge, publish
+from tidemark.operators import facets, listing, merge, publish
 from tidemark.operators.dedupe import best_first
 from tidemark.sources.tables import table
 
@@ -36,7 +36,7 @@ def today():
 
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as offers, with their provider's name and region; the customer side is broadcast only if it is small."""
+    """Orders as offers, with their provider's name and region."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     start = F.col("o_orderdate").cast("date")
     a = o.select(
@@ -48,7 +48,7 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 2 == 0, F.array(F.lit("all"))).otherwise(F.array(F.lit("student"), F.lit("new_user"))).alias("audience"),
     )
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("provider_id"), F.col("c_name").alias("provider"), F.when(F.col("c_nationkey") < 5, "CN").otherwise("GLOBAL").alias("region"))
-    return listing.with_status(a.join(link.small(p), "provider_id"), today(), as_of())
+    return listing.with_status(a.join(p, "provider_id"), today(), as_of())
 
 
 OFFERS = """WITH a AS (SELECT o_orderkey AS id, o_custkey AS provider_id, o_orderpriority AS category, CAST(o_orderdate AS DATE) AS start_date,
@@ -164,7 +164,7 @@ def capability_three_way(spark, sf):
     p = table(spark, sf, "part")
     primary = p.select("p_partkey", F.lower("p_type").alias("capability"))
     models = primary.union(p.select("p_partkey", F.explode(F.split("p_name", " ")))).distinct().groupBy("capability").agg(F.count(F.lit(1)).alias("n"))
-    met = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(link.small(primary), F.col("l_partkey") == F.col("p_partkey"))
+    met = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").join(primary, F.col("l_partkey") == F.col("p_partkey"))
     by = met.groupBy("capability")
     return facets.rollups({"models": models, "endpoints": by.agg(F.count(F.lit(1)).alias("n")), "providers": by.agg(F.count_distinct("l_suppkey").alias("n"))}, "capability")
 
@@ -174,7 +174,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_
 def star_three_way(spark, sf):
     l = table(spark, sf, "lineitem").where("l_quantity >= 45")  # noqa: E741
     p, s = table(spark, sf, "part").select("p_partkey", "p_name"), table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    joined = l.join(link.small(p), l.l_partkey == p.p_partkey).join(link.small(s), l.l_suppkey == s.s_suppkey)
+    joined = l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey)
     return joined.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "s_name", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
 
 
@@ -193,9 +193,9 @@ def alternatives(spark, sf):
     return e.withColumn("k", F.row_number().over(w)).where("k <= 3")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_missing_refs(spark, sf):
-    o = table(spark, sf, "orders").select("o_custkey")
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")
     return table(spark, sf, "customer").select("c_custkey").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
@@ -248,16 +248,17 @@ def guide_topics(spark, sf):
     return publish.guide_topics(named).select("id", "topic")
 
 
-@query("""WITH s AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE [CAST(c_custkey % 150 AS VARCHAR)] END AS p, CASE WHEN c_custkey % 2 = 0 THEN [] ELSE ['purchase', 'signup'] END AS c FROM customer WHERE c_custkey % 3 > 0)
+@query("""WITH s AS (SELECT c_custkey AS sub_id, CASE WHEN c_custkey % 3 = 0 THEN [] ELSE [CAST(c_custkey % 150 AS VARCHAR)] END AS p, CASE WHEN c_custkey % 2 = 0 THEN [] ELSE ['purchase', 'signup'] END AS c FROM customer)
 SELECT sub_id, count(*) AS n FROM s JOIN events ON (len(p) = 0 OR list_contains(p, CAST(user_id AS VARCHAR))) AND (len(c) = 0 OR list_contains(c, event_type)) GROUP BY ALL""")
 def subscription_match(spark, sf):
     k, none = F.col("c_custkey"), F.array().cast("array<string>")
     filters = F.struct(
-        F.array((k % 150).cast("string")).alias("providers"), F.when(k % 2 == 0, none).otherwise(F.array(F.lit("purchase"), F.lit("signup"))).alias("categories"), none.alias("audience")
-    )
-    subs = table(spark, sf, "customer").where("c_custkey % 3 > 0").select(k.alias("sub_id"), filters.alias("filters"))
+        F.when(k % 3 == 0, none).otherwise(F.array((k % 150).cast("string"))).alias("providers"),
+        F.when(k % 2 == 0, none).otherwise(F.array(F.lit("purchase"), F.lit("signup"))).alias("categories"), none.alias("audience"),
+    )
+    subs = table(spark, sf, "customer").select(k.alias("sub_id"), filters.alias("filters"))
     items = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("provider"), F.col("event_type").alias("category"), none.alias("audience"))
-    return publish.matches(subs, items).groupBy("sub_id").agg(F.count(F.lit(1)).alias("n"))
+    return publish.match_counts(subs, items)
 
 
 @query("SELECT p_partkey, '$' || CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE rtrim(printf('%.2f', p_retailprice), '0') END AS shown FROM part")

@@ -56,11 +56,10 @@ def title_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.fold_title(F.col("text")).alias("title"))
 
 
-@query("SELECT doc_id, substr(sha256(coalesce(source, '') || '|' || " + _FOLD.format("substr(coalesce(text, ''), 1, 80)") + " || '|https://' || coalesce(source, '') || '.example.com/' || coalesce(lang, '') || '|2026-10-07'), 1, 32) AS fingerprint FROM documents")
+@query("SELECT doc_id, substr(sha256(coalesce(source, '') || '|' || " + _FOLD.format("coalesce(text, '')") + " || '|https://' || coalesce(source, '') || '.example.com/' || coalesce(lang, '') || '|2026-10-07'), 1, 32) AS fingerprint FROM documents")
 def fingerprint(spark, sf):
     url = F.concat(F.lit("https://"), T.blank(F.col("source")), F.lit(".example.com/"), T.blank(F.col("lang")), F.lit("/?utm_source=x#top"))
-    title = F.substring(T.blank(F.col("text")), 1, 80)
-    return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("source"), title, url, F.lit("2026/10/7"), plain=True).alias("fingerprint"))
+    return table(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("source"), F.col("text"), url, F.lit("2026/10/7"), plain=True).alias("fingerprint"))
 
 
 @query("SELECT substr(sha256(coalesce(text, '')), 1, 32) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY ALL")
@@ -75,7 +74,7 @@ def snapshot_changed(spark, sf):
     return merge.unchanged(d, "source", "doc_id", F.col("h")).select("doc_id", "unchanged")
 
 
-@query("""WITH i AS (SELECT doc_id, source, substr(coalesce(text, ''), 1, 60) AS title, n_chars % 50 AS page, n_chars % 5 AS amount, doc_id % 100 AS c FROM documents),
+@query("""WITH i AS (SELECT doc_id, source, substr(coalesce(text, ''), 1, 150) AS title, n_chars % 50 AS page, n_chars % 5 AS amount, doc_id % 100 AS c FROM documents),
 f AS (SELECT *, """ + _FOLD.format("title") + """ AS folded, c / 10.0 + 5 + 3 + 1 + CASE WHEN length(title) BETWEEN 8 AND 60 THEN 2 ELSE 0 END + 1 AS q,
   coalesce(source, '') || '|' || page || '|' || amount AS near FROM i),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY source, folded, page ORDER BY q DESC, doc_id) AS k, min(doc_id) OVER (PARTITION BY source, folded, page) AS place FROM f),
@@ -86,7 +85,7 @@ def dedupe_two_round(spark, sf):
     page = (F.col("n_chars") % 50).cast("string")
     none = F.lit(None).cast("string")
     items = d.select(
-        F.col("source").alias("provider_slug"), F.substring(T.blank(F.col("text")), 1, 60).alias("title"), F.lit("s").alias("summary"), F.lit("count").alias("benefit_kind"),
+        F.col("source").alias("provider_slug"), F.col("text").alias("title"), F.lit("s").alias("summary"), F.lit("count").alias("benefit_kind"),
         (F.col("n_chars") % 5).cast("double").alias("benefit_amount"), none.alias("benefit_unit"), F.array(F.lit("all")).alias("audience"), none.alias("start_date"), none.alias("end_date"),
         F.concat(F.lit("https://x.example.com/p/"), page).alias("claim_url"), none.alias("source_url"), none.alias("source_excerpt"), ((F.col("doc_id") % 100) / 100).alias("confidence"),
         F.col("doc_id").alias("ord"), F.concat_ws("|", T.blank(F.col("source")), page, (F.col("n_chars") % 5).cast("string")).alias("near"),
@@ -155,10 +154,14 @@ def block_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", blocks.block_score(F.col("text"), PLAIN).alias("score"))
 
 
-@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, regexp_extract(t, '\\$\\s*(\\d+(?:\\.\\d+)?)', 1) AS dollars FROM t""")
+#: One pattern, so that SQL can say what the operator finds in free text; cases.benefits has the others.
+DOLLARS = rules.Profile(benefits=((r"\$\s*(\d+(?:\.\d+)?)\s*(k|K|m|M|b|B)?", "credit_usd", "USD", True),))
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, regexp_extract(t, '\\$\\s*(\\d+(?:\\.\\d+)?)\\s*([kKmMbB])?', 1) AS n, lower(regexp_extract(t, '\\$\\s*(\\d+(?:\\.\\d+)?)\\s*([kKmMbB])?', 2)) AS u FROM t)
+SELECT doc_id, CASE WHEN n <> '' AND CAST(n AS DOUBLE) > 0 THEN CAST(n AS DOUBLE) * CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END END AS dollars FROM m""")
 def amount_extract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_extract(T.blank(F.col("text")), r"\$\s*(\d+(?:\.\d+)?)", 1).alias("dollars"))
+    return table(spark, sf, "documents").select("doc_id", extract.benefit(F.col("text"), DOLLARS)["amount"].alias("dollars"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(t, '\\d{4}[-/.]\\d{1,2}[-/.]\\d{1,2}') AND CAST(regexp_extract(t, '(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 2) AS INTEGER) BETWEEN 1 AND 12 AND CAST(regexp_extract(t, '(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 3) AS INTEGER) BETWEEN 1 AND 31 THEN regexp_extract(t, '(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 1) || '-' || lpad(regexp_extract(t, '(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '(\\d{4})[-/.](\\d{1,2})[-/.](\\d{1,2})', 3), 2, '0') END AS day FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
@@ -192,27 +195,27 @@ def category_fields(spark, sf):
 @query(f"""SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.3::DOUBLE + CASE WHEN who <> 'all' THEN 0.12 ELSE 0 END + CASE WHEN length(t) BETWEEN 40 AND 800 THEN 0.05 ELSE 0 END
 - CASE WHEN length(t) > 1500 THEN 0.15 ELSE 0 END + CASE WHEN length(h) BETWEEN 8 AND 60 AND NOT regexp_matches(h, '[，。；、]$') THEN 0.06 ELSE 0 END
 + CASE WHEN who <> 'all' AND regexp_matches(t, '(?i)credits|free credit|free tier|trial|giveaway') THEN 0.22 ELSE 0 END)), 2) AS confidence
-FROM (SELECT doc_id, t, substr(t, 1, 50) AS h, CASE WHEN len({_AUDIENCE}) = 0 THEN 'all' ELSE 'some' END AS who FROM {_DOCS})""")
+FROM (SELECT doc_id, t, t AS h, CASE WHEN len({_AUDIENCE}) = 0 THEN 'all' ELSE 'some' END AS who FROM {_DOCS})""")
 def confidence(spark, sf):
     t, none = T.blank(F.col("text")), F.lit(None).cast("string")
     offer = F.lit(None).cast("struct<kind:string,amount:double>")
-    return table(spark, sf, "documents").select("doc_id", extract.confidence(t, F.substring(t, 1, 50), offer, none, none, none, extract.audience(t, PLAIN)).alias("confidence"))
+    return table(spark, sf, "documents").select("doc_id", extract.confidence(t, t, offer, none, none, none, extract.audience(t, PLAIN)).alias("confidence"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN length(h) = 0 THEN 'empty' WHEN length(h) < 4 THEN 'short'
 WHEN length(h) > 40 AND regexp_matches(h, '(?i)\\b(and|for|with|the|to|of|in|on|your|our|all)\\b') THEN 'cut sentence' END AS reason
-FROM (SELECT doc_id, trim(regexp_replace(substr(t, 1, 60), '^\\s+|\\s+$', '', 'g')) AS h FROM {_DOCS})""")
+FROM (SELECT doc_id, trim(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS h FROM {_DOCS})""")
 def bad_titles(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", validate.bad_title(F.substring(T.blank(F.col("text")), 1, 60)).alias("reason"))
+    return table(spark, sf, "documents").select("doc_id", validate.bad_title(F.col("text")).alias("reason"))
 
 
-@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l FROM documents)
-SELECT doc_id FROM d WHERE contains(l, 'the with') OR (regexp_matches(l, '(^|[^\\p{L}\\p{N}])the') AND regexp_matches(l, '(^|[^\\p{L}\\p{N}])with'))""")
+@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS l, strip_accents(lower(coalesce(text, ''))) AS a FROM documents)
+SELECT doc_id FROM d WHERE contains(l, 'the with') OR (regexp_matches(a, '(^|[^\\p{L}\\p{N}])the') AND regexp_matches(a, '(^|[^\\p{L}\\p{N}])with'))""")
 def search_union(spark, sf):
     return listing.search(table(spark, sf, "documents"), ["text"], "the with").select("doc_id")
 
 
-@query("SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS token, doc_id FROM documents")
+@query("SELECT DISTINCT unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')) AS token, doc_id FROM documents")
 def search_index(spark, sf):
     return listing.token_index(table(spark, sf, "documents"), "doc_id", ["text"])
 
@@ -277,11 +280,11 @@ def _esc(c: str) -> str:
     return c
 
 
-@query(f"""SELECT doc_id AS id, '<item><title>' || {_esc("substr(coalesce(text, ''), 1, 80)")} || '</title><link></link><description>' || {_esc("concat_ws(' ｜ ', source, lang)")} || '</description><guid isPermaLink="false">' || doc_id || '</guid></item>' AS item
+@query(f"""SELECT doc_id AS id, '<item><title>' || {_esc("coalesce(text, '')")} || '</title><link></link><description>' || {_esc("concat_ws(' ｜ ', source, lang)")} || '</description><guid isPermaLink="false">' || doc_id || '</guid></item>' AS item
 FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 100""")
 def rss_items(spark, sf):
     d, none = table(spark, sf, "documents"), F.lit(None).cast("string")
-    df = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("created_at"), F.substring("text", 1, 80).alias("title"), F.lit("").alias("link"), F.col("source").alias("provider"), F.col("lang").alias("benefit"), none.alias("deadline"), none.alias("summary"))
+    df = d.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("created_at"), F.col("text").alias("title"), F.lit("").alias("link"), F.col("source").alias("provider"), F.col("lang").alias("benefit"), none.alias("deadline"), none.alias("summary"))
     return feeds.rss_items(df)
 
 

@@ -72,6 +72,14 @@ def relays(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], RELAY + ", source string, source_rank int")
 
 
+def live_probes(raw: Column, probe: str) -> Column:
+    """Probes in a JSON text: an array, an object's `probes`, or else its first array; none in anything else."""
+    inner = F.from_json(raw, "map<string,string>")
+    first = F.get(F.filter(F.map_values(inner), lambda v: v.rlike(r"^\s*\[")), F.lit(0))
+    array = F.when(raw.rlike(r"^\s*\["), raw).otherwise(F.coalesce(F.get_json_object(raw, "$.probes"), first))
+    return F.coalesce(F.from_json(array, f"array<{probe}>"), F.array().cast(f"array<{probe}>"))
+
+
 def overlay_live(directory: DataFrame, live: DataFrame) -> DataFrame:
     """Live probes (id, online, latencyMs, checkedAt) laid over the directory where they say something."""
     l = live.select("id", *(F.col(c).alias(f"_{c}") for c in ("online", "latencyMs", "checkedAt")))  # noqa: E741
