@@ -153,3 +153,51 @@ def test_drop_near_copies_keeps_one_row_of_each(spark):
     got = near_dedup.drop_near_copies(df, 0.8).collect()
     assert sorted((r.doc_id for r in got), key=str) == [1, 3, 4, None]
     assert near_dedup.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_five_thousand_near_copies_with_the_real_limits(spark):
+    """One family far beyond MAX_GROUP, some members of it linked by one other member only, amid texts of their own."""
+    rng = random.Random(2)
+    words = [f"v{k}" for k in range(5000)]
+    base = rng.choices(words, k=160)
+    rows = [(0, " ".join(base))]
+    for k in range(1, 5000):
+        text = list(base)
+        text[rng.randrange(160)] = f"own{k}"
+        rows.append((k, " ".join(text)))
+    for k in range(5000, 5010):  # 0.87 like their partner, 0.82 or less like all others
+        text = rows[k - 4000][1].split()
+        text[3], text[80] = f"far{k}", f"far{k}x"
+        rows.append((k, " ".join(text)))
+    rows += [(k, " ".join(rng.choices(words, k=160))) for k in range(6000, 6200)]
+    assert len(rows) > 2 * near_dedup.MAX_GROUP
+    got = {r.doc_id: r.component_id for r in near_dedup.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert {got[k] for k in range(5010)} == {0}
+    assert all(got[k] == k for k in range(6000, 6200))
+
+
+def test_hubs_of_many_regions(spark, monkeypatch):
+    """Regions that are each small enough, around one hub that is not."""
+    monkeypatch.setattr(near_dedup, "MAX_GROUP", 20)
+    monkeypatch.setattr(near_dedup, "STAR_GROUP", 8)
+    rng = random.Random(4)
+    base = ["w%d" % k for k in range(120)]
+    rows = [(0, " ".join(base)), (1, " ".join(base))]
+    for k in range(2, 60):
+        text = list(base)
+        text[rng.randrange(120)] = "x%d" % k
+        rows.append((k, " ".join(text)))
+        text[rng.randrange(120)] = "y%d" % k
+        rows.append((100 + k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.find(df).collect()) == expected_components(rows, 85)
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(near_dedup, "MAX_GROUP", 2048)
+    assert sorted(tuple(r) for r in near_dedup.find(df).collect()) == expected_components(rows, 85)
+
+
+def test_near_copies_of_repeated_rows_and_no_rows(spark):
+    rows = [(1, "one two three four five six", "x"), (1, "one two three four five six", "y"), (None, "one two three four five six", "z"), (2, None, "x"), (2, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sig string")
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.find(df).collect()), key=str) == [(1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True), (None, 1, False)]
+    assert near_dedup.find(df.limit(0)).collect() == []

@@ -12,9 +12,11 @@
    documents share (ties by hash), so that the same classes meet once and not
    once a tree. Their full shingle sets are compared exactly: first all with the
    hub, then those not yet linked with all others of the group by counting
-   shared shingles. Only links that join two parts of a group are emitted.
+   shared shingles. Only links that join two parts of a group are emitted. A hub
+   that gathers more than MAX_GROUP classes or GROUP_BYTES of sets from its
+   regions is dealt with like an oversized region: in shares, with the hub only.
 4. Links form components by min-label propagation, in tables.
-5. The classes of all oversized regions meet once more, by a prefix-filter join
+5. The classes of all oversized regions and hubs meet once more, by a prefix-filter join
    that misses no pair: each set is ordered by a common order, rare shingles
    first, and two similar sets share one of their first few. Pairs already in one
    component are left out; the others are compared on their full sets, and their
@@ -40,7 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import set_aside, stored, with_row
@@ -54,8 +56,9 @@ DEPTH, DEPTH_LOW = 4, 3
 #: Depths at which a region that is too large is cut again.
 DEEPER = (6, 8, 11, 15, 20, 28, 40, 64)
 MAX_GROUP = 2048
-#: Classes of an oversized region that one task compares with the hub.
+#: Classes of an oversized region that one task compares with the hub, and bytes of sets that a group may have.
 STAR_GROUP = 2048
+GROUP_BYTES = 64 << 20
 #: Slots in which the shingles of oversized regions are counted.
 SKETCH = 1 << 20
 
@@ -117,7 +120,7 @@ def _prefixes(depth: int, first: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
+            ids, copies, n = (batch.column(c).to_numpy() for c in ("id", "copies", "n"))
             sig = np.array([np.frombuffer(x, np.uint32) for x in batch.column("sig").to_pylist()]).reshape(-1, HASHES).astype(U64)
             keys = np.empty((len(ids), trees), U64)
             for t in range(trees):
@@ -125,36 +128,50 @@ def _prefixes(depth: int, first: int):
                 for k in range(depth):
                     key = mix64(key * U64(31) + sig[:, (t * first + k) % HASHES])
                 keys[:, t] = key
-            cols = [np.repeat(ids, trees), np.repeat(copies, trees), np.tile(np.arange(trees, dtype=np.int32), len(ids)), keys.ravel().view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "copies", "tree", "key"])
+            cols = [*(np.repeat(x, trees) for x in (ids, copies, n)), np.tile(np.arange(trees, dtype=np.int32), len(ids)), keys.ravel().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "copies", "n", "tree", "key"])
 
     return run
 
 
 def _groups(classes: DataFrame, first: int) -> tuple[DataFrame, DataFrame | None]:
-    """Which classes are compared: (hub, id, part), and the ids of the classes in oversized regions, if there are any.
+    """Which classes are compared: (hub, id, part), and the ids of the classes of oversized regions and hubs, if there are any.
 
-    part -1: all of the group; else a share of an oversized region, hub only.
+    part -1: all of the group; else a share of an oversized one, hub only.
     """
     hub = F.max(F.struct("copies", F.xxhash64("id").alias("x"), "id"))["id"].alias("hub")
-    found, todo, over, crowd = [], classes, None, None
+    close, shares, crowds, todo, over = [], [], [], classes, None
     for depth in (first, *DEEPER):
-        keyed = todo.select("id", "copies", "sig").mapInArrow(_prefixes(depth, first), "id long, copies long, tree int, key long")
+        keyed = todo.select("id", "copies", "n", "sig").mapInArrow(_prefixes(depth, first), "id long, copies long, n long, tree int, key long")
         if over is not None:  # only in the trees where the region above was too large
             keyed = keyed.join(over.select("id", "tree"), ["id", "tree"])
         keyed = stored(keyed, "prefixes")
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
         shared = stored(keyed.join(shared, "key"), "shared")
         regions = shared.groupBy("key").agg(hub)
         members = shared.join(regions, "key")
-        found.append(members.where(F.col("size") <= MAX_GROUP).select("hub", "id", F.lit(-1).cast("long").alias("part")))
+        close.append(members.where(F.col("size") <= MAX_GROUP).select("hub", "id", "n"))
         if shared.where(F.col("size") > MAX_GROUP).isEmpty():
             break
-        over = stored(members.where(F.col("size") > MAX_GROUP).select("id", "tree", "size", "hub"), "oversized")
-        found.append(over.select("hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / STAR_GROUP)).alias("part")))
-        crowd = over.select("id").distinct() if crowd is None else crowd
+        over = stored(members.where(F.col("size") > MAX_GROUP).select("id", "tree", "size", "weight", "hub"), "oversized")
+        shares.append(over.select("hub", "id", _share()))
+        crowds += [over.select("id")] if not crowds else []  # what is cut deeper is among these
         todo = classes.join(over.select("id").distinct(), "id", "left_semi")
-    return stored(reduce(DataFrame.unionAll, found).distinct(), "groups"), crowd
+    near = stored(reduce(DataFrame.unionAll, close).distinct(), "near")
+    sizes = near.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    large = stored(near.join(sizes.where((F.col("size") > MAX_GROUP) | (F.col("weight") > GROUP_BYTES // 8)), "hub"), "hubs")
+    groups = near.select("hub", "id", F.lit(-1).cast("long").alias("part"))
+    if not large.isEmpty():
+        groups = groups.join(large.select("hub").distinct(), "hub", "left_anti")
+        shares.append(large.select("hub", "id", _share()))
+        crowds.append(large.select("id"))
+    crowd = stored(reduce(DataFrame.unionAll, crowds).distinct(), "crowd-ids") if crowds else None
+    return stored(reduce(DataFrame.unionAll, [groups, *shares]).distinct(), "groups") if shares else groups, crowd
+
+
+def _share() -> Column:
+    """The share of a group of `size` classes and `weight` shingles that a class is in."""
+    return F.pmod(F.xxhash64("id"), F.ceil(F.greatest(F.col("size") / STAR_GROUP, F.col("weight") / (GROUP_BYTES // 8)))).alias("part")
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
