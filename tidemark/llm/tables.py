@@ -53,8 +53,12 @@ def with_row(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+#: Values that a sample by value knows.
+MAX_VALUES = 1000
+
+
 def smallest_hashes(df: DataFrame, key: str, n: int, by: str | None = None) -> DataFrame:
-    """The n rows (of each value of `by`) whose key has the smallest hash: a sample that is the same at every layout.
+    """The n rows (of each of the MAX_VALUES most frequent values of `by`) whose key has the smallest hash: a sample that is the same at every layout.
 
     A first cut by the hash itself leaves about 2 n rows, so that tasks have few to sort and send.
     """
@@ -63,7 +67,8 @@ def smallest_hashes(df: DataFrame, key: str, n: int, by: str | None = None) -> D
         share = min(1.0, 2.0 * n / max(df.count(), 1))
         return df.where(h < int(share * (1 << 31)) + 1).orderBy(h, key).limit(n)
     bound = F.least(F.lit(1.0), 2.0 * n / F.count(F.lit(1))) * (1 << 31) + 1
-    bounds = df.groupBy(F.col(by).alias("_by")).agg(bound.alias("_bound"))
+    counted = df.groupBy(F.col(by).alias("_by")).agg(bound.alias("_bound"), F.count(F.lit(1)).alias("_many"))
+    bounds = F.broadcast(counted.orderBy(F.desc("_many"), "_by").limit(MAX_VALUES).drop("_many"))  # a bounded number of rows
     first = Window.partitionBy(by).orderBy(h, key)
     near = df.join(bounds, (F.col(by) == F.col("_by")) & (h < F.col("_bound"))).drop("_by", "_bound")
     return near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
