@@ -50,7 +50,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: Trained scores, refinement rounds and packing are not SQL; tests hold the stages against brute force.
+#: Trained scores, refinement rounds and packing are not SQL. Tests hold the operators against brute force or held-out labels, and stages against planted and odd rows.
 ORACLE_SQL: str | None = None
 
 
