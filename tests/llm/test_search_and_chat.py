@@ -69,3 +69,13 @@ def test_snapshots_collapse(spark):
     assert got[3].n_equal == 2 and got[3].n_turns == 3
     assert got[3].text == "<|user|>\nhi\n<|assistant|>\nyes\n<|user|>\n\n"
     assert chat_format.format_chats(df.limit(0)).collect() == []
+
+
+def test_long_and_repeated_conversations(spark):
+    """One conversation of 3000 turns, a snapshot of it, one with two turns swapped, and one row a thousand times."""
+    rows = [(1, k, "user" if k % 2 else None, f"t{k}") for k in range(3000)]
+    rows += [(2, *r[1:]) for r in rows[:2000]] + [(3, k, r[2], r[3]) for k, r in enumerate([rows[2], rows[1], rows[0]])]
+    rows += [(4, 0, "user", "again")] * 1000 + [(5, None, "user", None), (5, None, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = {r.conv_id: (r.n_turns, r.n_equal) for r in chat_format.format_chats(df).collect()}
+    assert got == {1: (3000, 1), 3: (3, 1), 4: (1, 1), 5: (2, 1)}
