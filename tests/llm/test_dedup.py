@@ -53,6 +53,37 @@ def test_repeats_by_brute_force(spark, split_spans):
     assert got == expected_repeats(rows, 40)
 
 
+def expected_passages(rows, width, min_words, min_bytes):
+    """n_passage_bytes, n_passages of each row, by counting every string of `width` bytes."""
+    raws = [(t or "").encode() for _, t in rows]
+    seen = Counter(raw[k : k + width] for raw in raws for k in range(len(raw) - width + 1))
+    out = []
+    for raw in raws:
+        mask = [0] * len(raw)
+        for k in range(len(raw) - width + 1):
+            if seen[raw[k : k + width]] > 1:
+                mask[k : k + width] = [1] * width
+        runs = [m.span() for m in re.finditer("1+", "".join(map(str, mask)))]
+        runs = [(a, b) for a, b in runs if b - a >= min_bytes or sum(raw[k : k + 1] != b" " and (k == 0 or raw[k - 1 : k] == b" ") for k in range(a, b)) >= min_words]
+        out.append((sum(b - a for a, b in runs), len(runs)))
+    return out
+
+
+@pytest.mark.parametrize("split_spans", [2, 1024])
+def test_repeats_and_passages_by_brute_force(spark, split_spans):
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abc  ", k=rng.randint(20, 70))) for _ in range(9)]
+    rows = [(k, "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choices("wxyz ", k=25)) for _ in range(4))) for k in range(50)]
+    rows += [(100, None), (101, ""), (102, "short"), (103, "ab " * 50), (None, rows[0][1]), (207, "a" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.find_with_passages(df, 40, 20, 6, q=8, split_spans=split_spans, step=4).collect()
+    long = {r[0]: r for r in expected_repeats(rows, 40)}
+    want = [(*long[i], *more) for (i, _), more in zip(rows, expected_passages(rows, 20, 6, 40), strict=True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert any(r.n_passage_bytes > 0 == r.n_removed for r in got) and any(0 < r.n_removed < r.n_passage_bytes for r in got)
+    assert suffix_dedup.find_with_passages(df.limit(0)).collect() == []
+
+
 def test_dedup_keeps_columns_with_clashing_names(spark):
     rows = [(1, "p" + "q" * 50, "a", 1), (2, "x" + "q" * 50, None, 2), (3, None, "b", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _row string, windows int")

@@ -19,7 +19,7 @@ def op2_html_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.find(read(spark, sf_dir, "documents"))
+    return suffix_dedup.find_with_passages(read(spark, sf_dir, "documents"))
 
 
 def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

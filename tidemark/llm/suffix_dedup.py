@@ -25,7 +25,10 @@ no pairs are made.
 
 `dedup` can look for passages: with `min_words`, repeated strings of fewer bytes
 are sought, and of the runs that they cover those stay that have fewer words than
-that and fewer bytes than LENGTH.
+that and fewer bytes than LENGTH. `find_with_passages` tells of both: strings of
+`passage` bytes that come again are sought in all texts, those of `length` bytes
+in the texts where such strings cover a run that is long enough, for no others
+can hold them.
 
 Edge cases: null and empty texts have no bytes and lose none; texts shorter than
 `length` lose none; rows that repeat remove each other wholly if long enough;
@@ -389,30 +392,57 @@ def _passages(mask: np.ndarray, raw: bytes, min_words: int, min_bytes: int) -> n
     return mask
 
 
-def _apply(length: int, digest: bool, schema, min_words: int = 0):
+def _with_run(width: int, length: int):
+    """Rows where repeated windows of `width` bytes cover `length` bytes in a row."""
+
+    def longest(lo: np.ndarray, n: np.ndarray) -> int:
+        order = np.argsort(lo)
+        begin, end = lo[order], np.maximum.accumulate((lo + n - 1 + width)[order])
+        head = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+        return int((end[np.append(head[1:], len(end)) - 1] - begin[head]).max())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (longest(w.values.field("lo").to_numpy(), w.values.field("n").to_numpy()) for w in batch.column("short"))
+            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array([x >= length for x in sizes], pa.bool_()))], ["_row"])
+
+    return run
+
+
+def _apply(length: int, digest: bool, schema, min_words: int = 0, passage: int = 0):
+    """Windows applied to texts. With `passage`, column `short` has the windows of that length, and passages are counted, too."""
     names = [f.name for f in schema]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())[: len(names) - 1]
+
+    def passages(raw: bytes, win) -> tuple[int, int]:
+        if not win.is_valid:
+            return 0, 0
+        mask = _covered(len(raw), win.values.field("lo").to_numpy(), win.values.field("n").to_numpy(), passage)
+        mask = _passages(mask, raw, min_words, length)
+        return int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             windows = batch.column("windows")
-            for text, win in zip(batch.column("text"), windows, strict=True):
+            for text, win, short in zip(batch.column("text"), windows, batch.column("short") if passage else windows, strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                more = passages(raw, short) if passage else ()
                 removed, runs = 0, 0
                 if win.is_valid:
                     flat = win.values
                     mask = _covered(len(raw), flat.field("lo").to_numpy(), flat.field("n").to_numpy(), length)
-                    mask = _passages(mask, raw, min_words, LENGTH) if min_words else mask
+                    mask = _passages(mask, raw, min_words, LENGTH) if min_words and not passage else mask
                     removed = int(mask.sum())
                     runs = int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
                     raw = np.frombuffer(raw, np.uint8)[~mask].tobytes()
                 if digest:
-                    rows.append((len(raw) + removed, removed, runs, hashlib.sha256(raw).hexdigest()))
+                    rows.append((len(raw) + removed, removed, runs, hashlib.sha256(raw).hexdigest(), *more))
                 else:
                     # a cut inside a character leaves bytes that are no text: those go too
                     rows.append(raw.decode("utf-8", "ignore") if removed else text.as_py())
             if digest:
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names)
             else:
                 kept = {n: batch.column(n) for n in batch.schema.names} | {"text": pa.array(rows, pa.string())}
@@ -429,6 +459,24 @@ def find(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     return rows.join(repeats(rows, length, **how), "_row", "left").select("doc_id", "text", "windows").mapInArrow(_apply(length, True, schema), schema)
 
 
+def find_with_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, min_words: int = PASSAGE_WORDS, **how) -> DataFrame:
+    """The columns of `find`, and n_passage_bytes and n_passages.
+
+    A passage is a longest run of bytes covered by strings of `passage` bytes that
+    start anywhere else too, if it has `min_words` words or `length` bytes.
+    """
+    if passage > length:
+        raise ValueError("passage must not be longer than length")
+    rows = with_row(docs.select("doc_id", "text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long").schema
+    short = stored(repeats(rows, passage, **how).withColumnRenamed("windows", "short"), "short")
+    where = stored(rows.join(short.mapInArrow(_with_run(passage, length), "_row long"), "_row"), "repeating")
+    both = short.join(repeats(where, length, **how), "_row", "left")
+    joined = rows.join(both, "_row", "left").select("doc_id", "text", "windows", "short")
+    return joined.mapInArrow(_apply(length, True, schema, min_words, passage), schema)
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, min_words: int = 0, **how) -> DataFrame:
     """docs (all columns) with the repeated bytes, or with min_words the repeated passages, taken out of text."""
     hidden, back = set_aside(docs, "_row", "_r", "windows")
