@@ -62,8 +62,8 @@ OUT_BYTES = 1 << 22
 MAX_SEEN = 300_000
 #: Bytes that are sorted together.
 SORT_BYTES = 1 << 21
-#: The first buckets are those of the grams of length / FIRST bytes; each round doubles the bytes.
-FIRST = 8
+#: The first buckets are those of the grams of FIRST bytes, of a quarter of the length if that is less; each round doubles the bytes.
+FIRST = 50
 
 _MAX = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -224,7 +224,7 @@ def refine_buckets(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length:
     Windows are in the same bucket exactly when their bytes are equal.
     """
     left = np.repeat(end, end - begin) - np.arange(len(data))  # bytes from each place to its span's end
-    depth = -(-length // FIRST)
+    depth = min(-(-length // 4), FIRST)
     key = np.zeros(len(data), U64)
     grams = Rolling(data).fixed(depth)
     key[: len(grams)] = grams
