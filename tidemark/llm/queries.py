@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, decontaminate, html_text, language, near_dedup, packing, quality, suffix_dedup, suffix_tree_lm, topk_search
+from tidemark.llm import chat_format, decontaminate, html_text, language, near_dedup, packing, periodic_runs, quality, source_mix, suffix_dedup, suffix_tree_lm, topk_search, vector_codes
 from tidemark.llm.tables import read
 
 
@@ -50,6 +50,18 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op11_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op12_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.plan_mix(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_quality_crf,
     op2_html_line_blocks,
@@ -61,9 +73,17 @@ _ALL = (
     op8_language_id,
     op9_benchmark_leaks,
     op10_chat_snapshots,
+    op11_hamerly_codes,
+    op12_weighted_mix,
+    op13_periodic_runs,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the same rows, where SQL can express them.
-SQL: dict[str, str] = {"op7_bm25_block_max": topk_search.SQL, "op10_chat_snapshots": chat_format.SQL}
+SQL: dict[str, str] = {
+    "op7_bm25_block_max": topk_search.SQL,
+    "op10_chat_snapshots": chat_format.SQL,
+    "op11_hamerly_codes": vector_codes.SQL,
+    "op12_weighted_mix": source_mix.SQL,
+}

@@ -24,15 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def stored_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read again, and the new folder that holds it: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and read again: lineage ends there.
 
     A lost executor costs at most a reread; every run writes to a new folder.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, what)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of `stored_at` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def crc_mod(column: str, by: int) -> Column:
