@@ -23,12 +23,15 @@ A byte goes if a string of `length` bytes that covers it starts anywhere else to
 No step holds more than a chunk of texts or a split of a bucket in one task, and
 no pairs are made.
 
+Texts that are equal as a whole are settled before the first step: all their windows
+are repeated, and one text of each group stands for it in the search.
+
 `dedup` can look for passages: with `min_words`, repeated strings of fewer bytes
 are sought, and of the runs that they cover those stay that have fewer words than
 that and fewer bytes than LENGTH. `find_with_passages` tells of both: strings of
 `passage` bytes that come again are sought in all texts, those of `length` bytes
-in the texts where such strings cover a run that is long enough, for no others
-can hold them.
+in the stretches where such strings follow one another for long enough, which are
+cut out, for no other text can hold them.
 
 Edge cases: null and empty texts have no bytes and lose none; texts shorter than
 `length` lose none; rows that repeat remove each other wholly if long enough;
@@ -332,9 +335,24 @@ def _settle(length: int):
     return run
 
 
+def whole_copies(texts: DataFrame, length: int) -> DataFrame:
+    """(_row, first, n): texts of at least `length` bytes that are equal to another, the smallest _row of each group, and their bytes.
+
+    A group is known by its texts' length and 128-bit hash; its rows are summed before they are dealt.
+    """
+    raw = F.col("text").cast("binary")
+    digests = texts.where(F.octet_length("text") >= length).select("_row", F.octet_length("text").cast("long").alias("n"), F.md5(raw).alias("k"))
+    groups = digests.groupBy("k", "n").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    return digests.join(groups, ["k", "n"]).select("_row", "first", "n")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int = SPLIT_SPANS, step: int = STEP) -> DataFrame:
-    """docs (_row, text) -> (_row, windows): the repeated windows as (first, number), where there are any."""
-    texts = docs.select("_row", "text")
+    """docs (_row, text) -> (_row, windows): the repeated windows as (first, number), where there are any.
+
+    All windows of a text that is equal to another are repeated: such rows are settled first, and one of each group goes on, for others to meet.
+    """
+    copies = stored(whole_copies(docs.select("_row", "text"), length), "copies")
+    texts = docs.select("_row", "text").join(copies.where("_row != first").select("_row"), "_row", "left_anti")
     spans = stored(texts.mapInArrow(_spans(length, q), "_row long, gram long, anchor int, start int, n int"), "spans")
     named = spans.where(F.col("gram").isNotNull())
     shared = named.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -365,7 +383,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
         .select("_row", F.transform("in_span", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), x["n"].alias("n"))).alias("w"))
     )
     within = spans.where(F.col("gram").isNull()).select("_row", F.array(F.struct(F.col("start").cast("long").alias("lo"), F.col("n").cast("long").alias("n"))).alias("w"))
-    return found.unionAll(within).groupBy("_row").agg(F.flatten(F.collect_list("w")).alias("windows"))
+    every = copies.select("_row", F.array(F.struct(F.lit(0).cast("long").alias("lo"), (F.col("n") - length + 1).alias("n"))).alias("w"))
+    return found.unionAll(within).unionAll(every).groupBy("_row").agg(F.flatten(F.collect_list("w")).alias("windows"))
 
 
 def _covered(n_bytes: int, lo: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
@@ -392,19 +411,23 @@ def _passages(mask: np.ndarray, raw: bytes, min_words: int, min_bytes: int) -> n
     return mask
 
 
-def _with_run(width: int, length: int):
-    """Rows where repeated windows of `width` bytes cover `length` bytes in a row."""
+def _long_runs(width: int, length: int):
+    """The stretches of text in which windows of `width` bytes repeat one after the other, where they hold a string of `length` bytes: `at`, text."""
 
-    def longest(lo: np.ndarray, n: np.ndarray) -> int:
+    def stretches(lo: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
         order = np.argsort(lo)
-        begin, end = lo[order], np.maximum.accumulate((lo + n - 1 + width)[order])
+        begin, end = lo[order], np.maximum.accumulate((lo + n)[order])
         head = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
-        return int((end[np.append(head[1:], len(end)) - 1] - begin[head]).max())
+        return zip(begin[head].tolist(), (end[np.append(head[1:], len(end)) - 1] - 1 + width).tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = (longest(w.values.field("lo").to_numpy(), w.values.field("n").to_numpy()) for w in batch.column("short"))
-            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array([x >= length for x in sizes], pa.bool_()))], ["_row"])
+            out: list[tuple[int, int, bytes]] = []
+            for row, text, w in zip(batch.column("_row").to_pylist(), batch.column("text"), batch.column("short"), strict=True):
+                raw = memoryview(text.as_buffer())
+                out += [(row, a, raw[a:b]) for a, b in stretches(w.values.field("lo").to_numpy(), w.values.field("n").to_numpy()) if b - a >= length]
+            of, at, texts = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(at, pa.int64()), pa.array(map(bytes, texts), pa.binary())], ["_doc", "at", "text"])
 
     return run
 
@@ -471,8 +494,12 @@ def find_with_passages(docs: DataFrame, length: int = LENGTH, passage: int = PAS
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long").schema
     short = stored(repeats(rows, passage, **how).withColumnRenamed("windows", "short"), "short")
-    where = stored(rows.join(short.mapInArrow(_with_run(passage, length), "_row long"), "_row"), "repeating")
-    both = short.join(repeats(where, length, **how), "_row", "left")
+    # a string of `length` bytes that comes again lies in a stretch of shorter ones that do: only those are searched
+    cut = rows.join(short, "_row").mapInArrow(_long_runs(passage, length), "_doc long, at long, text binary")
+    parts = stored(cut.withColumn("_row", F.monotonically_increasing_id()), "stretches")
+    moved = F.transform("windows", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), x["n"].alias("n")))
+    long = parts.select("_row", "_doc", "at").join(repeats(parts, length, **how), "_row").groupBy(F.col("_doc").alias("_row")).agg(F.flatten(F.collect_list(moved)).alias("windows"))
+    both = short.join(long, "_row", "left")
     joined = rows.join(both, "_row", "left").select("doc_id", "text", "windows", "short")
     return joined.mapInArrow(_apply(length, True, schema, min_words, passage), schema)
 
