@@ -10,12 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from tidemark.plans import cases, catalogue, events, texts, views
+from tidemark.plans import cases, catalogue, details, events, texts, views
 from tidemark.sources.tables import table
 from tidemark.streaming import crawl_stream
 
-SQL = catalogue.SQL | events.SQL | texts.SQL | views.SQL | cases.SQL
-QUERIES = catalogue.QUERIES | events.QUERIES | texts.QUERIES | views.QUERIES | cases.QUERIES
+SQL = catalogue.SQL | events.SQL | texts.SQL | views.SQL | cases.SQL | details.SQL
+QUERIES = catalogue.QUERIES | events.QUERIES | texts.QUERIES | views.QUERIES | cases.QUERIES | details.QUERIES
 
 
 @pytest.fixture(scope="module")

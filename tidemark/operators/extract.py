@@ -197,11 +197,3 @@ def extract(found: DataFrame, year: Column, profile: rules.Profile = rules.OFFER
 def loose_json(text: Column, schema: str) -> Column:
     """The JSON object from the first { to the last } of a text, code fences around it or not; null if it is broken."""
     return F.from_json(F.nullif(F.regexp_extract(blank(text), r"(?s)\{.*\}", 0), F.lit("")), schema)
-
-
-def adjust_confidence(conf: Column, parts: dict[str, Column], floor: float = 0.6) -> Column:
-    """Confidence lowered for each field that its model was unsure of."""
-    cuts = {"benefit": 0.25, "start_date": 0.15, "end_date": 0.15, "audience": 0.10}
-    for name, part in parts.items():
-        conf = conf - F.when(part < floor, cuts[name]).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 2)

@@ -22,6 +22,27 @@ def write_version(df: DataFrame, folder: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something at the path, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def has_version(spark: SparkSession, folder: str) -> bool:
+    return exists(spark, f"{folder}/versions")
+
+
+def logged(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was appended at the path; None where nothing was yet."""
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """df written at the path, whatever was there before, and read again: what several steps read is worked out once."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_version(spark: SparkSession, folder: str) -> DataFrame:
     """The newest version under `folder`."""
     path = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("at"), F.desc("path")).first()["path"]
