@@ -120,3 +120,18 @@ def test_pages_of_known_blogs_are_owned(spark):
     rows = [("https://github.blog/x", "https://github.com"), ("https://docs.github.com/x", "https://github.com"), ("https://evil.example.com", "https://github.com"), (None, "https://github.com")]
     df = spark.createDataFrame(rows, "final_url string, origin string")
     assert [r.own for r in probes.owned(df, "origin", {"github.com": ["github.blog"]}).collect()] == [True, True, False, False]
+
+
+def test_a_stream_of_pages_is_runs(spark, history):
+    """Two folders of pages, one after the other, give what two runs give."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    first = {1: (200, page(1, more="Alpha Pro 可用")), 2: (200, page(2)), 3: (503, page(3))}
+    second = {1: first[1], 2: (200, page(2, n=6))}
+    schema = crawl(spark, first).pages.schema
+    for pages in (first, second):
+        crawl(spark, pages).pages.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        daily.follow(stream, f"{folder}/catalogue", crawl(spark, first), f"{folder}/state", "2026-08-01 02:00:00").awaitTermination()
+    rows = spark.read.parquet(f"{folder}/catalogue/runs").orderBy("id").collect()
+    assert [(r.id, r.status, r.sources_total, r.sources_unchanged, r.items_new, r.items_updated) for r in rows] == [(1, "partial", 3, 0, 2, 0), (2, "ok", 2, 1, 0, 1)]
+    assert offers(spark, f"{folder}/catalogue")["2"].benefit_amount == 60000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import blank, plain_number
+from tidemark.functions.text import blank, plain_number, real_date, trim_all
 
 
 def to_number(c: Column) -> Column:
@@ -86,3 +86,35 @@ def yaml_value(c: Column) -> Column:
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+
+
+def shortened(c: Column, n: int = 140) -> Column:
+    """The text, or its first n - 1 characters and an ellipsis."""
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
+
+
+def first_text(*cs: Column) -> Column:
+    """The first text that is not blank, trimmed."""
+    return F.coalesce(*(F.nullif(trim_all(blank(c)), F.lit("")) for c in cs))
+
+
+def chosen(c: Column) -> Column:
+    """A comma list as its values, without blanks and repeats."""
+    return F.array_distinct(F.filter(F.transform(F.split(blank(c), ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def toggled(c: Column, value: Column) -> Column:
+    """A comma list with the value put in at its end, or taken out where it is there; null if nothing is left."""
+    values = chosen(c)
+    out = F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, value))
+    return F.nullif(F.array_join(out, ","), F.lit(""))
+
+
+def without(c: Column, value: Column) -> Column:
+    """A comma list without the value; null if nothing is left."""
+    return F.nullif(F.array_join(F.array_remove(chosen(c), value), ","), F.lit(""))
+
+
+def days_later(c: Column, days: Column | int) -> Column:
+    """YYYY-MM-DD so many days later; a day beyond its month's end counts on into the next."""
+    return F.date_add(real_date(c), days).cast("string")

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StreamingQuery
+
 from tidemark.functions import rules
 from tidemark.functions.text import blank, content_hash, local_today, normalize_url, strip_tags
 from tidemark.operators import blocks, dedupe, extract, link, merge, validate
@@ -150,3 +152,19 @@ def run(spark: SparkSession, folder: str, inputs: Inputs, run_id: int, at: str,
     done = tables.kept(run_row(read, judged, after, run_id, as_of), f"{folder}/runs-work/row-{run_id}")
     tables.append(done, f"{folder}/runs")
     return done
+
+
+def follow(pages: DataFrame, folder: str, inputs: Inputs, checkpoint: str, at: str | None = None, **how) -> StreamingQuery:
+    """Runs over a stream of pages (source_id, url, status_code, html): what has come since the last time, one run a batch, then stop.
+
+    A batch's number is its run's, so that a batch that is tried again is the same
+    run. `inputs.pages` is not read. `at` is for tests; otherwise each run is as
+    of when it starts.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = at or spark.sql("SELECT date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'yyyy-MM-dd HH:mm:ss')").first()[0]
+        run(spark, folder, Inputs(batch, inputs.sources, inputs.providers, inputs.aliases, inputs.bases), number + 1, now, **how)
+
+    return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

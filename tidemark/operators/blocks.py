@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions.text import blank, clean_text, has_any, let
+from tidemark.sources.tables import spread
 
 BLOCK = "struct<pos:int,text:string,href:string,tag:string,heading:string>"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -136,7 +137,7 @@ def html_blocks(pages: DataFrame, scope: str | None = None) -> DataFrame:
             blocks = [page_blocks(h, u, scope) for h, u in zip(f["html"], f["url"], strict=True)]
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "blocks": blocks})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, blocks array<{BLOCK}>")
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, f"page_id long, url string, blocks array<{BLOCK}>")
 
 
 def is_price_table(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:

@@ -78,6 +78,11 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def distribution(df: DataFrame, key: str) -> DataFrame:
+    """How often each value of the key occurs, most frequent first; missing ones count as `none`."""
+    return df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("none")).alias(key)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)
+
+
 def run_summary(results: DataFrame, run: str) -> DataFrame:
     """Sources, successes and the status of each run: ok, partial or failed."""
     out = results.groupBy(run).agg(F.count(F.lit(1)).alias("n_sources"), F.count_if("ok").alias("n_ok"))

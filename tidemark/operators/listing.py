@@ -32,6 +32,20 @@ def published(df: DataFrame) -> DataFrame:
     return df.where(F.col("review_status").isin(*PUBLISHED))
 
 
+def catalogue_view(offers: DataFrame, providers: DataFrame, models: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Offers with their provider, and with model and endpoint where they have them, each as columns of its own prefix.
+
+    Offers of unknown providers are left out. The three tables are read by key;
+    which of them are broadcast Spark decides by their bytes.
+    """
+    def named(df: DataFrame, what: str) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{what}_{c}") for c in df.columns))
+
+    out = offers.join(named(providers, "provider").withColumnRenamed("provider_id", "_p"), F.col("provider_id") == F.col("_p")).drop("_p")
+    for df, what in ((models, "model"), (endpoints, "endpoint")):
+        out = out.join(named(df, what).withColumnRenamed(f"{what}_id", "_k"), F.col(f"{what}_id") == F.col("_k"), "left").drop("_k")
+    return out
+
 
 def status_rank() -> Column:
     return F.when(F.col("status") == "active", 0).when(F.col("status") == "upcoming", 1).otherwise(2)

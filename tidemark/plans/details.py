@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import display
 from tidemark.jobs import daily
-from tidemark.operators import details, guides, model_output, probes, verification
+from tidemark.operators import details, facets, guides, listing, model_output, probes, verification
 from tidemark.plans import cases
 from tidemark.plans.cases import pick, say
 from tidemark.plans.catalogue import _RANK, OFFERS, as_of, offers, today
@@ -334,3 +335,35 @@ def daily_items(spark, sf):
     inputs = crawl(spark, sf)
     items = daily.judged_items(daily.found_items(daily.snapshots(inputs.pages), inputs, F.lit(2026)), inputs, 2026)
     return items.select("source_id", "provider_slug", "title", F.col("benefit_amount").alias("amount"), F.col("end_date").alias("until"), F.col("claim_url").alias("link"), "model_id", "review_status")
+
+
+@query(_ENDS + f""", w AS ({OFFERS.replace("WITH a AS", "SELECT * FROM (WITH a AS")} SELECT id, provider, status, CASE WHEN id % 2 = 0 THEN id % 50 END AS model_id, CASE WHEN id % 4 = 0 THEN id % 50 * 100000 + id % 10 END AS endpoint_id FROM v))
+SELECT w.id, provider AS provider_name, status, p_name AS model_name, e.provider_name AS endpoint_provider FROM w LEFT JOIN part ON p_partkey = w.model_id LEFT JOIN e ON e.id = endpoint_id""")
+def catalogue_view(spark, sf):
+    """Offers with their customer, and the part and the supplier's offer of it where they name one that is there."""
+    k = F.col("id")
+    o = offers(spark, sf).drop("provider", "region").withColumns({"model_id": F.when(k % 2 == 0, k % 50), "endpoint_id": F.when(k % 4 == 0, k % 50 * 100000 + k % 10)})
+    models = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    v = listing.catalogue_view(o, _providers(spark, sf), models, part_endpoints(spark, sf).select("id", F.col("provider_name").alias("provider")))
+    return v.select("id", "provider_name", "status", "model_name", "endpoint_provider")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN NULL WHEN 2 THEN 'a,b,' || event_type ELSE 'a,b' END AS put, CASE event_id % 4 WHEN 2 THEN 'a,b' WHEN 3 THEN 'a,b' END AS taken,
+CASE WHEN length(event_type) > 5 THEN event_type[1:4] || '…' ELSE event_type END AS short, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN 'a, b' ELSE 'b,' || event_type || ' ,a' END AS said FROM events""")
+def selections(spark, sf):
+    """Lists of chosen values: empty, of this one, without it, and with it among blanks and repeats."""
+    k, t = F.col("event_id") % 4, F.col("event_type")
+    now = pick(k, F.lit(" "), t, F.lit("a, b,a"), F.concat(F.lit("a,b,,"), t))
+    said = display.first_text(F.when(k == 2, " a, b "), F.when(k == 3, F.concat(F.lit("b,"), t, F.lit(" ,a"))), F.lit(" "), t)
+    return table(spark, sf, "events").select("event_id", display.toggled(now, t).alias("put"), display.without(now, t).alias("taken"), display.shortened(t, 5).alias("short"), said.alias("said"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate::DATE + CAST(o_orderkey % 90 AS INTEGER) AS VARCHAR) AS day FROM orders")
+def days_later(spark, sf):
+    day = display.days_later(F.substring(F.col("o_orderdate").cast("string"), 1, 10), (F.col("o_orderkey") % 90).cast("int"))
+    return table(spark, sf, "orders").select("o_orderkey", day.alias("day"))
+
+
+@query("SELECT coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'none') AS p_brand, count(*) AS n FROM part GROUP BY 1")
+def brand_distribution(spark, sf):
+    return facets.distribution(table(spark, sf, "part").withColumn("p_brand", F.when(F.col("p_size") > 10, F.col("p_brand"))), "p_brand")

@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it comes in fewer than half as many partitions, for work that is costly for each row; else, and as a stream, as it is."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def write_version(df: DataFrame, folder: str) -> str:
     """df as a new version under `folder`; readers see it when its pointer row is appended, all of it or nothing."""
     spark = df.sparkSession
