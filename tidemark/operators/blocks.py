@@ -34,7 +34,7 @@ class _Walker(HTMLParser):
 
     def __init__(self, base: str, scope: str | None):
         super().__init__(convert_charrefs=True)
-        self.base, self.scope = base, scope
+        self.base, self.scope, self.matched = base, scope, False
         self.stack: list[dict] = []
         self.blocks: list[dict] = []
         self.rows: list[list[dict]] = []
@@ -44,6 +44,13 @@ class _Walker(HTMLParser):
         return self.scope is None or any(e["scope"] for e in self.stack)
 
     def _matches(self, tag: str, attrs: dict) -> bool:
+        """Whether this is the scope: the first element that the selector names."""
+        if self.matched or not self.scope:
+            return False
+        self.matched = self._named(tag, attrs)
+        return self.matched
+
+    def _named(self, tag: str, attrs: dict) -> bool:
         want = self.scope or ""
         if want.startswith("#"):
             return attrs.get("id") == want[1:]
@@ -67,7 +74,7 @@ class _Walker(HTMLParser):
             for e in self.stack:
                 e["href"] = e["href"] or href
         above = next((e["link"] for e in reversed(self.stack) if e["link"]), None)
-        entry = {"tag": tag, "noise": noise, "nested": False, "href": None, "link": href or above, "parts": [], "scope": self._matches(tag, attrs), "at": None}
+        entry = {"tag": tag, "noise": noise, "nested": False, "href": None, "link": href or above, "parts": [], "scope": not (noise or any(e["noise"] for e in self.stack)) and self._matches(tag, attrs), "at": None}
         self.stack.append(entry)
         if any(e["noise"] for e in self.stack) or not self._in_scope():
             return
@@ -113,6 +120,8 @@ def page_blocks(page: str | None, base: str | None, scope: str | None = None) ->
     walker = _Walker(base or "", scope)
     walker.feed(page or "")
     walker.close()
+    if scope and not walker.matched:
+        return page_blocks(page, base)
     found, heading = [], None
     for e in walker.blocks:
         text = _tidy("".join(e["parts"]))

@@ -11,6 +11,7 @@ from tidemark.operators import details, facets, guides, listing, model_output, p
 from tidemark.plans import cases
 from tidemark.plans.cases import pick, say
 from tidemark.plans.catalogue import _RANK, OFFERS, as_of, offers, today
+from tidemark.sources import relays
 from tidemark.sources.tables import table
 
 QUERIES: dict = {}
@@ -367,3 +368,34 @@ def days_later(spark, sf):
 @query("SELECT coalesce(CASE WHEN p_size > 10 THEN p_brand END, 'none') AS p_brand, count(*) AS n FROM part GROUP BY 1")
 def brand_distribution(spark, sf):
     return facets.distribution(table(spark, sf, "part").withColumn("p_brand", F.when(F.col("p_size") > 10, F.col("p_brand"))), "p_brand")
+
+
+def relay_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as records of three directories; about three of them share a host, one in a hundred has none."""
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    return table(spark, sf, "customer").select(
+        say("r{k}", k=k).alias("id"), F.col("c_name").alias("name"), F.when(k % 4 == 0, say("about {k}", k=k)).alias("subtitle"), F.when(k % 100 != 7, say("https://www.H{h}.example.com/x", h=k * 7 % 500)).alias("homeUrl"),
+        F.when(k % 3 == 0, say("https://s{k}.example.com", k=k)).alias("signupUrl"), none.alias("docsUrl"), F.when(k % 5 != 0, F.array(say("t{n}", n=k % 3), say("u{n}", n=k % 11), F.lit("all"))).alias("tags"),
+        F.when(k % 2 == 0, F.when(k % 6 == 0, "").otherwise(say("$" + "{k}", k=k))).alias("bonus"), (k % 9 == 0).alias("recommended"), F.lit(None).cast("boolean").alias("registerOpen"),
+        F.lit(None).cast("array<string>").alias("loginMethods"), F.lit(None).cast("boolean").alias("checkinEnabled"), F.when(k % 4 != 1, k % 4 == 2).alias("online"), F.when(k % 5 != 1, k).alias("latencyMs"),
+        F.when(k % 7 != 2, say("at {k}", k=k)).alias("checkedAt"), F.when(k % 8 == 3, F.array(say("m{k}", k=k))).alias("models"), F.when(k % 8 == 3, 1).alias("modelsCount"), none.alias("modelsNote"),
+        none.alias("announcement"), none.alias("mirror"), say("d{n}", n=k % 3).alias("source"), (k % 3).cast("int").alias("rank"), k.cast("int").alias("pos"),
+    )
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 100 <> 7 THEN 'h' || (c_custkey * 7 % 500) || '.example.com' ELSE 'r' || c_custkey END AS host, c_custkey % 3 AS rank, c_custkey % 4 = 2 AS up,
+  CASE WHEN c_custkey % 2 = 0 AND c_custkey % 6 <> 0 THEN '$' || c_custkey END AS bonus, CASE WHEN c_custkey % 4 = 0 THEN 'about ' || c_custkey END AS subtitle, CASE WHEN c_custkey % 5 <> 1 THEN c_custkey END AS latency,
+  CASE WHEN c_custkey % 7 <> 2 THEN 'at ' || c_custkey END AS checked, CASE WHEN c_custkey % 8 = 3 THEN 'm' || c_custkey END AS model, CASE WHEN c_custkey % 5 <> 0 THEN ['t' || (c_custkey % 3), 'u' || (c_custkey % 11), 'all'] END AS tags FROM customer),
+g AS (SELECT host, count(*) AS n, list(k ORDER BY rank, k) AS ks, list('d' || (k % 3) ORDER BY rank, k) AS sources, first(bonus ORDER BY rank, k) FILTER (bonus IS NOT NULL) AS bonus, first(subtitle ORDER BY rank, k) FILTER (subtitle IS NOT NULL) AS subtitle,
+  first(model ORDER BY rank, k) FILTER (model IS NOT NULL) AS model, first({'c': checked, 'l': latency} ORDER BY rank, k) FILTER (up) AS u, first({'o': k % 4, 'c': checked, 'l': latency} ORDER BY rank, k) AS b FROM r GROUP BY host),
+e AS (SELECT host, tag, min({'a': rank, 'b': k, 'c': pos}) AS place FROM (SELECT host, rank, k, unnest(tags) AS tag, unnest([0, 1, 2]) AS pos FROM r WHERE tags IS NOT NULL) GROUP BY 1, 2),
+t AS (SELECT host, list(tag ORDER BY place) AS tags FROM e GROUP BY 1)
+SELECT g.host, 'r' || ks[1] AS id, CASE WHEN u IS NOT NULL THEN true WHEN b.o <> 1 THEN false END AS online, CASE WHEN u IS NOT NULL AND b.o <> 2 THEN coalesce(b.l, u.l) ELSE b.l END AS latency,
+CASE WHEN u IS NOT NULL AND b.o <> 2 THEN coalesce(u.c, b.c) ELSE b.c END AS checked, bonus, subtitle, model, array_to_string(CASE WHEN n > 1 THEN coalesce(tags, [])[1:6] ELSE coalesce(tags, []) END, ',') AS tags,
+array_to_string(sources, ',') AS sources FROM g LEFT JOIN t ON t.host = g.host""")
+def relays_merged(spark, sf):
+    m = relays.merged_relays(relay_records(spark, sf))
+    return m.select(
+        "host", "id", "online", F.col("latencyMs").alias("latency"), F.col("checkedAt").alias("checked"), "bonus", "subtitle", F.get("models", F.lit(0)).alias("model"), F.array_join("tags", ",").alias("tags"),
+        F.array_join("sources", ",").alias("sources"),
+    )
