@@ -146,19 +146,18 @@ def _groups(classes: DataFrame, first: int) -> tuple[DataFrame, DataFrame | None
         if over is not None:  # only in the trees where the region above was too large
             keyed = keyed.join(over.select("id", "tree"), ["id", "tree"])
         keyed = stored(keyed, "prefixes")
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("size > 1")
-        shared = stored(keyed.join(shared, "key"), "shared")
-        regions = shared.groupBy("key").agg(hub)
-        members = shared.join(regions, "key")
+        # regions are written before they meet their classes: the join then has a shuffle on both sides, which Spark can split where a region is large
+        regions = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), hub).where("size > 1"), "regions")
+        members = stored(keyed.join(regions, "key"), "members")
         close.append(members.where(F.col("size") <= MAX_GROUP).select("hub", "id", "n"))
-        if shared.where(F.col("size") > MAX_GROUP).isEmpty():
+        if regions.where(F.col("size") > MAX_GROUP).isEmpty():
             break
         over = stored(members.where(F.col("size") > MAX_GROUP).select("id", "tree", "size", "weight", "hub"), "oversized")
         shares.append(over.select("hub", "id", _share()))
         crowds += [over.select("id")] if not crowds else []  # what is cut deeper is among these
         todo = classes.join(over.select("id").distinct(), "id", "left_semi")
     near = stored(reduce(DataFrame.unionAll, close).distinct(), "near")
-    sizes = near.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    sizes = stored(near.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")), "hub-sizes")
     large = stored(near.join(sizes.where((F.col("size") > MAX_GROUP) | (F.col("weight") > GROUP_BYTES // 8)), "hub"), "hubs")
     groups = near.select("hub", "id", F.lit(-1).cast("long").alias("part"))
     if not large.isEmpty():
@@ -377,7 +376,7 @@ def _crowd_groups(rows: DataFrame, crowd: DataFrame, labels: DataFrame, percent:
         f" and {100 + percent} * (1 + least(n - 1 - pos, n_b - 1 - pos_b)) >= {percent} * (n + n_b)"
     )
     pairs = stored(both.select(F.col("id").alias("hub"), F.col("id_b").alias("id")).distinct(), "pairs")
-    sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stored(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "pair-sizes")
     return pairs.join(sizes, "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / STAR_GROUP)).alias("part"))
 
 
@@ -404,7 +403,7 @@ def _find(rows: DataFrame, similarity: float) -> DataFrame:
         joined = components(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
         named = named.join(joined.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
     # the component's smallest doc_id; labels are row numbers and need not follow doc_ids
-    heads = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    heads = stored(named.groupBy("label").agg(F.min("first_doc").alias("component_id")), "heads")
     by_set = named.join(heads, "label").select("n", "s1", "s2", "label", "component_id")
     return signed.select("_row", "doc_id", "n", "s1", "s2").join(by_set, ["n", "s1", "s2"], "left").select(
         "_row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "_row").alias("label"), F.coalesce("component_id", "doc_id").alias("component_id")
