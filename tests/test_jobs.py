@@ -135,3 +135,25 @@ def test_a_stream_of_pages_is_runs(spark, history):
     rows = spark.read.parquet(f"{folder}/catalogue/runs").orderBy("id").collect()
     assert [(r.id, r.status, r.sources_total, r.sources_unchanged, r.items_new, r.items_updated) for r in rows] == [(1, "partial", 3, 0, 2, 0), (2, "ok", 2, 1, 0, 1)]
     assert offers(spark, f"{folder}/catalogue")["2"].benefit_amount == 60000
+
+
+def test_feeds_searches_scopes_and_replies(spark):
+    """One run over a feed, a page of results, a page of which a part counts, and a page that a model read."""
+    feed = "<rss><channel><item><title>新用户注册即送 9 万 tokens</title><link>https://www.vendor.example.com/feed/9</link><description>免费额度，新用户领取，截至 2026年9月9日</description></item></channel></rss>"
+    result = "<table><tr><td><a class='result-link' href='https://news.example.net/a'>新用户注册即送 3 万 tokens 活动</a></td></tr><tr><td class='result-snippet'>免费领取额度，面向新用户</td></tr></table>"
+    part = "<body><div class='side'>" + page(7, n=7).replace("第 7 号", "第 70 号") + "</div><div id='main'>" + page(8, n=8) + "</div></body>"
+    rows = [(1, "page", None, feed), (2, "search", None, result), (3, "page", "#main", part), (4, "page", None, "<p>nothing to see on this page</p>")]
+    inputs = crawl(spark, {k: (200, html) for k, _, _, html in rows})
+    kinds = spark.createDataFrame([(k, kind, scope) for k, kind, scope, _ in rows], "id long, kind string, scope string")
+    sources = inputs.sources.drop("kind").join(kinds, "id")
+    reply = '{"title": "新用户注册送 4 万 tokens", "hook": "a gift", "benefitKind": "token", "benefitAmount": 40000, "benefitUnit": "token", "audience": ["new_user"], "claimUrl": "https://www.vendor.example.com/c4", "confidence": 0.9}'
+    replies = spark.createDataFrame([(4, "t", "c", reply), (4, "t", "c", "no offer here")], "source_id long, title string, context string, reply string")
+    full = daily.Inputs(inputs.pages, sources, inputs.providers, inputs.aliases, inputs.bases, replies)
+    folder = tempfile.mkdtemp(prefix="spark-") + "/catalogue"
+    row = daily.run(spark, folder, full, 1, "2026-08-01 02:00:00").first()
+    got = {r.benefit_amount: r for r in tables.read_version(spark, f"{folder}/offers").collect()}
+    assert sorted(got) == [30000, 40000, 80000, 90000] and row.items_new == 4
+    assert (got[90000].end_date, got[90000].claim_url, got[90000].extracted_by) == ("2026-09-09", "https://www.vendor.example.com/feed/9", "rule")
+    assert (got[30000].claim_url, got[30000].source_url, got[30000].extracted_by) == ("https://news.example.net/a",) * 2 + ("search",)
+    assert (got[40000].hook, got[40000].extracted_by, got[40000].source_id) == ("a gift", "llm", 4)
+    assert got[80000].source_id == 3

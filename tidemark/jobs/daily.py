@@ -19,21 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import rules
+from tidemark.functions.display import result_text
 from tidemark.functions.text import blank, content_hash, local_today, normalize_url, strip_tags
-from tidemark.operators import blocks, dedupe, extract, link, merge, validate
-from tidemark.sources import tables
+from tidemark.operators import blocks, dedupe, extract, link, merge, model_output, validate
+from tidemark.sources import feeds, tables
 
 #: What an update takes from the new item, and what it takes only where the new item has it.
 FIELDS = (
     "title", "summary", "category", "benefit_kind", "benefit_amount", "benefit_unit", "benefit_text", "audience", "audience_note", "region", "requires_card", "requires_verification",
     "start_date", "end_date", "is_recurring", "claim_url", "source_url", "source_excerpt", "confidence",
 )
-STICKY = ("model_id", "endpoint_id", "source_id")
+STICKY = ("model_id", "endpoint_id", "source_id", "hook", "how_to_claim", "caveat", "extracted_by")
 #: The catalogue's table of offers.
 OFFERS = (
     "id long, fingerprint string, provider_slug string, title string, summary string, category string, benefit_kind string, benefit_amount double, benefit_unit string, benefit_text string, "
     "audience array<string>, audience_note string, region string, requires_card boolean, requires_verification string, start_date string, end_date string, is_recurring string, "
-    "claim_url string, source_url string, source_excerpt string, confidence double, source_id long, model_id long, endpoint_id long, review_status string, status_override string, "
+    "claim_url string, source_url string, source_excerpt string, confidence double, hook string, how_to_claim string, caveat string, extracted_by string, source_id long, model_id long, endpoint_id long, review_status string, status_override string, "
     "archived_at timestamp, created_at timestamp, updated_at timestamp, last_verified_at timestamp"
 )
 
@@ -43,9 +44,10 @@ class Inputs:
     """Tables of a run.
 
     pages: source_id, url, status_code, html. sources: id, provider_slug, url, kind
-    (page or search). providers: slug, country, urls (its own addresses).
-    aliases: provider_slug, entity_id (of a model), alias, ord. bases: base_id (an
-    endpoint), base (its address), model_id.
+    (page or search), perhaps scope (a selector). providers: slug, country, urls (its
+    own addresses). aliases: provider_slug, entity_id (of a model), alias, ord.
+    bases: base_id (an endpoint), base (its address), model_id. replies, where a
+    language model read passages: source_id, title, context, reply.
     """
 
     pages: DataFrame
@@ -53,6 +55,7 @@ class Inputs:
     providers: DataFrame
     aliases: DataFrame
     bases: DataFrame
+    replies: DataFrame | None = None
 
 
 def snapshots(pages: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -66,16 +69,37 @@ def snapshots(pages: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return met.withColumn("again", F.coalesce(F.col("digest") == F.col("_last"), F.lit(False))).drop("_source", "_last")
 
 
+def passages(read: DataFrame, sources: DataFrame, profile: rules.Profile = rules.OFFERS) -> DataFrame:
+    """source_id, source_url, is_search, title, context, href: what good and new pages say that may be offers.
+
+    Pages and feeds give their best passages, with the source's address as theirs;
+    result pages of searches give each result, whose own address is its source.
+    """
+    has_scope = "scope" in sources.columns
+    s = sources.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), (F.col("kind") == "search").alias("is_search"), F.col("scope") if has_scope else F.lit(None).cast("string").alias("scope"))
+    good = read.where("ok AND NOT again").select(F.col("source_id").cast("long").alias("source_id"), "url", "html").join(s, "source_id")
+    plain, fed = (good.where(~F.col("is_search") & x) for x in (~feeds.is_feed(F.col("html")), feeds.is_feed(F.col("html"))))
+    fed = fed.select("source_id", "url", "scope").join(feeds.feed_pages(fed.select(F.col("source_id").alias("id"), F.col("html").alias("xml"))).withColumnRenamed("id", "source_id"), "source_id")
+    pages = plain.select("source_id", "url", "html", "scope").unionByName(fed)
+    near = blocks.candidates(blocks.html_blocks(pages.withColumnRenamed("source_id", "page_id")), profile=profile)
+    told = near.select(F.col("page_id").alias("source_id"), "title", "context", "href").join(s.drop("scope"), "source_id")
+    results = feeds.search_results(good.where("is_search").select(F.col("source_id").alias("id"), "html"))
+    seen = results.select(F.col("id").alias("source_id"), "title", result_text(F.col("title"), F.col("snippet")).alias("context"), F.col("url").alias("href"), F.col("url").alias("source_url"), F.lit(True).alias("is_search"))
+    return told.unionByName(seen)
+
+
 def found_items(read: DataFrame, inputs: Inputs, year: Column, profile: rules.Profile = rules.OFFERS) -> DataFrame:
-    """Items of pages that are good and new, in normal form and without repeats."""
-    s = inputs.sources.select(F.col("id").alias("source_id"), "provider_slug", F.col("url").alias("source_url"), (F.col("kind") == "search").alias("is_search"))
-    p = inputs.providers.select("provider_slug" if "provider_slug" in inputs.providers.columns else F.col("slug").alias("provider_slug"), "country", F.col("urls").alias("_urls"))
-    pages = read.where("ok AND NOT again").select(F.col("source_id").alias("page_id"), "url", "html")
-    near = blocks.candidates(blocks.html_blocks(pages), profile=profile)
-    known = near.withColumn("source_id", F.col("page_id").cast("long")).join(s, "source_id").join(p, "provider_slug")
-    hosted = known.withColumn("hosts", validate.allowed_hosts(F.concat("_urls", F.array("source_url"))))
-    items = extract.extract(hosted, year, profile)
-    placed = dedupe.normalize_items(items).withColumn("ord", F.xxhash64("fingerprint", "source_url", "title", "confidence"))
+    """Items of pages that are good and new, in normal form and without repeats; what a model extracted stands beside what rules did, and the better one stays."""
+    of = inputs.sources.select(F.col("id").alias("source_id"), "provider_slug")
+    p = inputs.providers.select(F.col("slug").alias("provider_slug"), "country", F.col("urls").alias("_urls"))
+    hosts = validate.allowed_hosts(F.concat("_urls", F.array("source_url")))
+    hosted = passages(read, inputs.sources, profile).join(of, "source_id").join(p, "provider_slug").withColumn("hosts", hosts)
+    items = extract.extract(hosted, year, profile, ("is_search",)).withColumn("extracted_by", F.when(F.col("is_search"), "search").otherwise("rule")).drop("is_search")
+    if inputs.replies is not None:
+        s = inputs.sources.select(F.col("id").alias("source_id"), "provider_slug", F.col("url").alias("source_url"))
+        asked = inputs.replies.join(read.where("ok AND NOT again").select("source_id"), "source_id", "left_semi").join(s, "source_id").join(p, "provider_slug").withColumn("hosts", hosts)
+        items = items.unionByName(model_output.items_from_replies(asked, year), allowMissingColumns=True)
+    placed = dedupe.normalize_items(items).withColumn("ord", F.xxhash64("fingerprint", "source_url", "title", "confidence", "extracted_by"))
     return dedupe.dedupe(placed).drop("ord", "quality")
 
 
@@ -96,7 +120,7 @@ def judged_items(items: DataFrame, inputs: Inputs, year: int, profile: rules.Pro
     s = inputs.sources.groupBy(F.col("url").alias("_url")).agg(F.min("id").alias("source_id"), F.max(F.col("kind") == "search").alias("is_search"))
     p = inputs.providers.select(F.col("slug").alias("_slug"), F.col("urls").alias("_urls"))
     full = items.join(s, F.col("source_url") == F.col("_url"), "left").join(p, F.col("provider_slug") == F.col("_slug"), "left")
-    full = full.withColumn("is_search", F.coalesce("is_search", F.lit(False))).withColumn("hosts", validate.allowed_hosts(F.concat(F.coalesce("_urls", F.array().cast("array<string>")), F.array("source_url"))))
+    full = full.withColumn("is_search", F.coalesce("is_search", F.col("extracted_by") == "search")).withColumn("hosts", validate.allowed_hosts(F.concat(F.coalesce("_urls", F.array().cast("array<string>")), F.array("source_url"))))
     full = full.join(entity_links(items, inputs), "fingerprint", "left")
     verdict = validate.verdict(full, year, profile)
     return verdict.withColumn("review_status", F.when(F.col("action") != "reject", F.col("action"))).drop("_url", "_slug", "_urls", "hosts", "is_search")

@@ -139,14 +139,17 @@ def page_blocks(page: str | None, base: str | None, scope: str | None = None) ->
 
 
 def html_blocks(pages: DataFrame, scope: str | None = None) -> DataFrame:
-    """page_id, url, blocks: the leaf blocks of each page, then its table rows. `scope`: tag, .class or #id."""
+    """page_id, url, blocks: the leaf blocks of each page, then its table rows. `scope`: tag, .class or #id; pages may have their own in a column of that name."""
+    own = "scope" in pages.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            blocks = [page_blocks(h, u, scope) for h, u in zip(f["html"], f["url"], strict=True)]
+            scopes = f["scope"].where(f["scope"].notna(), scope) if own else [scope] * len(f)
+            blocks = [page_blocks(h, u, s) for h, u, s in zip(f["html"], f["url"], scopes, strict=True)]
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "blocks": blocks})
 
-    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, f"page_id long, url string, blocks array<{BLOCK}>")
+    columns = ["page_id", "url", "html", *(["scope"] if own else [])]
+    return spread(pages.select(*columns)).mapInPandas(run, f"page_id long, url string, blocks array<{BLOCK}>")
 
 
 def is_price_table(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:

@@ -175,8 +175,8 @@ def _told(lines: Column, context: Column, title: Column) -> Column:
     return F.coalesce(*(F.nullif(F.substring(clean_text(x), 1, 200), F.lit("")) for x in texts), F.lit(""))
 
 
-def extract(found: DataFrame, year: Column, profile: rules.Profile = rules.OFFERS) -> DataFrame:
-    """Candidates with source_url, provider_slug, country, hosts (array) and is_search -> items with all fields."""
+def extract(found: DataFrame, year: Column, profile: rules.Profile = rules.OFFERS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates with source_url, provider_slug, country, hosts (array) and is_search -> items with all fields, and the columns to keep."""
     text = F.col("text")
     df = found.withColumn("text", clean_text(F.concat_ws("\n", "title", "context")))
     df = df.withColumn("claim_url", claim_link(F.col("href"), F.col("source_url"), F.col("hosts"), F.col("is_search")))
@@ -190,7 +190,7 @@ def extract(found: DataFrame, year: Column, profile: rules.Profile = rules.OFFER
         F.col("benefit.kind").alias("benefit_kind"), F.col("benefit.amount").alias("benefit_amount"), F.col("benefit.unit").alias("benefit_unit"), F.col("benefit.text").alias("benefit_text"),
         "audience", audience_note(text, profile).alias("audience_note"), F.when(F.col("country") == "CN", "CN").otherwise("GLOBAL").alias("region"), card.alias("requires_card"),
         verification.alias("requires_verification"), F.col("dates.start").alias("start_date"), F.col("dates.end").alias("end_date"), recurring(text, profile).alias("is_recurring"),
-        "claim_url", "source_url", F.substring("context", 1, 500).alias("source_excerpt"), "confidence",
+        "claim_url", "source_url", F.substring("context", 1, 500).alias("source_excerpt"), "confidence", *keep,
     )
 
 

@@ -21,6 +21,19 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     return rows.select("id", "pos", part("title").alias("title"), F.when(part("link") != "", part("link")).otherwise(href).alias("link"), part("description|summary|content").alias("description"))
 
 
+def is_feed(html: Column) -> Column:
+    """Whether a page is an RSS or Atom feed, by how it begins."""
+    return F.substring(blank(html), 1, 300).rlike(r"(?i)<(?:rss|feed|rdf:RDF)\b")
+
+
+def feed_pages(feeds: DataFrame) -> DataFrame:
+    """(id, xml) -> id, html: each feed as a page of headings, texts and links, for whoever reads pages. A feed has as many items as its site shows."""
+    i = feed_items(feeds)
+    text = F.concat(F.lit("<h3>"), escape_xml(F.col("title")), F.lit("</h3><p>"), escape_xml(F.col("description")), F.lit(' <a href="'), escape_xml(F.col("link")), F.lit('">link</a></p>'))
+    items = i.select("id", F.struct("pos", text.alias("t")).alias("x")).groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return items.select("id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("xs", lambda x: x["t"]), ""), F.lit("</body></html>")).alias("html"))
+
+
 def unwrap_redirect(href: Column, engine: str = "duckduckgo.com") -> Column:
     """The target of a search engine's redirect link; other http(s) links as they are, normal; else null."""
     url = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href)
