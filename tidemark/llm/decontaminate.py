@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import set_aside, stored, with_row
-from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, mix64, words
+from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, lean, mix64, words
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("1111", "11011", "110101", "101011", "1100011")
@@ -217,11 +217,11 @@ def _find(rows: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], overlap
         return spark.createDataFrame([], f"_row long, {_SCHEMA}")
     packed = np.packbits(seed_bits(seeds), bitorder="little").tobytes()
     fits = [(m, False) for m in masks] + [("1" * n, True) for n in short]
-    hits = rows.select("_row", "text").mapInArrow(_document_hits(fits, packed), "seed long, _row long, at int")
+    hits = rows.select("_row", "text").mapInArrow(lean(_document_hits(fits, packed)), "seed long, _row long, at int")
     met = hits.join(seeds, "seed").groupBy("_row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("aligns"))
     listed = met.join(items, "item").groupBy("_row", F.pmod("item", F.lit(ITEM_PARTS)).alias("part")).agg(F.collect_list(F.struct("item_id", "words", "aligns")).alias("items"))
     found = rows.select("_row", "doc_id", "text").join(listed, "_row").select("_row", "doc_id", "text", "items")
-    return found.mapInArrow(_verifier(overlap, min_words, stretch, shift), f"_row long, {_SCHEMA}")
+    return found.mapInArrow(lean(_verifier(overlap, min_words, stretch, shift)), f"_row long, {_SCHEMA}")
 
 
 def find_leaks(

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import set_aside, stored, with_row
-from tidemark.llm.textbytes import U64, each_chunk, mix64, words
+from tidemark.llm.textbytes import U64, each_chunk, lean, mix64, words
 
 SHINGLE = 5
 SIMILARITY = 0.85
@@ -303,8 +303,8 @@ def _compared(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     hubs = groups.where("part >= 0").select("hub", F.col("hub").alias("id"), "part")
     by_class = groups.unionAll(hubs).distinct().groupBy("id").agg(F.collect_list(F.struct("hub", "part")).alias("groups"))
     # the text is shuffled at every size: by_class grows with the corpus, so that it is not for broadcasting
-    sets = rows.select(F.col("_row").alias("id"), "text").join(by_class.hint("merge"), "id").mapInArrow(_with_sets, "hub long, part long, id long, shingles binary")
-    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(_linker(percent), "a long, b long")
+    sets = rows.select(F.col("_row").alias("id"), "text").join(by_class.hint("merge"), "id").mapInArrow(lean(_with_sets), "hub long, part long, id long, shingles binary")
+    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part").mapInArrow(lean(_linker(percent)), "a long, b long")
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -362,11 +362,11 @@ def _crowd_groups(rows: DataFrame, crowd: DataFrame, labels: DataFrame, percent:
     """Groups (hub, id, part) of all pairs of the crowd that may be similar and are in different components; hub only."""
     named = crowd.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     texts = rows.select(F.col("_row").alias("id"), "text").join(named.hint("merge"), "id")
-    sets = stored(texts.mapInArrow(_crowd_sets, "id long, label long, shingles binary"), "crowd")
+    sets = stored(texts.mapInArrow(lean(_crowd_sets), "id long, label long, shingles binary"), "crowd")
     counts = sets.select("shingles").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros(SKETCH, np.int64)
     seen[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    firsts = stored(sets.mapInArrow(_postings(seen, percent, MAX_GROUP), "shingle long, id long, label long, n long, pos long, is_low boolean, spread long"), "postings")
+    firsts = stored(sets.mapInArrow(lean(_postings(seen, percent, MAX_GROUP)), "shingle long, id long, label long, n long, pos long, is_low boolean, spread long"), "postings")
     low = firsts.where("is_low").withColumn("share", F.pmod(F.xxhash64("id"), "spread")).select("shingle", "share", *(F.col(c).alias(f"{c}_b") for c in ("id", "label", "n", "pos")))
     high = firsts.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)))
     both = high.hint("merge").join(low, ["shingle", "share"]).where(
@@ -384,7 +384,7 @@ def _find(rows: DataFrame, similarity: float) -> DataFrame:
     """rows (_row, doc_id, text) -> _row, doc_id, n_shingles, label (a row of the component), component_id."""
     percent = round(similarity * 100)
     signed = stored(
-        rows.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_sign, "_row long, doc_id long, n long, s1 long, s2 long, sig binary"), "signed"
+        rows.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(lean(_sign), "_row long, doc_id long, n long, s1 long, s2 long, sig binary"), "signed"
     )
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     classes = stored(

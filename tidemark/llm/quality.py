@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import crc_mod, set_aside, smallest_hashes
-from tidemark.llm.textbytes import Rolling, each_chunk, rows_of, sum_rows, word_bounds
+from tidemark.llm.textbytes import Rolling, each_chunk, lean, rows_of, sum_rows, word_bounds
 
 THRESHOLD = 0.7
 MAX_DOCS = 6000
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, max_docs: int = MA
     # at most max_docs rows of (id, label): a proven bound for the broadcast
     texts = docs.select(F.col("doc_id").alias("_doc"), "text")
     picked = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_y", "text")
-    got = picked.mapInArrow(features, "y int, x binary").toPandas()
+    got = picked.mapInArrow(lean(features), "y int, x binary").toPandas()
     got = got.sort_values("x", ignore_index=True)  # one order whatever the partitions
     if not len(got) or got["y"].nunique() < 1:
         return {"w": np.zeros(N_FEATURES), "b": 0.0, "trans": np.zeros((2, 2))}
@@ -234,7 +234,7 @@ def with_scores(docs: DataFrame, model: dict) -> DataFrame:
                 scores[lo:hi] = _document_scores(*line_features(data, off), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

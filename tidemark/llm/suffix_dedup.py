@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import set_aside, stored, with_row
-from tidemark.llm.textbytes import U64, Rolling, each_chunk, mix64
+from tidemark.llm.textbytes import U64, Rolling, each_chunk, lean, mix64
 
 LENGTH = 400
 #: A passage: this many bytes that come again, and this many words.
@@ -353,14 +353,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
     """
     copies = stored(whole_copies(docs.select("_row", "text"), length), "copies")
     texts = docs.select("_row", "text").join(copies.where("_row != first").select("_row"), "_row", "left_anti")
-    spans = stored(texts.mapInArrow(_spans(length, q), "_row long, gram long, anchor int, start int, n int"), "spans")
+    spans = stored(texts.mapInArrow(lean(_spans(length, q)), "_row long, gram long, anchor int, start int, n int"), "spans")
     named = spans.where(F.col("gram").isNotNull())
     # tables that meet hot keys are written first: the join then has a shuffle of its own on both sides, which Spark can split where a key is hot
     shared = stored(named.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
     by_doc = named.join(shared, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "anchor", "start", "n", "many")).alias("spans"))
     cut = stored(
         texts.join(by_doc, "_row").mapInArrow(
-            _cut(length, split_spans, step), "_row long, gram long, large boolean, k1 long, k2 long, start long, n long, mark int, bytes binary"
+            lean(_cut(length, split_spans, step)), "_row long, gram long, large boolean, k1 long, k2 long, start long, n long, mark int, bytes binary"
         ),
         "cut",
     )
@@ -373,7 +373,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
     names = ["gram", "split", "k1", "k2", "mark", "bytes"]
     met = whole.select(names).unionAll(parts.select(names))
     met = met.repartition("gram", "split").sortWithinPartitions("gram", "split")
-    solved = stored(met.mapInArrow(_settle(length), "kind int, k1 long, k2 long, lo long, n long, w1 long, w2 long"), "solved")
+    solved = stored(met.mapInArrow(lean(_settle(length)), "kind int, k1 long, k2 long, lo long, n long, w1 long, w2 long"), "solved")
     across = (
         solved.where("kind = 1").groupBy("w1", "w2").agg(F.collect_list(F.struct("k1", "k2", "lo", "n")).alias("at"))
         .where(F.size("at") > 1).select(F.explode("at").alias("x")).select("x.*")
@@ -480,7 +480,7 @@ def find(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     rows = with_row(docs.select("doc_id", "text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").schema
-    return rows.join(repeats(rows, length, **how), "_row", "left").select("doc_id", "text", "windows").mapInArrow(_apply(length, True, schema), schema)
+    return rows.join(repeats(rows, length, **how), "_row", "left").select("doc_id", "text", "windows").mapInArrow(lean(_apply(length, True, schema)), schema)
 
 
 def find_with_passages(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, min_words: int = PASSAGE_WORDS, **how) -> DataFrame:
@@ -496,13 +496,13 @@ def find_with_passages(docs: DataFrame, length: int = LENGTH, passage: int = PAS
     schema = docs.sparkSession.createDataFrame([], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long").schema
     short = stored(repeats(rows, passage, **how).withColumnRenamed("windows", "short"), "short")
     # a string of `length` bytes that comes again lies in a stretch of shorter ones that do: only those are searched
-    cut = rows.join(short, "_row").mapInArrow(_long_runs(passage, length), "_doc long, at long, text binary")
+    cut = rows.join(short, "_row").mapInArrow(lean(_long_runs(passage, length)), "_doc long, at long, text binary")
     parts = stored(cut.withColumn("_row", F.monotonically_increasing_id()), "stretches")
     moved = F.transform("windows", lambda x: F.struct((x["lo"] + F.col("at")).alias("lo"), x["n"].alias("n")))
     long = parts.select("_row", "_doc", "at").join(repeats(parts, length, **how), "_row").groupBy(F.col("_doc").alias("_row")).agg(F.flatten(F.collect_list(moved)).alias("windows"))
     both = short.join(long, "_row", "left")
     joined = rows.join(both, "_row", "left").select("doc_id", "text", "windows", "short")
-    return joined.mapInArrow(_apply(length, True, schema, min_words, passage), schema)
+    return joined.mapInArrow(lean(_apply(length, True, schema, min_words, passage)), schema)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, min_words: int = 0, **how) -> DataFrame:
@@ -510,4 +510,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, min_words: int = 0, **how) -> D
     hidden, back = set_aside(docs, "_row", "_r", "windows")
     rows = with_row(hidden)
     joined = rows.join(repeats(rows, length, **how).withColumnRenamed("_row", "_r"), F.col("_row") == F.col("_r"), "left")
-    return back(joined.select(*hidden.columns, "windows").mapInArrow(_apply(length, False, hidden.schema, min_words), hidden.schema))
+    return back(joined.select(*hidden.columns, "windows").mapInArrow(lean(_apply(length, False, hidden.schema, min_words)), hidden.schema))

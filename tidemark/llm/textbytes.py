@@ -6,7 +6,9 @@ between batches. Texts are views into the batch's own buffer, null being empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,3 +152,17 @@ def sum_rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at a task's end what it freed goes back to the system: workers live on and would keep the most that any task needed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if trim is not None:
+            trim(0)
+
+    return task
