@@ -64,7 +64,7 @@ STEP = 16
 OUT_BYTES = 1 << 22
 MAX_SEEN = 300_000
 #: Bytes that are sorted together.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 #: The first buckets are those of the grams of FIRST bytes, of a quarter of the length if that is less; each round doubles the bytes.
 FIRST = 50
 
@@ -146,7 +146,7 @@ def _spans(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("_row").to_numpy()
-            for lo, _, data, off in each_chunk(batch):
+            for lo, _, data, off in each_chunk(batch, limit=1 << 20):
                 (doc, gram, anchor, start, n), (s_doc, s_start, s_n) = _doc_spans(data, off, length, q)
                 keys = pa.array(np.concatenate([gram.view(np.int64), np.zeros(len(s_doc), np.int64)]), mask=np.arange(len(doc) + len(s_doc)) >= len(doc))
                 numbers = (np.concatenate(x) for x in ((anchor, s_start), (start, s_start), (n, s_n)))
@@ -342,7 +342,7 @@ def whole_copies(texts: DataFrame, length: int) -> DataFrame:
     """
     raw = F.col("text").cast("binary")
     digests = texts.where(F.octet_length("text") >= length).select("_row", F.octet_length("text").cast("long").alias("n"), F.md5(raw).alias("k"))
-    groups = stored(digests.groupBy("k", "n").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many"), "groups")
+    groups = digests.groupBy("k", "n").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     return digests.join(groups, ["k", "n"]).select("_row", "first", "n")
 
 
@@ -355,8 +355,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
     texts = docs.select("_row", "text").join(copies.where("_row != first").select("_row"), "_row", "left_anti")
     spans = stored(texts.mapInArrow(lean(_spans(length, q)), "_row long, gram long, anchor int, start int, n int"), "spans")
     named = spans.where(F.col("gram").isNotNull())
-    # tables that meet hot keys are written first: the join then has a shuffle of its own on both sides, which Spark can split where a key is hot
-    shared = stored(named.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
+    shared = named.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
     by_doc = named.join(shared, "gram").groupBy("_row").agg(F.collect_list(F.struct("gram", "anchor", "start", "n", "many")).alias("spans"))
     cut = stored(
         texts.join(by_doc, "_row").mapInArrow(
@@ -367,7 +366,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
     payload = cut.where("mark < 2")
     whole = payload.where("NOT large").withColumn("split", F.lit(-1).cast("long"))
     # of the pieces only those that others share a bucket with, and how many do
-    sizes = stored(payload.where("large").groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    sizes = payload.where("large").groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     split = F.when(F.col("size") > split_spans, F.pmod("k1", F.ceil(F.col("size") / split_spans))).otherwise(-1)
     parts = payload.where("large").join(sizes, "gram").withColumn("split", split.cast("long"))
     names = ["gram", "split", "k1", "k2", "mark", "bytes"]
@@ -378,7 +377,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, split_spans: int
         solved.where("kind = 1").groupBy("w1", "w2").agg(F.collect_list(F.struct("k1", "k2", "lo", "n")).alias("at"))
         .where(F.size("at") > 1).select(F.explode("at").alias("x")).select("x.*")
     )
-    by_span = stored(solved.where("kind = 0").select("k1", "k2", "lo", "n").unionAll(across).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("in_span")), "in-span")
+    by_span = solved.where("kind = 0").select("k1", "k2", "lo", "n").unionAll(across).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("in_span"))
     found = (
         cut.select("_row", "k1", "k2", "start").join(by_span, ["k1", "k2"])
         .select("_row", F.transform("in_span", lambda x: F.struct((x["lo"] + F.col("start")).alias("lo"), x["n"].alias("n"))).alias("w"))
