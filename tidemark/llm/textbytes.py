@@ -7,7 +7,6 @@ between batches. Texts are views into the batch's own buffer, null being empty.
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 21
+#: What a worker may keep in memory between tasks.
+KEEP_BYTES = 1 << 28
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -154,15 +155,24 @@ def sum_rows(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _resident() -> int:
+    """Bytes of this process in memory; 0 where the system does not tell."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    except OSError:
+        return 0
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, and at a task's end what it freed goes back to the system: workers live on and would keep the most that any task needed."""
+    """run, and where a task leaves over KEEP_BYTES in memory, what it freed goes back to the system: workers live on and would keep the most that any task needed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
-        if trim is not None:
-            trim(0)
+        if _resident() > KEEP_BYTES:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+            if trim is not None:
+                trim(0)
 
     return task
