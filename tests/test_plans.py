@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tests.test_queries import QUERIES
-from tidemark.operators import details, listing, views
+from tidemark.operators import details, link, listing, views
 from tidemark.plans import catalogue
 
 #: Joins without a key: one side is a row (where a round stopped) or an array of all aliases.
@@ -56,3 +56,12 @@ def test_related_takes_few_rows_of_a_group_before_the_shuffle(spark):
     history = spark.read.parquet(f"{SMALL}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("offer_id"), F.lit("f").alias("field"), F.lit("a").alias("old_value"), F.lit("b").alias("new_value"), F.lit("crawl").alias("changed_by"), F.col("ts").alias("changed_at"))
     p = plan(details.offer_details(catalogue.offers(spark, SMALL), history))
     assert p.count("WindowGroupLimit") >= 4  # before and after the shuffle, of changes and of related offers
+
+
+def test_texts_meet_a_version_once_however_many_have_it(spark):
+    """Entities are one row a version before they meet texts: no (text, entity) rows are made."""
+    texts = spark.range(3).withColumn("text", F.concat(F.lit("v1."), F.col("id")))
+    entities = spark.range(40).select(F.col("id").alias("entity_id"), F.when(F.col("id") < 39, "Model 1.0").otherwise("Model 1.1").alias("name"))
+    links = link.unique_version(texts, entities)
+    assert re.search(r"HashAggregate\(keys=\[version", plan(links))
+    assert [tuple(r) for r in links.collect()] == [(1, 39)]

@@ -31,12 +31,16 @@ def longest_alias(texts: DataFrame, aliases: DataFrame, group: str | None = None
 
 
 def unique_version(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """texts (id, text) and entities (entity_id, name) -> id, entity_id, where exactly one entity's version stands in the text."""
+    """texts (id, text) and entities (entity_id, name) -> id, entity_id, where exactly one entity's version stands in the text.
+
+    A version is one row, its least and its greatest entity, however many have it: a text meets a version once.
+    """
     pattern = r"(?i)(?:^|[^0-9a-z.])v?(\d+(?:\.\d+)?)(?![0-9])"
     found = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("version"))
-    known = entities.select("entity_id", version_of(F.col("name")).alias("version")).where("version IS NOT NULL")
-    met = found.join(known, "version").select("id", "entity_id").distinct()
-    return met.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("entity_id").alias("entity_id")).where("n = 1").select("id", "entity_id")
+    named = entities.where("entity_id IS NOT NULL").select("entity_id", version_of(F.col("name")).alias("version")).where("version IS NOT NULL")
+    known = named.groupBy("version").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    met = found.join(known, "version").groupBy("id").agg(F.min("lo").alias("entity_id"), F.max("hi").alias("hi"))
+    return met.where("entity_id = hi").select("id", "entity_id")
 
 
 def url_prefix(urls: DataFrame, bases: DataFrame, group: Column | None = None) -> DataFrame:
