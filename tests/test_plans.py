@@ -65,3 +65,22 @@ def test_texts_meet_a_version_once_however_many_have_it(spark):
     links = link.unique_version(texts, entities)
     assert re.search(r"HashAggregate\(keys=\[version", plan(links))
     assert [tuple(r) for r in links.collect()] == [(1, 39)]
+
+
+def test_offers_without_a_model_are_dealt_over_all_tasks(spark):
+    """In a left join by a key that most rows lack, those rows must not all come to the task of null."""
+    none = F.lit(None).cast("long")
+    o = spark.range(4000).select("id", (F.col("id") % 7).alias("provider_id"), F.when(F.col("id") < 5, F.col("id")).alias("model_id"), none.alias("endpoint_id"))
+    known = spark.range(9).select("id", F.lit("n").alias("name"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        v = listing.catalogue_view(o, known, known, known).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in v.groupBy("task").count().collect()]
+        named = {r.id for r in v.where("model_name = 'n'").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4000 and max(sizes) < 2000 and named == set(range(5))

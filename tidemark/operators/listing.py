@@ -36,14 +36,17 @@ def catalogue_view(offers: DataFrame, providers: DataFrame, models: DataFrame, e
     """Offers with their provider, and with model and endpoint where they have them, each as columns of its own prefix.
 
     Offers of unknown providers are left out. The three tables are read by key;
-    which of them are broadcast Spark decides by their bytes.
+    which of them are broadcast Spark decides by their bytes. Offers without a
+    model or an endpoint meet none, and are dealt by their id, not into one task.
     """
     def named(df: DataFrame, what: str) -> DataFrame:
         return df.select(*(F.col(c).alias(f"{what}_{c}") for c in df.columns))
 
     out = offers.join(named(providers, "provider").withColumnRenamed("provider_id", "_p"), F.col("provider_id") == F.col("_p")).drop("_p")
     for df, what in ((models, "model"), (endpoints, "endpoint")):
-        out = out.join(named(df, what).withColumnRenamed(f"{what}_id", "_k"), F.col(f"{what}_id") == F.col("_k"), "left").drop("_k")
+        key = F.col(f"{what}_id")
+        dealt = F.coalesce(key, F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast(out.schema[f"{what}_id"].dataType))
+        out = out.join(named(df, what).withColumnRenamed(f"{what}_id", "_k"), (dealt == F.col("_k")) & key.isNotNull(), "left").drop("_k")
     return out
 
 
