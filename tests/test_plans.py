@@ -67,6 +67,18 @@ def test_texts_meet_a_version_once_however_many_have_it(spark):
     assert [tuple(r) for r in links.collect()] == [(1, 39)]
 
 
+def patterns(df) -> int:
+    """How many patterns the optimized plan tries."""
+    return len(re.findall("regexp_|RLIKE", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_search_results_work_out_a_link_once_and_on_all_cores(spark):
+    """A link's host and normal form are bound, not written out wherever they are named; pages of a small file are dealt anew."""
+    df = QUERIES["search_results"](spark, SMALL)
+    assert patterns(df) < 100
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_offers_without_a_model_are_dealt_over_all_tasks(spark):
     """In a left join by a key that most rows lack, those rows must not all come to the task of null."""
     none = F.lit(None).cast("long")

@@ -72,8 +72,12 @@ _URL = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#\s]*)([^?#\s]*)(?:\?([^#\s]*))?(
 
 def url_host(c: Column) -> Column:
     """Lower-case host with its port unless that is the scheme's own; empty if there is none."""
-    host = F.lower(F.regexp_replace(F.regexp_extract(blank(c), _URL, 2), r"^.*@", ""))
-    scheme = F.lower(F.regexp_extract(blank(c), _URL, 1))
+    return let(blank(c), _host_of)
+
+
+def _host_of(c: Column) -> Column:
+    host = F.lower(F.regexp_replace(F.regexp_extract(c, _URL, 2), r"^.*@", ""))
+    scheme = F.lower(F.regexp_extract(c, _URL, 1))
     return F.when(scheme == "https", F.regexp_replace(host, r":443$", "")).when(scheme == "http", F.regexp_replace(host, r":80$", "")).otherwise(host)
 
 
@@ -82,11 +86,14 @@ def normalize_url(c: Column) -> Column:
 
     What is no absolute URL comes back trimmed and in lower case; null is empty.
     """
-    c = blank(c)
+    return let(blank(c), lambda c: let(_host_of(c), lambda host: _normal_url(c, host)))
+
+
+def _normal_url(c: Column, host: Column) -> Column:
     query = F.array_join(F.filter(F.split(F.regexp_extract(c, _URL, 4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    base = F.concat(F.regexp_extract(c, _URL, 1), F.lit("://"), url_host(c), F.regexp_replace(F.regexp_extract(c, _URL, 3), "/+$", ""))
-    full = F.when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base)
-    return F.when(c.rlike(_URL) & (url_host(c) != ""), F.lower(full)).otherwise(F.lower(trim_all(c)))
+    tail = let(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    full = F.concat(F.regexp_extract(c, _URL, 1), F.lit("://"), host, F.regexp_replace(F.regexp_extract(c, _URL, 3), "/+$", ""), tail)
+    return F.when(c.rlike(_URL) & (host != ""), F.lower(full)).otherwise(F.lower(trim_all(c)))
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
@@ -97,9 +104,10 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
 
 def normalize_date(c: Column, year: Column | None = None) -> Column:
     """The first date of a text as YYYY-MM-DD: with a year in it, else month and day in `year`; null if none."""
-    c = trim_all(blank(c))
-    year = (F.lit("") if year is None else year.cast("string"))
+    return let(trim_all(blank(c)), lambda c: _first_date(c, F.lit("") if year is None else year.cast("string")))
+
 
+def _first_date(c: Column, year: Column) -> Column:
     def parts(pattern: str, own_year: bool) -> tuple[Column, Column]:
         g = [F.regexp_extract(c, pattern, k) for k in range(1, 4 if own_year else 3)]
         return c.rlike(pattern), _ymd(*g) if own_year else _ymd(year, *g)

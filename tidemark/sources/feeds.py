@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import blank, decode_entities, escape_xml, normalize_url, strip_tags, url_host
+from tidemark.functions.text import blank, decode_entities, escape_xml, let, normalize_url, strip_tags, url_host
+from tidemark.sources.tables import spread
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
@@ -36,12 +37,13 @@ def feed_pages(feeds: DataFrame) -> DataFrame:
 
 def unwrap_redirect(href: Column, engine: str = "duckduckgo.com") -> Column:
     """The target of a search engine's redirect link; other http(s) links as they are, normal; else null."""
-    url = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href)
-    host = url_host(url)
-    own = (host == engine) | host.endswith("." + engine)
-    target = F.try_url_decode(F.nullif(F.regexp_extract(blank(url), r"[?&]uddg=([^&#]+)", 1), F.lit("")))
-    out = F.when(own, target).otherwise(url)
-    return F.when(out.rlike(r"(?i)^https?://"), normalize_url(out))
+
+    def target(url: Column) -> Column:
+        own = let(url_host(url), lambda host: (host == engine) | host.endswith("." + engine))
+        return F.when(own, F.try_url_decode(F.nullif(F.regexp_extract(blank(url), r"[?&]uddg=([^&#]+)", 1), F.lit("")))).otherwise(url)
+
+    full = let(href, lambda h: F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h))
+    return let(let(full, target), lambda out: F.when(out.rlike(r"(?i)^https?://"), normalize_url(out)))
 
 
 def search_results(pages: DataFrame, most: int = 10) -> DataFrame:
@@ -49,10 +51,11 @@ def search_results(pages: DataFrame, most: int = 10) -> DataFrame:
     link = r"""(?is)<a\b[^>]*class\s*=\s*["'][^"']*result-link[^"']*["'][^>]*>.*?</a>"""
     links = F.regexp_extract_all("html", F.lit(link), F.lit(0))
     snippets = F.regexp_extract_all("html", F.lit(r"""(?is)<td\b[^>]*class\s*=\s*["'][^"']*result-snippet[^"']*["'][^>]*>(.*?)</td>"""), F.lit(1))
-    rows = pages.select("id", snippets.alias("snippets"), F.posexplode(F.slice(links, 1, most)).alias("pos", "a"))
-    href = decode_entities(F.regexp_extract("a", r"""(?is)href\s*=\s*["']([^"']+)""", 1))
-    out = rows.select("id", "pos", strip_tags(decode_entities(F.col("a"))).alias("title"), unwrap_redirect(href).alias("url"), strip_tags(decode_entities(F.get("snippets", F.col("pos")))).alias("snippet"))
-    return out.where("url IS NOT NULL")
+    href = lambda a: decode_entities(F.regexp_extract(a, r"""(?is)href\s*=\s*["']([^"']+)""", 1))
+    # targets are part of the array, which is worked out once; as a column of their own the filter on them would work them out again
+    led = F.transform(F.slice(links, 1, most), lambda a, k: F.struct(k.alias("pos"), a.alias("a"), unwrap_redirect(href(a)).alias("url")))
+    rows = spread(pages.select("id", "html")).select("id", snippets.alias("snippets"), F.explode(F.filter(led, lambda x: x["url"].isNotNull())).alias("x")).select("id", "snippets", "x.*")
+    return rows.select("id", "pos", strip_tags(decode_entities(F.col("a"))).alias("title"), "url", strip_tags(decode_entities(F.get("snippets", F.col("pos")))).alias("snippet"))
 
 
 def rss_items(df: DataFrame, newest: int = 100) -> DataFrame:
