@@ -40,9 +40,14 @@ def trim_all(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Six entities decoded, runs of blanks to one space, at most one empty line, trimmed; null is empty."""
-    c = blank(c)
+    return let(blank(c), _cleaned)
+
+
+def _cleaned(c: Column) -> Column:
+    plain = c
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         c = F.regexp_replace(c, f"(?i){entity}", char)
+    c = F.when(plain.contains("&"), c).otherwise(plain)  # most texts have no entity
     c = F.regexp_replace(c, r"[ \t ]+", " ")
     return trim_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 

@@ -204,8 +204,8 @@ def candidates(paged: DataFrame, min_score: int = 6, most: int = 25, profile: ru
     context = clean_text(F.array_join(F.transform(part, lambda b: b["text"]), "\n"))
     href = F.coalesce(own["href"], F.get(F.filter(F.transform(part, lambda b: b["href"]), lambda h: h.isNotNull()), F.lit(0)))
     found = hits.select(
-        "page_id", "block_index", F.substring(clean_text(title), 1, 120).alias("title"), context.alias("full"), href.alias("href"), "own"
-    ).where(F.length("full") >= 12)
+        "page_id", "block_index", F.substring(clean_text(title), 1, 120).alias("title"), F.explode(F.filter(F.array(context), lambda c: F.length(c) >= 12)).alias("full"), href.alias("href"), "own"
+    )  # passages that are long enough; a filter on them would work each out twice
     ranked = found.select("page_id", "block_index", "title", F.substring("full", 1, 2000).alias("context"), "href", F.greatest("own", block_score(F.col("full"), profile)).alias("score"))
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "block_index")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -28,7 +28,7 @@ def _first_benefit(t: Column, profile: rules.Profile) -> Column:
     for pattern, kind, unit, scaled in profile.benefits:
         amount = parse_amount(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2) if scaled else F.lit(""))
         value = F.struct(F.lit(kind).alias("kind"), amount.alias("amount"), F.lit(unit).alias("unit"), F.substring(F.regexp_extract(t, pattern, 0), 1, 80).alias("text"))
-        found.append(F.when(amount > 0, value))
+        found.append(F.when(t.rlike(pattern), let(value, lambda v: F.when(v["amount"] > 0, v))))
     return F.coalesce(*found)
 
 
@@ -51,16 +51,20 @@ def _dates_of(t: Column, ref: Column) -> Column:
     span = rf"(?U){_DAY}\s*[-–—~至到]{{1,2}}\s*{_DAY}"
     first_year = F.regexp_replace(F.regexp_extract(t, span, 1), r"[-/年]", "")
     second_default = F.when(first_year == "", ref).otherwise(first_year)
-    start, end = F.when(t.rlike(span), day(span, 1, ref)), F.when(t.rlike(span), day(span, 4, second_default))
-    end = F.when(end < start, day(span, 4, second_default, plus=1)).otherwise(end)
+    ranged = F.struct(F.when(t.rlike(span), day(span, 1, ref)).alias("start"), F.when(t.rlike(span), day(span, 4, second_default)).alias("end"))
     until = rf"(?U)(?:截至|截止到?|有效期至|用到|持续到|活动时间?至|至|到|by|until|ends?|valid\s+until)\s*{_DAY}"
     every = F.regexp_extract_all(t, F.lit(r"(?U)(?:^|[^\d])(\d{1,2}\s*[/月]\s*\d{1,2})\s*日?"), F.lit(1))
     latest = F.array_max(F.transform(every, lambda d: normalize_date(F.concat_ws("-", ref, F.regexp_replace(d, r"(?U)\s*[/月]\s*", "-")))))
     since = rf"(?U)(?:自|从|即日起|开始于|from|starts?)\s*{_DAY}"
-    return F.struct(
-        F.coalesce(start, F.when(t.rlike(since), day(since, 1, ref))).alias("start"),
-        F.coalesce(end, F.when(t.rlike(until), day(until, 1, ref)), latest).alias("end"),
-    )
+
+    def told(x: Column) -> Column:
+        end = F.when(x["end"] < x["start"], day(span, 4, second_default, plus=1)).otherwise(x["end"])
+        return F.struct(
+            F.coalesce(x["start"], F.when(t.rlike(since), day(since, 1, ref))).alias("start"),
+            F.coalesce(end, F.when(t.rlike(until), day(until, 1, ref)), latest).alias("end"),
+        )
+
+    return let(ranged, told)
 
 
 def audience(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:
@@ -89,9 +93,10 @@ def recurring(text: Column, profile: rules.Profile = rules.OFFERS) -> Column:
 
 def claim_link(href: Column, source_url: Column, hosts: Column, is_search: Column) -> Column:
     """The link if it comes from a search source, stays on the source's host, or leads to an allowed host or below it."""
-    host = url_host(href)
-    allowed = (host == url_host(source_url)) | F.exists(hosts, lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))
-    return F.when(is_search | ((host != "") & allowed), href)
+    def allowed(host: Column) -> Column:
+        return (host != "") & ((host == url_host(source_url)) | F.exists(hosts, lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h))))
+
+    return F.when(is_search | let(url_host(href), allowed), href)
 
 
 def confidence(text: Column, title: Column, offer: Column, start: Column, end: Column, link: Column, who: Column) -> Column:
@@ -185,7 +190,9 @@ def extract(found: DataFrame, year: Column, profile: rules.Profile = rules.OFFER
     df = df.withColumn("confidence", conf).withColumn("title", clean_title(promote_title(F.col("title"), F.col("context"))))
     card = requires_card(text, profile)
     verification = F.when(F.array_contains("audience", "verified"), "identity").when(F.array_contains("audience", "student"), "student_id").when(card, "payment")
-    return df.where(F.length("title") >= 4).select(
+    # a title is the one row of its array if it is long enough; a filter on it would go below and work it out twice
+    titled = F.explode(F.filter(F.array("title"), lambda t: F.length(t) >= 4)).alias("title")
+    return df.select(*(c for c in df.columns if c != "title"), titled).select(
         "provider_slug", "title", summary(F.col("context"), F.col("title")).alias("summary"), category(text, profile).alias("category"),
         F.col("benefit.kind").alias("benefit_kind"), F.col("benefit.amount").alias("benefit_amount"), F.col("benefit.unit").alias("benefit_unit"), F.col("benefit.text").alias("benefit_text"),
         "audience", audience_note(text, profile).alias("audience_note"), F.when(F.col("country") == "CN", "CN").otherwise("GLOBAL").alias("region"), card.alias("requires_card"),

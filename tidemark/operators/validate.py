@@ -69,13 +69,12 @@ def verdict(items: DataFrame, year: int, profile: rules.Profile = rules.OFFERS,
     link = trim_all(blank(F.col("claim_url")))
     web, anchor = link.rlike(r"(?i)^https?://"), link.rlike(r"(?i)^(?:#|javascript:)")
     hard = (
-        F.when(F.length(blank(F.col("title"))) < 4, "title missing").when(bad_title(F.col("title")).isNotNull(), F.concat(F.lit("title: "), bad_title(F.col("title"))))
+        F.when(F.length(blank(F.col("title"))) < 4, "title missing").when(F.col("_fault").isNotNull(), F.concat(F.lit("title: "), F.col("_fault")))
         .when(price_only(text), "price list").when(paid_tier(F.when(blank(F.col("title")) != "", F.col("title")).otherwise(F.col("summary"))), "paid tier")
         .when(~gives(F.col("title"), F.col("summary"), F.col("benefit_text"), F.col("benefit_amount"), F.col("audience"), profile), "nothing given")
         .when((link != "") & ~web & ~anchor, "link is no web address")
     )
-    host = url_host(link)
-    known = (host != "") & ((host == url_host(F.col("source_url"))) | F.exists("hosts", lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h))))
+    known = let(url_host(link), lambda host: (host != "") & ((host == url_host(F.col("source_url"))) | F.exists("hosts", lambda h: (host == h) | host.endswith(F.concat(F.lit("."), h)))))
     stranger = web & ~F.col("is_search") & ~F.coalesce(known, F.lit(False))
 
     def date_fault(c: str) -> Column:
@@ -90,7 +89,7 @@ def verdict(items: DataFrame, year: int, profile: rules.Profile = rules.OFFERS,
     ))
     notes = F.array_compact(F.array(F.when(link == "", "no link"), F.when(anchor, "link is a placeholder"), F.when(web & F.col("is_search"), "link from search")))
     conf = F.least(F.col("confidence"), F.when(stranger, 0.55).otherwise(1.0), F.when(huge, 0.5).otherwise(1.0))
-    checked = items.withColumns({"reject_reason": hard, "_blocking": blocking, "notes": notes, "_conf": conf})
+    checked = items.withColumn("_fault", bad_title(F.col("title"))).withColumns({"reject_reason": hard, "_blocking": blocking, "notes": notes, "_conf": conf})
     action = (
         F.when(F.col("reject_reason").isNotNull(), "reject").when((F.col("_conf") >= auto_approve) & (F.size("_blocking") == 0), "auto_ok")
         .when(F.col("_conf") >= floor, "pending").otherwise("reject")
@@ -101,17 +100,19 @@ def verdict(items: DataFrame, year: int, profile: rules.Profile = rules.OFFERS,
         "start_date": F.when(date_fault("start_date").isNull(), F.col("start_date")), "end_date": F.when(date_fault("end_date").isNull(), F.col("end_date")),
         "benefit_amount": F.when(~bad_amount, amount),
     }
-    return checked.withColumns(fixed).drop("_blocking", "_conf")
+    return checked.withColumns(fixed).drop("_blocking", "_conf", "_fault")
 
 
 def allowed_hosts(urls: Column) -> Column:
     """Hosts of a provider's own addresses, their registrable ends, and the usual console and account hosts of each."""
-    hosts = F.filter(F.transform(urls, url_host), lambda h: h != "")
+    return let(F.filter(F.transform(urls, url_host), lambda h: h != ""), _with_usual_hosts)
+
+
+def _with_usual_hosts(hosts: Column) -> Column:
     roots = F.transform(hosts, lambda h: F.array_join(F.slice(F.split(h, r"\."), -F.least(F.lit(2), F.size(F.split(h, r"\."))), 2), "."))
     www = F.transform(hosts, lambda h: F.concat(F.lit("www."), h))
-    every = F.array_distinct(F.concat(hosts, roots, www))
 
-    def below(prefix: str) -> Column:
+    def below(every: Column, prefix: str) -> Column:
         return F.transform(every, lambda h: F.concat(F.lit(prefix), h))
 
-    return F.array_distinct(F.concat(every, below("console."), below("account.")))
+    return let(F.array_distinct(F.concat(hosts, roots, www)), lambda every: F.array_distinct(F.concat(every, below(every, "console."), below(every, "account."))))
