@@ -45,7 +45,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str], as_o
         elif c == "created_at":
             cols.append(F.coalesce(F.col(f"o.{c}"), as_of).alias(c))
         elif c in sticky:
-            cols.append(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c))
+            cols.append((F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if c in new.columns else F.col(f"o.{c}")).alias(c))
         elif c in fields:
             cols.append(F.when(has_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         else:
