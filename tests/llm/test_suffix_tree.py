@@ -120,3 +120,30 @@ def test_documents_that_occur_again_are_known_better(spark):
     per = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in got}
     twice, once = ([per[i] for i, t in rows if (t in again) == x] for x in (True, False))
     assert min(twice) > max(once)
+
+
+def test_every_context_that_occurs_again_can_be_a_state(spark):
+    """Texts of six words of their own: each that occurs twice gains by both of its contexts, whatever their hashes are."""
+    ids = [k for k in range(400) if not held(k)][:240]
+    rows = [(i, " ".join(f"t{k % 120}x{j}" for j in range(6))) for k, i in enumerate(ids)]
+    got = lm.score_documents(spark.createDataFrame([*rows, (10**9, "one of its own kind only")], "doc_id long, text string")).collect()
+    assert all(r.score > r.base_score + 2 for r in got if r.doc_id < 10**9)
+    t, at = np.arange(1, 60, dtype=np.uint64), np.array([0, 3, 10, 59])
+    assert lm.long_contexts(t, at)[0].tolist() == [*range(7, 10), *range(14, 59)]
+
+
+@pytest.mark.parametrize("bits", [0, 1, 5])
+def test_places_come_back_from_their_shares(bits):
+    rng = np.random.default_rng(3)
+    n = 500
+    c, key = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    word, state = rng.integers(0, 9, n).astype(np.uint32), rng.integers(0, 70000, n).astype(np.uint32)
+    row = rng.integers(-(1 << 62), 1 << 62, n)
+    got = [x for b in lm._shares(bits, c, word, state, row, key) for x in b.to_pylist()]
+    assert sum(x["n"] for x in got) == n and len(got) == 1 << bits
+    for x in got:
+        of = (c >> np.uint64(64 - bits) if bits else c * np.uint64(0)) == x["share"]
+        assert np.array_equal(lm.unpacked(x["word"], x["n"], np.uint32), word[of]) and np.array_equal(lm.unpacked(x["state"], x["n"], np.uint32), state[of])
+        step = lm.unpacked(x["step"], x["n"], np.uint64)
+        assert np.array_equal(np.cumsum((step >> np.uint64(1)).view(np.int64) ^ -(step & np.uint64(1)).view(np.int64)), row[of])
+        assert x["key"] == key[of & (word < 2)].tobytes() and len(x["c"]) == 5 * x["n"]

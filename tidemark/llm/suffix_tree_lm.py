@@ -12,10 +12,10 @@ longest suffix of its past that is a state.
 
 The deepest contexts, of LONG words, are states from their second occurrence on
 if they pass a divergence test of their own, so that what the model knows grows
-with the corpus. They are a table, counted by grouping and met by joins, and
-never leave Spark's workers. To keep it small beside the texts, a context of
-LONG words can be a state only if its hash is divisible by THIN: which ones can
-is a matter of their words alone, and the same everywhere.
+with the corpus. Every place of every text takes part: all places are dealt by
+the hash of the context before them, packed into arrays, and meet there once, to
+be counted and scored. Contexts are told apart by the bits that name their share
+and 40 more, 48 at least in shares of SHARE tokens on half a gigabyte of text.
 
 All counts are over all training texts. Words of probability WORD_P or more (at
 most 1 / WORD_P) and the common contexts are broadcast; every rarer word meets
@@ -35,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import crc_mod, stored, with_row
@@ -46,10 +46,14 @@ WORD_P = 1e-6
 CONTEXT_P = 1e-5
 DIVERGENCE = 30.0
 DISCOUNT = 0.5
-#: Words of the deepest contexts, which of them can be states, and the nats that make them so.
+#: Words of the deepest contexts, and the nats that make them states.
 LONG = 4
-THIN = 16
 LONG_DIVERGENCE = 6.0
+#: Tokens of a share of the deepest contexts, about; places that a task packs at once; sums that it holds.
+SHARE = 500_000
+PACK = 2_000_000
+SUMS = 1_000_000
+LOW40 = U64((1 << 40) - 1)
 #: The hash of the end token.
 END = U64(0x656E642D6F662D74)
 
@@ -192,8 +196,8 @@ class Tree:
     entries: Lookup  # key: state * n_words + id
     value: np.ndarray  # log10
 
-    def score(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids, and each token's log10 probability; of rare words (id -1) without the root's share."""
+    def states(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids (-1: rare), and the state that each token is scored by (-1: the root)."""
         s = self.strings
         ids = s.ids(t)
         places = s.places(ids, at)
@@ -207,8 +211,18 @@ class Tree:
             got[1:] = np.where(place[:-1] >= 0, of[np.maximum(place[:-1], 0)], -1)
             got[first] = -1
             state = np.where(got >= 0, got, state)
-        out = np.zeros(len(t))
-        todo = np.arange(len(t))
+        return ids, state
+
+    def score(self, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids and the tree's log10 of each token, as `states` and `logs` have them."""
+        ids, state = self.states(t, at)
+        return ids, self.logs(ids, state)
+
+    def logs(self, ids: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Each token's log10 probability; of rare words (id -1) without the root's share."""
+        s, state = self.strings, state.copy()
+        out = np.zeros(len(ids))
+        todo = np.arange(len(ids))
         while len(todo):
             now = state[todo]
             at_root = now < 0
@@ -223,7 +237,7 @@ class Tree:
             todo, now = todo[~found], now[~found]
             out[todo] += self.alpha[now]
             state[todo] = self.parent[now]
-        return ids, out
+        return out
 
 
 def grow(strings: Strings, word_n: np.ndarray, level_keys: list[np.ndarray], level_n: list[np.ndarray], total: int, distinct: int, divergence: float, discount: float) -> Tree:
@@ -324,18 +338,18 @@ def fit(docs: DataFrame, order: int = ORDER, word_p: float = WORD_P, context_p:
 
 
 def long_contexts(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of tokens after LONG others of their text whose context can be a state, and the hash of each context."""
+    """Places of tokens after LONG others of their text, and the hash of each one's context."""
     n = max(len(t) - LONG, 0)
     c = np.full(n, 17, U64)
     for k in range(LONG):
         c = mix64(c * U64(31) + t[k : k + n])
     doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    k = np.flatnonzero((c % U64(THIN) == 0) & (doc[:n] == doc[LONG:]))
+    k = np.flatnonzero(doc[:n] == doc[LONG:])
     return k + LONG, c[k]
 
 
 def _scorer(tree: Tree):
-    names = ["_row", "held_out", "n_tokens", "n_common", "base", "tree", "rare", "deep"]
+    names = ["_row", "n_tokens", "n_common", "base", "tree", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,70 +370,184 @@ def _scorer(tree: Tree):
                 lists = pa.ListArray.from_arrays(
                     pa.array(lists_at), pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times.astype(np.int32))], ["key", "times"])
                 )
-                k, c = long_contexts(t, at)
-                word = (mix64(t[k]) >> U64(32)).astype(np.uint32).view(np.int32)
-                deep = pa.StructArray.from_arrays(
-                    [pa.array(c.view(np.int64)), pa.array(word), pa.array(logs[k]), pa.array(t[k].view(np.int64), mask=known[k])], ["c", "w", "v", "key"]
-                )
-                deep = pa.ListArray.from_arrays(pa.array(np.searchsorted(k, at).astype(np.int32)), deep)
-                own = batch.column("held_out").slice(lo, hi - lo)
-                cols = [pa.array(rows[lo:hi]), own, pa.array(np.diff(at)), pa.array(sum_rows(known, at).astype(np.int64)), pa.array(sum_rows(base, at)), pa.array(sum_rows(logs, at)), lists, deep]
+                cols = [pa.array(rows[lo:hi]), pa.array(np.diff(at)), pa.array(sum_rows(known, at).astype(np.int64)), pa.array(sum_rows(base, at)), pa.array(sum_rows(logs, at)), lists]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def deep_states(seen: DataFrame, floor: float, discount: float, divergence: float) -> DataFrame:
-    """seen (c, w, v, key) of training texts -> the followers (c, w, n) of retained contexts, with n_c and alpha of the context.
+def packed(values: np.ndarray) -> list[bytes]:
+    """Numbers as one compressed string for each of their bytes, low ones first; empty where all are 0."""
+    planes = values.view(np.uint8).reshape(len(values), -1)
+    return [pa.compress(np.ascontiguousarray(p), codec="zstd", asbytes=True) if p.any() else b"" for p in planes.T]
+
+
+def unpacked(planes: list[bytes], n: int, kind: type) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    for k, p in enumerate(planes):
+        if p:
+            out[:, k] = np.frombuffer(pa.decompress(p, decompressed_size=n, codec="zstd"), np.uint8)
+    return out.reshape(-1).view(kind)
+
 
-    v is the log10 that the tree gives w; the root's share of rare words, which
-    have a key, is not in it, and `floor` stands for that in the test.
+_PLACES = "share int, n int, c binary, word array<binary>, state array<binary>, step array<binary>, key binary"
+
+
+def _shares(bits: int, c: np.ndarray, word: np.ndarray, state: np.ndarray, row: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Places in rows of one share each: c, word (2 id + 2, 0 rare; and 1 if held out), state + 1, row, and the key of rare words."""
+    share = (c >> U64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(c), np.uint16)
+    order = np.argsort(share, kind="stable")
+    share, c, word, state, row, key = share[order], c[order], word[order], state[order], row[order], key[order]
+    heads = np.flatnonzero(np.append(True, share[1:] != share[:-1])[: len(share)])
+    out = []
+    for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(share)).tolist(), strict=True):
+        step = np.diff(row[lo:hi], prepend=0)
+        low = (c[lo:hi] & LOW40).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        rare = key[lo:hi][word[lo:hi] < 2].tobytes()
+        out.append((int(share[lo]), hi - lo, low, packed(word[lo:hi]), packed(state[lo:hi]), packed((step << 1) ^ (step >> 63)), rare))
+        if len(out) == 64 or hi == len(share):
+            types = [pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.binary())] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), types, strict=True)], ["share", "n", "c", "word", "state", "step", "key"])
+            out = []
+
+
+def _places(tree: Tree, bits: int):
+    """All places of all texts that follow LONG others, packed by share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            rows, held = batch.column("_row").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint32)
+            for lo, hi, data, off in each_chunk(batch):
+                t, at = tokens(data, off)
+                ids, state = tree.states(t, at)
+                k, c = long_contexts(t, at)
+                doc = lo + np.repeat(np.arange(hi - lo), np.diff(at))[k]
+                parts.append((c, ((ids[k] + 1) << 1).astype(np.uint32) | held[doc], (state[k] + 1).astype(np.uint32), rows[doc], t[k]))
+                size += len(k)
+                if size >= PACK:
+                    yield from _shares(bits, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                    parts, size = [], 0
+        if size:
+            yield from _shares(bits, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    return run
+
+
+def deep_gains(tree: Tree, c: np.ndarray, word: np.ndarray, state: np.ndarray, row: np.ndarray, key: np.ndarray, floor: float, discount: float, divergence: float) -> tuple[np.ndarray, ...]:
+    """All places of some contexts -> of those after a retained context: the row, what the context changes in log10, whether the root's share goes, too, and the key.
+
+    The tree's log10 has no root's share for rare words, and `floor` stands for
+    that in the test.
     """
-    q = F.least(F.pow(F.lit(10.0), F.col("v") + F.when(F.col("key").isNotNull(), floor).otherwise(0.0)), F.lit(1 - 1e-9))
-    pairs = seen.groupBy("c", "w").agg(F.count(F.lit(1)).alias("n"), F.max(q).alias("q"))
-    own = Window.partitionBy("c")
-    less = F.col("n") - discount
-    told = pairs.withColumns({"n_c": F.sum("n").over(own), "less": F.sum(less).over(own), "cross": F.sum(less * (F.log(less) - F.log("q"))).over(own), "all_q": F.sum("q").over(own)})
-    rest_p, rest_q = F.greatest(1 - F.col("less") / F.col("n_c"), F.lit(1e-9)), F.greatest(1 - F.col("all_q"), F.lit(1e-9))
-    gain = F.col("cross") - F.log("n_c") * F.col("less") + F.col("n_c") * rest_p * F.log(rest_p / rest_q)
-    return told.where((F.col("n_c") > 1) & (gain >= divergence)).select("c", "w", "n", "n_c", F.log10(rest_p / rest_q).alias("alpha"))
-
-
-def _deep_gain(parts: DataFrame, vocabulary: DataFrame, total: int, distinct: int, discount: float, divergence: float) -> DataFrame:
-    """_row, gain: what the deepest states change in each text's log10."""
-    seen = parts.select("_row", "held_out", F.explode("deep").alias("x")).select("_row", "held_out", "x.*")
-    size = float(total + distinct + 1)
-    found = stored(deep_states(seen.where("NOT held_out"), math.log10(2 / size), discount, divergence), "deep")
-    # written, so that a join on a hot context has a shuffle on both sides, which Spark can split
-    states = stored(found.groupBy("c").agg(F.first("n_c").alias("n_c"), F.first("alpha").alias("alpha")), "states")
-    met = seen.drop("held_out").join(states, "c").join(found.select("c", "w", "n"), ["c", "w"], "left")
-    value = F.log10((F.col("n") - discount) / F.col("n_c"))
-    rare = F.col("n").isNotNull() & F.col("key").isNotNull()
-    plain = met.where(~rare).select("_row", F.when(F.col("n").isNull(), F.col("alpha")).otherwise(value - F.col("v")).alias("gain"))
-    counted = met.where(rare).join(vocabulary.select("key", F.col("n").alias("n_word")), "key", "left")
-    root = F.log10((F.coalesce("n_word", F.lit(0)) + 1) / F.lit(size))
-    return plain.unionAll(counted.select("_row", (value - F.col("v") - root).alias("gain"))).groupBy("_row").agg(F.sum("gain").alias("gain"))
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    new = np.append(True, c[1:] != c[:-1])[: len(c)]
+    train = (word[order] & 1) == 0
+    often = np.add.reduceat(train.astype(np.int64), np.flatnonzero(new)) > 1 if len(c) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    kept = often[group]
+    order, group, train = order[kept], group[kept], train[kept]
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, U64)
+    ids = (word[order] >> 1).astype(np.int64) - 1
+    rare = ids < 0
+    follow = np.where(rare, key[order], ids.astype(U64))
+    again = np.lexsort((follow, rare, group))
+    order, group, train, ids, rare, follow = order[again], group[again], train[again], ids[again], rare[again], follow[again]
+    head = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (follow[1:] != follow[:-1]) | (rare[1:] != rare[:-1])))
+    pair = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(group))))
+    n = np.add.reduceat(train.astype(np.int64), head)
+    v = tree.logs(ids[head], state[order[head]].astype(np.int64) - 1)
+    seen = n > 0
+    q = np.where(seen, np.minimum(np.power(10.0, v + np.where(rare[head], floor, 0.0)), 1 - 1e-9), 1.0)
+    less = np.where(seen, n - discount, 0.0)
+    first = np.flatnonzero(np.append(True, group[head][1:] != group[head][:-1]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(head))))
+    cross = less * (np.log(np.where(seen, less, 1.0)) - np.log(q))
+    n_c, all_less, cross, all_q = (np.add.reduceat(x, first) for x in (n, less, cross, np.where(seen, q, 0.0)))
+    rest_p, rest_q = np.maximum(1 - all_less / n_c, 1e-9), np.maximum(1 - all_q, 1e-9)
+    gain = cross - np.log(n_c) * all_less + n_c * rest_p * np.log(rest_p / rest_q)
+    change = np.where(seen, np.log10(np.where(seen, less, 1.0) / n_c[of]) - v, np.log10(rest_p / rest_q)[of])
+    states = (gain >= divergence)[of][pair]
+    return row[order[states]], change[pair[states]], (rare & seen[pair])[states], key[order[states]]
+
+
+def _sums(row: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows, place = np.unique(row, return_inverse=True)
+    return rows, np.bincount(place, gain, len(rows))
+
+
+def _gains(tree: Tree, floor: float, discount: float, divergence: float):
+    """Packed places, those of a share one after the other -> _row and the sum of gains (key null), and _row and key of each rare word whose root's share goes."""
+
+    def told(rows: np.ndarray, gain: np.ndarray | None, key: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            m = len(rows[part])
+            cols = [pa.array(rows[part]), pa.nulls(m, pa.float64()) if gain is None else pa.array(gain[part]), pa.nulls(m, pa.int64()) if key is None else pa.array(key[part].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["_row", "gain", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, sums = None, [], (np.zeros(0, np.int64), np.zeros(0))
+
+        def counted() -> tuple[np.ndarray, ...]:
+            return deep_gains(tree, *(np.concatenate(x) for x in zip(*parts, strict=True)), floor, discount, divergence)
+
+        def added(got: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            nonlocal sums
+            row, gain, rooted, key = got
+            yield from told(row[rooted], None, key[rooted])
+            sums = _sums(np.concatenate([sums[0], row]), np.concatenate([sums[1], gain]))
+            if len(sums[0]) > SUMS:
+                yield from told(*sums, None)
+                sums = (np.zeros(0, np.int64), np.zeros(0))
+
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["share"] != now and parts:
+                    yield from added(counted())
+                    parts = []
+                now, n = x["share"], x["n"]
+                low = np.zeros((n, 8), np.uint8)
+                low[:, :5] = np.frombuffer(x["c"], np.uint8).reshape(n, 5)
+                word, step = unpacked(x["word"], n, np.uint32), unpacked(x["step"], n, np.int64)
+                key = np.zeros(n, U64)
+                key[word < 2] = np.frombuffer(x["key"], U64)
+                step = ((step.view(U64) >> U64(1)).view(np.int64)) ^ -(step & 1)
+                parts.append((low.reshape(-1).view(U64), word, unpacked(x["state"], n, np.uint32), np.cumsum(step), key))
+        if parts:
+            yield from added(counted())
+        yield from told(*sums, None)
+
+    return run
+
+
+def _deep_gain(rows: DataFrame, tree: Tree, total: int, distinct: int, discount: float, divergence: float) -> DataFrame:
+    """What the deepest states change in each text's log10: _row, gain, with null keys, and _row, key of rare words that no longer take the root's share."""
+    bits = min(max(math.ceil(math.log2(max(total, 1) / SHARE)), 0), 16)
+    least = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
+    places = rows.select("_row", "held_out", "text").mapInArrow(_places(tree, bits), _PLACES).repartition(least, "share").sortWithinPartitions("share")
+    floor = math.log10(2 / float(total + distinct + 1))
+    return stored(places.mapInArrow(_gains(tree, floor, discount, divergence), "_row long, gain double, key long"), "gains")
 
 
 def score(rows: DataFrame, tree: Tree, vocabulary: DataFrame, total: int, distinct: int, discount: float = DISCOUNT, long_divergence: float = LONG_DIVERGENCE) -> DataFrame:
     """rows (_row, held_out, text) -> _row, n_tokens, n_known, base_score, score; the deepest states are those of the rows not held out."""
-    parts = stored(
-        rows.select("_row", "held_out", "text").mapInArrow(
-            _scorer(tree),
-            "_row long, held_out boolean, n_tokens long, n_common long, base double, tree double, rare array<struct<key:long,times:int>>, deep array<struct<c:long,w:int,v:double,key:long>>",
-        ),
-        "scored",
-    )
-    rare = parts.select("_row", F.explode("rare").alias("x")).select("_row", "x.key", "x.times")
+    parts = stored(rows.select("_row", "text").mapInArrow(_scorer(tree), "_row long, n_tokens long, n_common long, base double, tree double, rare array<struct<key:long,times:int>>"), "scored")
+    gains = _deep_gain(rows, tree, total, distinct, discount, long_divergence)
+    rare = parts.select("_row", F.explode("rare").alias("x")).select("_row", "x.key", "x.times", F.col("x.times").alias("left"))
+    gone = gains.where("key IS NOT NULL").groupBy("_row", "key").agg((-F.count(F.lit(1))).cast("int").alias("left")).select("_row", "key", F.lit(0).alias("times"), "left")
     n = F.coalesce("n", F.lit(0))
+    root = F.log10((n + 1) / F.lit(float(total + distinct + 1)))
     met = (
-        rare.join(vocabulary, "key", "left").groupBy("_row")
-        .agg(F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(total + distinct + 1)))).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"))
+        rare.unionAll(gone).join(vocabulary, "key", "left").groupBy("_row")
+        .agg(F.sum(F.col("times") * root).alias("more"), F.sum(F.col("left") * root).alias("left"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"))
     )
-    more, gain = F.coalesce("more", F.lit(0.0)), F.coalesce("gain", F.lit(0.0))
-    deep = _deep_gain(parts, vocabulary, total, distinct, discount, long_divergence)
-    return parts.drop("rare", "deep").join(met, "_row", "left").join(deep, "_row", "left").select(
-        "_row", "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("tree") + more + gain).alias("score")
+    deep = gains.where("key IS NULL").groupBy("_row").agg(F.sum("gain").alias("gain"))
+    more, left, gain = (F.coalesce(c, F.lit(0.0)) for c in ("more", "left", "gain"))
+    return parts.drop("rare").join(met, "_row", "left").join(deep, "_row", "left").select(
+        "_row", "n_tokens", (F.col("n_common") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("tree") + left + gain).alias("score")
     )
 
 
