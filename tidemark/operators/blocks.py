@@ -36,12 +36,17 @@ class _Walker(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.base, self.scope, self.matched = base, scope, False
         self.stack: list[dict] = []
+        self.noisy = self.scoped = 0  # elements of the stack that are noise, or the scope
         self.blocks: list[dict] = []
         self.rows: list[list[dict]] = []
         self.text: list[str] = []
 
     def _in_scope(self) -> bool:
-        return self.scope is None or any(e["scope"] for e in self.stack)
+        return self.scope is None or self.scoped > 0
+
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines and columns are asked by nobody here."""
+        return j
 
     def _matches(self, tag: str, attrs: dict) -> bool:
         """Whether this is the scope: the first element that the selector names."""
@@ -65,7 +70,7 @@ class _Walker(HTMLParser):
                 self.handle_data("\n")
             return
         attrs = dict(attrs_list)
-        noise = tag in _NOISE or attrs.get("role") == "navigation" or not _NOISE_CLASS.isdisjoint((attrs.get("class") or "").split())
+        noise = tag in _NOISE or bool(attrs) and (attrs.get("role") == "navigation" or not _NOISE_CLASS.isdisjoint((attrs.get("class") or "").split()))
         if tag in ("p", "li", "table"):
             for e in self.stack:
                 e["nested"] = True
@@ -73,13 +78,14 @@ class _Walker(HTMLParser):
         if href:
             for e in self.stack:
                 e["href"] = e["href"] or href
-        above = next((e["link"] for e in reversed(self.stack) if e["link"]), None)
-        entry = {"tag": tag, "noise": noise, "nested": False, "href": None, "link": href or above, "parts": [], "scope": not (noise or any(e["noise"] for e in self.stack)) and self._matches(tag, attrs), "at": None}
+        above = self.stack[-1]["link"] if self.stack else None
+        entry = {"tag": tag, "noise": noise, "nested": False, "href": None, "link": href or above, "parts": [], "scope": not (noise or self.noisy) and self._matches(tag, attrs)}
         self.stack.append(entry)
-        if any(e["noise"] for e in self.stack) or not self._in_scope():
+        self.noisy += noise
+        self.scoped += entry["scope"]
+        if self.noisy or not self._in_scope():
             return
         if tag in _LEAF:
-            entry["at"] = len(self.blocks)
             self.blocks.append(entry)
         if tag == "tr":
             self.rows.append([])
@@ -87,12 +93,17 @@ class _Walker(HTMLParser):
             self.rows[-1].append(entry)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(e["tag"] == tag for e in self.stack):
-            while self.stack.pop()["tag"] != tag:
-                pass
+        if not any(e["tag"] == tag for e in self.stack):
+            return
+        while True:
+            e = self.stack.pop()
+            self.noisy -= e["noise"]
+            self.scoped -= e["scope"]
+            if e["tag"] == tag:
+                return
 
     def handle_data(self, data: str) -> None:
-        if any(e["noise"] for e in self.stack) or not self._in_scope():
+        if self.noisy or not self._in_scope():
             return
         self.text.append(data)
         for e in self.stack:
