@@ -15,7 +15,7 @@ if they pass a divergence test of their own, so that what the model knows grows
 with the corpus. Every place of every text takes part: all places are dealt by
 the hash of the context before them, packed into arrays, and meet there once, to
 be counted and scored. Contexts are told apart by the bits that name their share
-and 40 more, 48 at least in shares of SHARE tokens on half a gigabyte of text.
+and 40 more: 47 in all on half a gigabyte, more on more.
 
 All counts are over all training texts. Words of probability WORD_P or more (at
 most 1 / WORD_P) and the common contexts are broadcast; every rarer word meets
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import crc_mod, stored, with_row
-from tidemark.llm.textbytes import U64, each_chunk, mix64, sum_rows, words
+from tidemark.llm.textbytes import U64, each_chunk, lean, mix64, sum_rows, words
 
 ORDER = 3
 WORD_P = 1e-6
@@ -50,9 +50,9 @@ DISCOUNT = 0.5
 LONG = 4
 LONG_DIVERGENCE = 6.0
 #: Tokens of a share of the deepest contexts, about; places that a task packs at once; sums that it holds.
-SHARE = 500_000
-PACK = 2_000_000
-SUMS = 1_000_000
+SHARE = 1_000_000
+PACK = 1_000_000
+SUMS = 500_000
 LOW40 = U64((1 << 40) - 1)
 #: The hash of the end token.
 END = U64(0x656E642D6F662D74)
@@ -397,14 +397,15 @@ def _shares(bits: int, c: np.ndarray, word: np.ndarray, state: np.ndarray, row:
     """Places in rows of one share each: c, word (2 id + 2, 0 rare; and 1 if held out), state + 1, row, and the key of rare words."""
     share = (c >> U64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(c), np.uint16)
     order = np.argsort(share, kind="stable")
-    share, c, word, state, row, key = share[order], c[order], word[order], state[order], row[order], key[order]
+    share = share[order]
     heads = np.flatnonzero(np.append(True, share[1:] != share[:-1])[: len(share)])
     out = []
     for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(share)).tolist(), strict=True):
-        step = np.diff(row[lo:hi], prepend=0)
-        low = (c[lo:hi] & LOW40).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        rare = key[lo:hi][word[lo:hi] < 2].tobytes()
-        out.append((int(share[lo]), hi - lo, low, packed(word[lo:hi]), packed(state[lo:hi]), packed((step << 1) ^ (step >> 63)), rare))
+        own = order[lo:hi]
+        step = np.diff(row[own], prepend=0)
+        low = (c[own] & LOW40).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        rare = key[own][word[own] < 2].tobytes()
+        out.append((int(share[lo]), hi - lo, low, packed(word[own]), packed(state[own]), packed((step << 1) ^ (step >> 63)), rare))
         if len(out) == 64 or hi == len(share):
             types = [pa.int32(), pa.int32(), pa.binary(), *[pa.list_(pa.binary())] * 3, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), types, strict=True)], ["share", "n", "c", "word", "state", "step", "key"])
@@ -526,15 +527,15 @@ def _gains(tree: Tree, floor: float, discount: float, divergence: float):
 def _deep_gain(rows: DataFrame, tree: Tree, total: int, distinct: int, discount: float, divergence: float) -> DataFrame:
     """What the deepest states change in each text's log10: _row, gain, with null keys, and _row, key of rare words that no longer take the root's share."""
     bits = min(max(math.ceil(math.log2(max(total, 1) / SHARE)), 0), 16)
-    least = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16)
-    places = rows.select("_row", "held_out", "text").mapInArrow(_places(tree, bits), _PLACES).repartition(least, "share").sortWithinPartitions("share")
+    least = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 2)
+    places = rows.select("_row", "held_out", "text").mapInArrow(lean(_places(tree, bits)), _PLACES).repartition(least, "share").sortWithinPartitions("share")
     floor = math.log10(2 / float(total + distinct + 1))
-    return stored(places.mapInArrow(_gains(tree, floor, discount, divergence), "_row long, gain double, key long"), "gains")
+    return stored(places.mapInArrow(lean(_gains(tree, floor, discount, divergence)), "_row long, gain double, key long"), "gains")
 
 
 def score(rows: DataFrame, tree: Tree, vocabulary: DataFrame, total: int, distinct: int, discount: float = DISCOUNT, long_divergence: float = LONG_DIVERGENCE) -> DataFrame:
     """rows (_row, held_out, text) -> _row, n_tokens, n_known, base_score, score; the deepest states are those of the rows not held out."""
-    parts = stored(rows.select("_row", "text").mapInArrow(_scorer(tree), "_row long, n_tokens long, n_common long, base double, tree double, rare array<struct<key:long,times:int>>"), "scored")
+    parts = stored(rows.select("_row", "text").mapInArrow(lean(_scorer(tree)), "_row long, n_tokens long, n_common long, base double, tree double, rare array<struct<key:long,times:int>>"), "scored")
     gains = _deep_gain(rows, tree, total, distinct, discount, long_divergence)
     rare = parts.select("_row", F.explode("rare").alias("x")).select("_row", "x.key", "x.times", F.col("x.times").alias("left"))
     gone = gains.where("key IS NOT NULL").groupBy("_row", "key").agg((-F.count(F.lit(1))).cast("int").alias("left")).select("_row", "key", F.lit(0).alias("times"), "left")
