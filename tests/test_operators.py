@@ -111,3 +111,10 @@ def test_a_page_is_walked_in_time_to_its_length():
     start = time.process_time()
     got = blocks.page_blocks("<div>" * 20000 + "<nav><p>menu</p></nav><p>text</p>", "https://a.example.com/")
     assert [b["text"] for b in got] == ["text"] and time.process_time() - start < 4
+
+
+def test_an_upsert_keeps_a_sticky_column_that_new_rows_lack(spark):
+    old = spark.createDataFrame([("a", 1, "hook")], "key string, n int, hook string")
+    new = spark.createDataFrame([("a", 2), ("b", 3)], "key string, n int")
+    got = merge.upsert(old, new, "key", ["n"], F.current_timestamp(), sticky=["hook"]).collect()
+    assert {(r.key, r.n, r.hook, r.change) for r in got} == {("a", 2, "hook", "update"), ("b", 3, None, "insert")}
