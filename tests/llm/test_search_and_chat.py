@@ -44,6 +44,42 @@ def test_search_by_brute_force(spark, shard_bytes, common, block):
     assert sorted(tuple(r) for r in got.collect()) == plain_bm25(rows, [i for i, _ in rows if i % 20 == 0], 5)
 
 
+def shuffled_bytes(spark, run) -> int:
+    """Bytes that the stages of run() write to shuffles."""
+    sc, quantiles = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, quantiles, None)
+    before = stages()
+    run()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, quantiles, None)
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_queries_are_not_dealt_to_every_shard(spark):
+    """600 queries of 40 words against about 50 shards: hashes and weights would be 16 bytes a word, query and shard."""
+    rng = random.Random(4)
+    rows = [(k, " ".join("w%d" % rng.randrange(5000) for _ in range(40))) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    n = shuffled_bytes(spark, lambda: got.extend(topk_search.search(df, F.col("doc_id") >= 0, 1, sum(len(t) for _, t in rows) // 50).collect()))
+    assert sorted((r.query_id, r.doc_id) for r in got) == [(k, k) for k in range(600)]
+    assert n < 600 * 40 * 50 * 16 / 6
+
+
+@pytest.mark.parametrize(("slab_bytes", "groups", "batch"), [(1 << 30, 2, 128), (200, 3, 1), (900, 1, 2), (1, 64, 3)])
+def test_search_in_slabs_and_groups(spark, slab_bytes, groups, batch):
+    """Shards of a group one after the other, some of them without words, and ids that are null or repeated."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("abcdefghijkl", k=rng.randint(0, 12)))) for k in range(70)] + [(71, "a b c")] * 3 + [(None, "a b l")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).localCheckpoint()
+    is_query = F.col("doc_id").isNull() | (F.col("doc_id") % 4 < 2)
+    want = topk_search.search(df, is_query, 6, 1 << 30)
+    got = topk_search.search(df, is_query, 6, 100, 2, 4, batch, slab_bytes, groups)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_search_without_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert topk_search.search_documents(df).collect() == []

@@ -13,11 +13,15 @@ of BLOCK documents. For a batch of queries the lists of rarer words are summed
 exactly; those of the COMMON most frequent words give only their greatest impact
 in each block. The sum of both bounds a block. Blocks go by falling bound, and a
 block whose bound is under a query's k-th score so far is skipped for it; in the
-others the common words' impacts are added and the k best kept. The shards' best
-are merged by a window over each query.
+others the common words' impacts are added in single precision, and what reaches
+the k-th score but for the rounding is scored again exactly.
 
 Every query meets every shard, in blocks: work grows with queries times
-documents, as exact search over a stated query set must.
+documents, as exact search over a stated query set must. What is written and sent
+does not: queries are stored once, packed in batches, and read again where shards
+meet them, in slabs of bounded size. A task takes one shard after the other of one
+of at most GROUPS groups and hands on each query's best, so that a query comes to
+the merge, a window over it, with at most k rows a group.
 
 Edge cases: null and empty texts have no words, find nothing and are not found;
 only documents with a score over 0 are results; ties go to the smallest doc_id,
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import stored, with_row
-from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, words
+from tidemark.llm.textbytes import NOT_ALNUM, U64, each_chunk, lean, words
 
 K = 10
 K1 = 1.2
@@ -46,6 +50,11 @@ SHARD_BYTES = 48_000_000
 COMMON = 256
 BLOCK = 64
 BATCH = 128
+#: Bytes of packed queries that a task holds, about; and the groups of shards, each of them one task a slab.
+SLAB_BYTES = 128_000_000
+GROUPS = 64
+#: Low bits of a posting that hold its impact, which is at most SCALE * (K1 + 1).
+IMPACT_BITS = 12
 
 
 def _term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,10 +92,70 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, ids = batch.column("_row").to_numpy(), batch.column("doc_id").to_numpy()
+        rows, ids = batch.column("_row").to_numpy(), batch.column("doc_id")
         for lo, _, data, off in each_chunk(batch):
             row, term, n, _ = _term_counts(data, off)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[lo + row]), pa.array(ids[lo + row]), pa.array(term.view(np.int64)), pa.array(n)], ["q_row", "query_id", "term", "qtf"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[lo + row]), ids.take(pa.array(lo + row)), pa.array(term.view(np.int64)), pa.array(n)], ["q_row", "query_id", "term", "qtf"])
+
+
+PACKED = "n long, size long, q_rows binary, ids binary, known binary, lengths binary, terms binary, weights binary"
+
+
+def _packed(batch_size: int):
+    """Queries, in rows of at most batch_size: their number, bytes, and the arrays as bytes; weights in 4 bytes each where they fit."""
+    names = [x.split()[0] for x in PACKED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def send() -> pa.RecordBatch:
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            lists = t["terms"].combine_chunks()
+            edge = lists.offsets.to_numpy()
+            terms, weights = lists.flatten().to_numpy(), t["weights"].combine_chunks().flatten().to_numpy()
+            if weights.max(initial=0) < 1 << 31:
+                weights = weights.astype(np.int32)
+            known = t["query_id"].is_valid().to_numpy()
+            cols = [t["q_row"].to_numpy(), t["query_id"].fill_null(0).to_numpy(), known, np.diff(edge).astype(np.int32), terms, weights]
+            return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64()), pa.array([sum(c.nbytes for c in cols)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names)
+
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, batch_size - sum(w.num_rows for w in waiting))
+                waiting.append(part)
+                batch = batch.slice(part.num_rows)
+                if sum(w.num_rows for w in waiting) == batch_size:
+                    yield send()
+        if waiting:
+            yield send()
+
+    return run
+
+
+def _unpacked(row: dict) -> list[tuple[int, int | None, np.ndarray, np.ndarray]]:
+    """The queries of a packed row: q_row, query_id, terms, weights."""
+    terms = np.frombuffer(row["terms"], U64)
+    weights = np.frombuffer(row["weights"], np.int32 if len(row["weights"]) < len(row["terms"]) else np.int64)
+    ends = np.cumsum(np.frombuffer(row["lengths"], np.int32))
+    ids = [i if known else None for i, known in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["known"], bool), strict=True)]
+    return [(q, i, terms[b:e], weights[b:e]) for q, i, b, e in zip(np.frombuffer(row["q_rows"], np.int64).tolist(), ids, [0, *ends[:-1]], ends, strict=True)]
+
+
+class Best:
+    """The k best so far of each query of a batch: scores, doc_ids, rows, best first."""
+
+    def __init__(self, queries: list[tuple[int, int | None]], k: int):
+        self.queries, self.k = queries, k
+        self.found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
+        self.least = np.full((len(queries), k), 0.5)  # their scores, rising; scores are whole: results have 1 at least
+
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        both = [np.concatenate(x) for x in zip(self.found[q], (score, ids, rows), strict=True)]
+        order = np.lexsort((both[2], both[1], -both[0]))[: self.k]
+        self.found[q] = tuple(x[order] for x in both)
+        self.least[q] = 0.5
+        self.least[q, self.k - len(order) :] = both[0][order[::-1]]
 
 
 class Shard:
@@ -125,7 +194,7 @@ class Shard:
         self.dense[place] = dense
         self.dense_max = self.dense.reshape(self.n_blocks, block, -1).max(1).astype(np.float64)
         self.begin, self.df = head, df
-        self.post_doc, self.post_impact = place.astype(np.int32)[doc], impact
+        self.posts = place[doc] << IMPACT_BITS | impact  # by term: where the document is, and its impact
 
     @staticmethod
     def _arrange(dense: np.ndarray, length: np.ndarray, groups: int = 8) -> np.ndarray:
@@ -141,8 +210,8 @@ class Shard:
         place[np.lexsort((length, near))] = np.arange(len(unit))
         return place
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (terms, weights) the places and scores of at least its k best documents."""
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: Best) -> None:
+        """Adds what this shard has to the k best of each query (terms, weights)."""
         n = len(queries)
         common = np.zeros((n, self.dense.shape[1]))
         rare = np.zeros((n, self.n_places))
@@ -157,33 +226,45 @@ class Shard:
             df = self.df[at]
             ends = np.cumsum(df)
             if len(ends):
-                p = np.repeat(self.begin[at] - ends + df, df) + np.arange(ends[-1])
-                rare[q] = np.bincount(self.post_doc[p], np.repeat(w, df) * self.post_impact[p], self.n_places)
+                p = np.repeat(self.begin[at] - ends + df, df)
+                p += np.arange(ends[-1])
+                post = self.posts.take(p)
+                part = np.repeat(w, df)
+                part *= post & ((1 << IMPACT_BITS) - 1)
+                post >>= IMPACT_BITS
+                rare[q] = np.bincount(post, part, self.n_places)
         bound = common @ self.dense_max.T + rare.reshape(n, self.n_blocks, self.block).max(2)
-        best_score = np.full((n, k), 0.5)  # scores are whole: results have 1 at least
+        single = common.astype(np.float32)
+        # sums of that many positive products in single precision are right but for this part of them
+        above = 1 + (common.shape[1] + 8) * 2.0**-23
+        least = best.least.copy()
         kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
         for b in np.argsort(-bound.max(0)).tolist():
-            alive = np.flatnonzero(bound[:, b] >= best_score[:, 0])
+            alive = np.flatnonzero(bound[:, b] >= least[:, 0])
             if not len(alive):
                 continue
             span = slice(b * self.block, (b + 1) * self.block)
-            score = rare[alive, span] + common[alive] @ self.dense[span].T.astype(np.float64)
-            both = np.concatenate([best_score[alive], score], 1)
-            both.partition(both.shape[1] - k, axis=1)
-            best_score[alive] = np.sort(both[:, -k:], 1)
-            good = score >= best_score[alive, :1]
+            near = single[alive] @ self.dense[span].T * above + rare[alive, span] >= least[alive, :1]
+            some = near.any(1)
+            alive, near = alive[some], near[some]
+            if not len(alive):
+                continue
+            score = np.zeros(near.shape)
+            i, j = np.nonzero(near)
+            score[i, j] = rare[alive[i], j + b * self.block] + np.einsum("ij,ij->i", common[alive[i]], self.dense[j + b * self.block].astype(np.float64))
+            both = np.concatenate([least[alive], score], 1)
+            both.partition(both.shape[1] - best.k, axis=1)
+            least[alive] = np.sort(both[:, -best.k :], 1)
+            good = score >= least[alive, :1]
             for i in np.flatnonzero(good.any(1)):
                 j = np.flatnonzero(good[i])
                 kept[alive[i]].append((j + b * self.block, score[i, j]))
-        out = []
         for q in range(n):
-            place = np.concatenate([p for p, _ in kept[q]] or [np.zeros(0, np.int64)])
-            score = np.concatenate([s for _, s in kept[q]] or [np.zeros(0)])
-            enough = score >= best_score[q, 0]
-            place, score = place[enough], score[enough]
-            order = np.lexsort((self.rows[place], self.ids[place], -score))[:k]
-            out.append((place[order], score[order]))
-        return out
+            if kept[q]:
+                place, score = (np.concatenate(x) for x in zip(*kept[q], strict=True))
+                enough = score >= least[q, 0]
+                place, score = place[enough], score[enough]
+                best.add(q, score, self.ids[place], self.rows[place])
 
 
 def _shard_search(average: float, k: int, common: int, block: int, batch_size: int):
@@ -195,19 +276,14 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
         ids: list[int | None] = []
         postings: list[tuple] = []
         lengths: list[np.ndarray] = []
-        waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[int, int | None, np.ndarray, np.ndarray]] = []
+        best: dict[int, Best] = {}  # by the first query of a batch: queries come in the same order to each shard
 
-        def answer() -> Iterator[pa.RecordBatch]:
+        def answer() -> None:
             if waiting and index is not None:
-                found = index.search([w[2:] for w in waiting], k)
-                n = [len(p) for p, _ in found]
-                place = np.concatenate([p for p, _ in found])
-                doc = index.ids[place]
-                cols = [
-                    pa.array(np.repeat([w[0] for w in waiting], n)), pa.array(np.repeat([w[1] for w in waiting], n)), pa.array(index.rows[place]),
-                    pa.array(doc, mask=doc == np.iinfo(np.int64).max), pa.array(np.concatenate([s for _, s in found]).astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in cols], names)
+                if waiting[0][0] not in best:
+                    best[waiting[0][0]] = Best([w[:2] for w in waiting], k)
+                index.search([w[2:] for w in waiting], best[waiting[0][0]])
             waiting.clear()
 
         def built() -> Shard | None:
@@ -217,16 +293,16 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
             return got
 
         for batch in batches:
-            shards, is_query = batch.column("shard").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
+            shards, is_end = batch.column("shard").to_numpy(), batch.column("is_end").to_numpy(zero_copy_only=False)
             # runs of rows of one shard and kind
-            edges = np.flatnonzero(np.append(True, (np.diff(shards) != 0) | (np.diff(is_query.astype(np.int8)) != 0)))
+            edges = np.flatnonzero(np.append(True, (np.diff(shards) != 0) | (np.diff(is_end.astype(np.int8)) != 0))[: len(shards)])
             for lo, hi in zip(edges, np.append(edges[1:], len(shards)), strict=True):
                 if shards[lo] != number:
-                    yield from answer()
+                    answer()
                     number, index = shards[lo], None
                     built()
                 part = batch.slice(lo, hi - lo)
-                if not is_query[lo]:
+                if not is_end[lo]:
                     before = len(rows)
                     rows += part.column("_row").to_pylist()
                     ids += part.column("doc_id").to_pylist()
@@ -238,46 +314,64 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
                     continue
                 if postings:
                     index = built()
-                terms, weights = part.column("terms"), part.column("weights")
-                edge = terms.offsets.to_numpy() - terms.offsets[0].as_py()
-                terms, weights = terms.flatten().to_numpy().view(U64), weights.flatten().to_numpy()
-                for i, (row, one) in enumerate(zip(part.column("_row").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
-                    waiting.append((row, one, terms[edge[i] : edge[i + 1]], weights[edge[i] : edge[i + 1]]))
-                    if len(waiting) >= batch_size:
-                        yield from answer()
-        yield from answer()
+                if index is None:
+                    continue
+                for i in range(hi - lo):
+                    for query in _unpacked({c: part.column(c)[i].as_py() for c in ("q_rows", "ids", "known", "lengths", "terms", "weights")}):
+                        waiting.append(query)
+                        if len(waiting) >= batch_size:
+                            answer()
+        answer()
+        for x in best.values():
+            n = [len(f[0]) for f in x.found]
+            score, doc, row = (np.concatenate(c) for c in zip(*x.found, strict=True))
+            cols = [
+                pa.array(np.repeat([q for q, _ in x.queries], n)), pa.array([i for (_, i), m in zip(x.queries, n, strict=True) for _ in range(m)], pa.int64()), pa.array(row),
+                pa.array(doc, mask=doc == np.iinfo(np.int64).max), pa.array(score.astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(pa.int64()) for c in cols], names)
 
     return run
 
 
-def search(docs: DataFrame, is_query: Column, k: int = K, shard_bytes: int = SHARD_BYTES, common: int = COMMON, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+def _meet(dealt: DataFrame, packed: DataFrame, n_shards: int, n_slabs: int, n_groups: int) -> DataFrame:
+    """Each shard's rows, then every packed row of a slab, in one task for each group of shards and slab. Nothing but the documents is shuffled."""
+    ends = dealt.sparkSession.range(n_shards).select(F.col("id").alias("shard"), F.lit(True).alias("is_end"), *(F.lit(None).cast(dealt.schema[c].dataType).alias(c) for c in ("_row", "doc_id", "text")))
+    # the number after the sort is for the optimiser, which takes away a sort under a join
+    shards = (
+        dealt.unionAll(ends).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "is_end")
+        .withColumn("place", F.monotonically_increasing_id()).coalesce(n_groups)
+    )
+    # a slab begins with an empty row, which the documents meet; the end of a shard meets all others
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    slabs = packed.drop("n", "size").coalesce(n_slabs).withColumn("first", first)
+    slabs = slabs.withColumn("opens", F.explode(F.when(F.col("first"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))).drop("first")
+    slabs = slabs.select("opens", *(F.when(~F.col("opens"), F.col(c)).alias(c) for c in slabs.columns if c != "opens"))
+    return shards.hint("shuffle_replicate_nl").join(slabs.hint("shuffle_replicate_nl"), F.col("is_end") != F.col("opens"))
+
+
+def search(
+    docs: DataFrame, is_query: Column, k: int = K, shard_bytes: int = SHARD_BYTES, common: int = COMMON, block: int = BLOCK, batch: int = BATCH, slab_bytes: int = SLAB_BYTES, groups: int = GROUPS
+) -> DataFrame:
     """The k best documents for each row where `is_query` holds: query_id, rank, doc_id, score."""
     rows = with_row(docs.select(F.col("doc_id").cast("long"), "text"))
     n_docs, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_shards = max(1, -(-n_bytes // shard_bytes))
-    df = stored(rows.select("text").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
+    df = stored(rows.select("text").mapInArrow(lean(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
     n_words = df.where("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     average = max(n_words, 1) / max(n_docs, 1)
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = rows.where(is_query).select("_row", "doc_id", "text").mapInArrow(_query_terms, "q_row long, query_id long, term long, qtf long")
     weighted = terms.join(df.where("term IS NOT NULL"), "term").select("q_row", "query_id", "term", F.floor(SCALE * F.col("qtf") * idf + 0.5).alias("weight"))
-    queries = stored(
+    queries = (
         weighted.groupBy("q_row", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("x"))
-        .select("q_row", "query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights")),
-        "queries",
-    )
-    none = F.lit(None)
-    every = F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))
-    to_shards = queries.select(
-        F.explode(every).alias("shard"), F.lit(True).alias("is_query"), F.col("q_row").alias("_row"),
-        F.col("query_id").alias("doc_id"), none.cast("string").alias("text"), "terms", "weights",
-    )
-    dealt = rows.select(
-        F.pmod(F.xxhash64("_row"), F.lit(n_shards)).alias("shard"), F.lit(False).alias("is_query"), "_row", "doc_id", "text",
-        none.cast("array<long>").alias("terms"), none.cast("array<long>").alias("weights"),
+        .select("q_row", "query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
     )
-    met = dealt.unionAll(to_shards).repartitionById(n_shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "is_query")
-    found = met.mapInArrow(_shard_search(average, k, common, block, batch), "q_row long, query_id long, _row long, doc_id long, score long")
+    packed = stored(queries.mapInArrow(_packed(batch), PACKED), "queries")
+    n_slabs = max(1, -(-packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // slab_bytes))
+    dealt = rows.select(F.pmod(F.xxhash64("_row"), F.lit(n_shards)).alias("shard"), F.lit(False).alias("is_end"), "_row", "doc_id", "text")
+    met = _meet(dealt, packed, n_shards, n_slabs, min(n_shards, groups))
+    found = met.mapInArrow(lean(_shard_search(average, k, common, block, batch)), "q_row long, query_id long, _row long, doc_id long, score long")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "_row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
