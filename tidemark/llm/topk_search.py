@@ -50,6 +50,8 @@ SHARD_BYTES = 48_000_000
 COMMON = 256
 BLOCK = 64
 BATCH = 128
+#: Bytes of text whose words are hashed at once.
+TEXT_BYTES = 1 << 19
 #: Bytes of packed queries that a task holds, about; and the groups of shards, each of them one task a slab.
 SLAB_BYTES = 128_000_000
 GROUPS = 64
@@ -61,8 +63,8 @@ def _term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Distinct (row, word): row, word hash, how often; and words of each row."""
     w, at = words(data, off, NOT_ALNUM)
     row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(at))
-    order = np.lexsort((w, row))
-    w, row = w[order], row[order]
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        w[lo:hi].sort()
     first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (row[1:] != row[:-1]))[: len(w)])
     return row[first], w[first], np.diff(np.append(first, len(w))), np.diff(at)
 
@@ -73,12 +75,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = total = 0
 
     def send() -> pa.RecordBatch:
-        terms, df = np.unique(np.concatenate(parts), return_counts=True)
+        terms = np.concatenate(parts)
         parts.clear()
+        terms.sort()
+        first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+        terms, df = terms[first], np.diff(np.append(first, len(terms)))
         return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(df)], ["term", "df"])
 
     for batch in batches:
-        for _, _, data, off in each_chunk(batch):
+        for _, _, data, off in each_chunk(batch, limit=TEXT_BYTES):
             _, term, _, n = _term_counts(data, off)
             parts.append(term)
             size, total = size + len(term), total + int(n.sum())
@@ -93,18 +98,33 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, ids = batch.column("_row").to_numpy(), batch.column("doc_id")
-        for lo, _, data, off in each_chunk(batch):
+        for lo, _, data, off in each_chunk(batch, limit=TEXT_BYTES):
             row, term, n, _ = _term_counts(data, off)
             yield pa.RecordBatch.from_arrays([pa.array(rows[lo + row]), ids.take(pa.array(lo + row)), pa.array(term.view(np.int64)), pa.array(n)], ["q_row", "query_id", "term", "qtf"])
 
 
-PACKED = "n long, size long, q_rows binary, ids binary, known binary, lengths binary, terms binary, weights binary"
+PACKED = "size long, q_rows binary, ids binary, known binary, lengths binary, terms binary, places binary, weights binary"
+PACKED_NAMES = [x.split()[0] for x in PACKED.split(", ")]
 
 
-def _packed(batch_size: int):
-    """Queries, in rows of at most batch_size: their number, bytes, and the arrays as bytes; weights in 4 bytes each where they fit."""
-    names = [x.split()[0] for x in PACKED.split(", ")]
+class Batch:
+    """Queries that are answered together: (q_row, query_id) of each, their distinct terms, rising, and for each query its terms' places among them and weights."""
+
+    def __init__(self, queries: list[tuple[int, int | None]], terms: np.ndarray, at: np.ndarray, places: np.ndarray, weights: np.ndarray):
+        """at: where each query's places and weights begin (n + 1)."""
+        self.queries, self.terms, self.at, self.places, self.weights = queries, terms, at, places, weights
+
+    @staticmethod
+    def of(row: dict) -> Batch:
+        """From a row of PACKED."""
+        got = {c: np.frombuffer(row[c], kind) for c, kind in (("q_rows", np.int64), ("ids", np.int64), ("known", bool), ("lengths", np.int32), ("terms", U64), ("places", np.int32))}
+        ids = [i if known else None for i, known in zip(got["ids"].tolist(), got["known"].tolist(), strict=True)]
+        weights = np.frombuffer(row["weights"], np.int32 if len(row["weights"]) == len(row["places"]) else np.int64)
+        return Batch(list(zip(got["q_rows"].tolist(), ids, strict=True)), got["terms"], np.append(0, np.cumsum(got["lengths"])), got["places"], weights)
+
 
+def _packed(batch_size: int):
+    """Queries, in rows of at most batch_size: bytes, and the arrays of a Batch; weights in 4 bytes each where they fit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
@@ -112,13 +132,13 @@ def _packed(batch_size: int):
             t = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             lists = t["terms"].combine_chunks()
-            edge = lists.offsets.to_numpy()
-            terms, weights = lists.flatten().to_numpy(), t["weights"].combine_chunks().flatten().to_numpy()
+            lengths = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+            terms, places = np.unique(lists.flatten().to_numpy().view(U64), return_inverse=True)
+            weights = t["weights"].combine_chunks().flatten().to_numpy()
             if weights.max(initial=0) < 1 << 31:
                 weights = weights.astype(np.int32)
-            known = t["query_id"].is_valid().to_numpy()
-            cols = [t["q_row"].to_numpy(), t["query_id"].fill_null(0).to_numpy(), known, np.diff(edge).astype(np.int32), terms, weights]
-            return pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64()), pa.array([sum(c.nbytes for c in cols)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names)
+            cols = [t["q_row"].to_numpy(), t["query_id"].fill_null(0).to_numpy(), t["query_id"].is_valid().to_numpy(), lengths, terms, places.astype(np.int32), weights]
+            return pa.RecordBatch.from_arrays([pa.array([sum(c.nbytes for c in cols)], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], PACKED_NAMES)
 
         for batch in batches:
             while batch.num_rows:
@@ -133,15 +153,6 @@ def _packed(batch_size: int):
     return run
 
 
-def _unpacked(row: dict) -> list[tuple[int, int | None, np.ndarray, np.ndarray]]:
-    """The queries of a packed row: q_row, query_id, terms, weights."""
-    terms = np.frombuffer(row["terms"], U64)
-    weights = np.frombuffer(row["weights"], np.int32 if len(row["weights"]) < len(row["terms"]) else np.int64)
-    ends = np.cumsum(np.frombuffer(row["lengths"], np.int32))
-    ids = [i if known else None for i, known in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["known"], bool), strict=True)]
-    return [(q, i, terms[b:e], weights[b:e]) for q, i, b, e in zip(np.frombuffer(row["q_rows"], np.int64).tolist(), ids, [0, *ends[:-1]], ends, strict=True)]
-
-
 class Best:
     """The k best so far of each query of a batch: scores, doc_ids, rows, best first."""
 
@@ -161,15 +172,18 @@ class Best:
 class Shard:
     """The index of one shard."""
 
-    def __init__(self, rows: list[int], ids: list[int | None], postings: list[tuple], lengths: list[np.ndarray], common: int, block: int):
-        """postings: (document within the shard, word, impact) of one chunk of documents after the other; emptied here."""
+    def __init__(self, rows: list[int], ids: list[int | None], postings: tuple[list[np.ndarray], ...], lengths: list[np.ndarray], common: int, block: int):
+        """postings: documents within the shard, words and impacts of one chunk of documents after the other; emptied here."""
         self.block = block
         n_docs = len(rows)
-        doc, term, impact = (np.concatenate([x[k] for x in postings]) for k in range(3))
-        postings.clear()
         length = np.concatenate(lengths)
+        term = np.concatenate(postings[1])
+        postings[1].clear()
         order = np.argsort(term, kind="stable")
-        term, doc, impact = term[order], doc[order], impact[order]
+        term = term[order]
+        doc, impact = (np.concatenate(x)[order] for x in (postings[0], postings[2]))
+        for x in postings:
+            x.clear()
         del order
         head = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
         self.terms, df = term[head], np.diff(np.append(head, len(term)))
@@ -194,7 +208,9 @@ class Shard:
         self.dense[place] = dense
         self.dense_max = self.dense.reshape(self.n_blocks, block, -1).max(1).astype(np.float64)
         self.begin, self.df = head, df
-        self.posts = place[doc] << IMPACT_BITS | impact  # by term: where the document is, and its impact
+        self.posts = place[doc]  # by term: where the document is, and its impact
+        self.posts <<= IMPACT_BITS
+        self.posts |= impact
 
     @staticmethod
     def _arrange(dense: np.ndarray, length: np.ndarray, groups: int = 8) -> np.ndarray:
@@ -210,26 +226,28 @@ class Shard:
         place[np.lexsort((length, near))] = np.arange(len(unit))
         return place
 
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], best: Best) -> None:
-        """Adds what this shard has to the k best of each query (terms, weights)."""
-        n = len(queries)
+    def search(self, batch: Batch, best: Best) -> None:
+        """Adds what this shard has to the k best of each query."""
+        n = len(batch.queries)
+        at = np.searchsorted(self.terms, batch.terms)
+        at[at == len(self.terms)] = 0
+        found = self.terms[at] == batch.terms
+        column, begin = np.where(found, self.column[at], -1)[batch.places], self.begin[at]
+        df = np.where(found & (self.column[at] < 0), self.df[at], 0)
         common = np.zeros((n, self.dense.shape[1]))
+        some = np.flatnonzero(column >= 0)
+        common[np.repeat(np.arange(n), np.diff(batch.at))[some], column[some]] = batch.weights[some]
         rare = np.zeros((n, self.n_places))
-        for q, (terms, weights) in enumerate(queries):
-            at = np.searchsorted(self.terms, terms)
-            at[at == len(self.terms)] = 0
-            found = self.terms[at] == terms
-            at, w = at[found], weights[found].astype(np.float64)
-            col = self.column[at]
-            common[q, col[col >= 0]] = w[col >= 0]
-            at, w = at[col < 0], w[col < 0]
-            df = self.df[at]
-            ends = np.cumsum(df)
-            if len(ends):
-                p = np.repeat(self.begin[at] - ends + df, df)
+        for q in range(n):
+            span = slice(batch.at[q], batch.at[q + 1])
+            places = batch.places[span]
+            many = df[places]
+            ends = np.cumsum(many)
+            if len(ends) and ends[-1]:
+                p = np.repeat(begin[places] - ends + many, many)
                 p += np.arange(ends[-1])
                 post = self.posts.take(p)
-                part = np.repeat(w, df)
+                part = np.repeat(batch.weights[span].astype(np.float64), many)
                 part *= post & ((1 << IMPACT_BITS) - 1)
                 post >>= IMPACT_BITS
                 rare[q] = np.bincount(post, part, self.n_places)
@@ -267,28 +285,20 @@ class Shard:
                 best.add(q, score, self.ids[place], self.rows[place])
 
 
-def _shard_search(average: float, k: int, common: int, block: int, batch_size: int):
+def _shard_search(average: float, k: int, common: int, block: int):
     names = ["q_row", "query_id", "_row", "doc_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, index = None, None
         rows: list[int] = []
         ids: list[int | None] = []
-        postings: list[tuple] = []
+        postings: tuple[list[np.ndarray], ...] = ([], [], [])
         lengths: list[np.ndarray] = []
-        waiting: list[tuple[int, int | None, np.ndarray, np.ndarray]] = []
-        best: dict[int, Best] = {}  # by the first query of a batch: queries come in the same order to each shard
-
-        def answer() -> None:
-            if waiting and index is not None:
-                if waiting[0][0] not in best:
-                    best[waiting[0][0]] = Best([w[:2] for w in waiting], k)
-                index.search([w[2:] for w in waiting], best[waiting[0][0]])
-            waiting.clear()
+        best: dict[int, Best] = {}  # by the first query of a batch
 
         def built() -> Shard | None:
-            got = Shard(rows, ids, postings, lengths, common, block) if any(len(x[1]) for x in postings) else None
-            for x in (rows, ids, postings, lengths):
+            got = Shard(rows, ids, postings, lengths, common, block) if any(map(len, postings[1])) else None
+            for x in (rows, ids, *postings, lengths):
                 x.clear()
             return got
 
@@ -298,7 +308,6 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
             edges = np.flatnonzero(np.append(True, (np.diff(shards) != 0) | (np.diff(is_end.astype(np.int8)) != 0))[: len(shards)])
             for lo, hi in zip(edges, np.append(edges[1:], len(shards)), strict=True):
                 if shards[lo] != number:
-                    answer()
                     number, index = shards[lo], None
                     built()
                 part = batch.slice(lo, hi - lo)
@@ -306,22 +315,23 @@ def _shard_search(average: float, k: int, common: int, block: int, batch_size: i
                     before = len(rows)
                     rows += part.column("_row").to_pylist()
                     ids += part.column("doc_id").to_pylist()
-                    for at, _, data, off in each_chunk(part):
+                    for at, _, data, off in each_chunk(part, limit=TEXT_BYTES):
                         doc, term, tf, length = _term_counts(data, off)
                         impact = np.floor(SCALE * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average)) + 0.5)
-                        postings.append(((doc + (before + at)).astype(np.int32), term, impact.astype(np.int16)))
+                        for kept, x in zip(postings, ((doc + (before + at)).astype(np.int32), term, impact.astype(np.int16)), strict=True):
+                            kept.append(x)
                         lengths.append(length.astype(np.float32))
                     continue
-                if postings:
+                if rows:
                     index = built()
                 if index is None:
                     continue
                 for i in range(hi - lo):
-                    for query in _unpacked({c: part.column(c)[i].as_py() for c in ("q_rows", "ids", "known", "lengths", "terms", "weights")}):
-                        waiting.append(query)
-                        if len(waiting) >= batch_size:
-                            answer()
-        answer()
+                    queries = Batch.of({c: part.column(c)[i].as_py() for c in PACKED_NAMES[1:]})
+                    key = queries.queries[0][0]
+                    if key not in best:
+                        best[key] = Best(queries.queries, k)
+                    index.search(queries, best[key])
         for x in best.values():
             n = [len(f[0]) for f in x.found]
             score, doc, row = (np.concatenate(c) for c in zip(*x.found, strict=True))
@@ -344,7 +354,7 @@ def _meet(dealt: DataFrame, packed: DataFrame, n_shards: int, n_slabs: int, n_gr
     )
     # a slab begins with an empty row, which the documents meet; the end of a shard meets all others
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    slabs = packed.drop("n", "size").coalesce(n_slabs).withColumn("first", first)
+    slabs = packed.drop("size").coalesce(n_slabs).withColumn("first", first)
     slabs = slabs.withColumn("opens", F.explode(F.when(F.col("first"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))).drop("first")
     slabs = slabs.select("opens", *(F.when(~F.col("opens"), F.col(c)).alias(c) for c in slabs.columns if c != "opens"))
     return shards.hint("shuffle_replicate_nl").join(slabs.hint("shuffle_replicate_nl"), F.col("is_end") != F.col("opens"))
@@ -371,7 +381,7 @@ def search(
     n_slabs = max(1, -(-packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // slab_bytes))
     dealt = rows.select(F.pmod(F.xxhash64("_row"), F.lit(n_shards)).alias("shard"), F.lit(False).alias("is_end"), "_row", "doc_id", "text")
     met = _meet(dealt, packed, n_shards, n_slabs, min(n_shards, groups))
-    found = met.mapInArrow(lean(_shard_search(average, k, common, block, batch)), "q_row long, query_id long, _row long, doc_id long, score long")
+    found = met.mapInArrow(lean(_shard_search(average, k, common, block)), "q_row long, query_id long, _row long, doc_id long, score long")
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "_row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
