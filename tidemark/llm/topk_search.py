@@ -53,7 +53,7 @@ BATCH = 128
 #: Bytes of text whose words are hashed at once.
 TEXT_BYTES = 1 << 19
 #: Bytes of packed queries that a task holds, about; and the groups of shards, each of them one task a slab.
-SLAB_BYTES = 128_000_000
+SLAB_BYTES = 64_000_000
 GROUPS = 64
 #: Low bits of a posting that hold its impact, which is at most SCALE * (K1 + 1).
 IMPACT_BITS = 12
